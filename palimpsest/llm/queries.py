@@ -6,25 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import mixing, secrets, sharding
+from palimpsest.llm import bpe, jaccard, mixing, quality, secrets, sharding, toxicity
 from palimpsest.sources.tables import table
 
 
+def tokenizer_file() -> str:
+    """The default tokenizer file; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan_secrets(table(spark, sf_dir, "documents"))
     return secrets.digest(findings)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op4_sharding, op9_mixing)}
+    return {f.__name__: f for f in (op1_secrets, op3_quality, op4_sharding, op5_jaccard, op7_toxicity, op9_mixing, op10_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
