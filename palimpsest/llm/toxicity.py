@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.sources.tables import materialize
 
@@ -244,29 +245,29 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """Adds the score of each document's whole text to the named columns."""
+    """The named columns, and as the last one, ``_toxicity``, the score of each document's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = keep or ["doc_id"]
-    schema = docs.select(*columns).schema.add("score", "double")
+    sent = list(dict.fromkeys([*columns, "text"]))
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("_toxicity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                chance = known.score(part.column("_toxic_text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(chance, pa.float64())], names=[*columns, "score"])
+                chance = known.score(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(chance, pa.float64())], names=[*columns, "_toxicity"])
 
-    return docs.select(*columns, docs["text"].alias("_toxic_text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: held_out, score and predicted."""
     scored = score(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model doesn't take for toxic, with their own columns."""
-    scored = score(docs, train(docs, labels), docs.columns)
-    return scored.where(F.col("score") < 0.5).select(*docs.columns)
+    return score(docs, train(docs, labels), docs.columns).where(F.col("_toxicity") < 0.5).drop("_toxicity")
