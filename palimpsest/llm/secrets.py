@@ -58,6 +58,7 @@ EXTRA_RULES = (
 )
 
 RULES = BASE_RULES + EXTRA_RULES
+BROADCAST_BLOBS = 50_000
 
 FINDING = "struct<start:int,ord:int,kind:string,end:int,rule:string>"
 LEDGER = f"blob string, rules array<string>, findings array<{FINDING}>"
@@ -119,15 +120,18 @@ def scan(versions: DataFrame, content: str, ledger: DataFrame | None = None, rul
 def findings_by_path(versions: DataFrame, content: str, keep: list[str], ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Each row of ``versions`` with all findings of its blob under the current rule versions.
 
-    Only blobs with findings are joined, so the content that most paths share,
-    such as the empty one, meets no partner; a hot blob with findings is split
-    by Spark's skew join.
+    The column is ``_findings``. Only blobs with findings are joined: up to
+    ``BROADCAST_BLOBS`` by a broadcast, so that paths don't move, more by a
+    shuffle, in which Spark's skew join splits a hot blob.
     """
     current = F.array(*[F.lit(r.key) for r in rules])
     found = ledger.select("blob", F.filter("findings", lambda f: F.array_contains(current, f["rule"])).alias("f")).where(F.size("f") > 0)
     found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("findings"))
-    paths = versions.select(*keep, blob_id(F.col(content)).alias("blob"))
-    return paths.join(found, "blob", "left").withColumn("findings", F.coalesce("findings", F.expr(f"cast(array() as array<{FINDING}>)")))
+    few = found.count() <= BROADCAST_BLOBS
+    found = found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
+    paths = versions.select(*keep, blob_id(F.col(content)).alias("_of"))
+    joined = paths.join(F.broadcast(found) if few else found, F.col("_of") == F.col("_blob"), "left")
+    return joined.withColumn("_findings", F.coalesce("_findings", F.expr(f"cast(array() as array<{FINDING}>)"))).drop("_blob", "_of")
 
 
 def scan_secrets(versions: DataFrame, content: str = "text", keep: list[str] | None = None, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -159,14 +163,14 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
         )
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = findings.withColumn("text", F.when(F.size("findings") > 0, clean).otherwise(text))
-    return out.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    clean = F.aggregate("_findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    out = findings.withColumn("text", F.when(F.size("_findings") > 0, clean).otherwise(text))
+    return out.withColumn("n_chars", F.when(F.size("_findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def digest(findings: DataFrame, n_base: int = len(BASE_RULES)) -> DataFrame:
     """The columns of the query from a path's findings."""
-    base = F.filter("findings", lambda f: f["ord"] < n_base)
-    kinds = F.transform("findings", lambda f: f["kind"])
+    base = F.filter("_findings", lambda f: f["ord"] < n_base)
+    kinds = F.transform("_findings", lambda f: f["kind"])
     counts = [F.size(F.filter(kinds, F.lit(r.kind).__eq__)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
-    return findings.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("findings")).alias("spans"))
+    return findings.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("_findings")).alias("spans"))
