@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame
 PIECES = 300_000
 ARCS = 500_000
 #: White space as the file's patterns mean it; the controls that Python's split takes for it; the split pattern.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ONLY_PYTHON_SPACE = re.compile("[\x1c-\x1f]")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Beyond this code point the tokenizer's own normaliser and splitter cut a piece into words, as Unicode versions differ.
-PLAIN = re.compile("[\x00-˿]*")
+PLAIN = re.compile("[\x00-\u02ff]*")
 
 
 def byte_symbols() -> dict[int, str]:
