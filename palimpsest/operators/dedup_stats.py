@@ -21,7 +21,7 @@ def reaches(jaccard: Column, threshold: float) -> Column:
 
 def strongest(recorded: DataFrame) -> DataFrame:
     """(doc_id, tier, n): a document's strongest kind of duplicate, and how many it has of it and of weaker ones."""
-    best = F.col("near_duplicates")[0]["jaccard"]
+    best = F.get("near_duplicates", F.lit(0))["jaccard"]
     tier = F.when(F.col("n_exact") > 0, "exact").when(reaches(best, 0.9), "near_90").when(reaches(best, 0.8), "near_80").otherwise("near_70")
     return recorded.select("doc_id", tier.alias("tier"), (F.col("n_exact") + F.col("n_near")).cast("long").alias("n"))
 

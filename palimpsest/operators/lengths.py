@@ -91,10 +91,10 @@ def histogram(lengths: DataFrame, width: int = 10, most: int = 0) -> DataFrame:
 
 def by_duplication(lengths: DataFrame, recorded: DataFrame) -> DataFrame:
     """For each length bucket that has documents: how many have an exact copy, and a near one at each threshold."""
-    best = F.array_max(F.transform("near_duplicates", lambda x: x["jaccard"].cast("double")))
-    status = recorded.select("doc_id", (F.col("n_exact") > 0).alias("exact"), F.round(best, 9).alias("best"))
+    best = F.get("near_duplicates", F.lit(0))["jaccard"]  # the list is sorted
+    status = recorded.select("doc_id", (F.col("n_exact") > 0).alias("exact"), best.alias("best"))
     rows = lengths.join(status, "doc_id", "left").groupBy(bucket(F.col("n_tokens")).alias("bucket"))
-    tiers = [F.count_if(F.col("best") >= F.lit(t).cast("float").cast("double") - 1e-9).alias(f"near_{int(t * 100)}") for t in (0.7, 0.8, 0.9)]
+    tiers = [F.count_if(F.col("best") >= F.lit(t).cast("float")).alias(f"near_{int(t * 100)}") for t in (0.7, 0.8, 0.9)]
     return rows.agg(F.count(F.lit(1)).alias("documents"), F.count_if("exact").alias("exact"), *tiers)
 
 

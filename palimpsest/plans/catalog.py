@@ -4,12 +4,579 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from palimpsest.functions import text as T
+from palimpsest.operators import cliques, components, dedup_stats, evaluate, exact, lengths, minhash, qrels, qrels_stats, records, release, search, similarity
+from palimpsest.plans import sql
+from palimpsest.plans.stages import Corpus
+from palimpsest.sources import corpus as sources
+from palimpsest.sources.tables import materialize, shared_dir, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None) -> Callable[[Callable[[Corpus], DataFrame]], Callable[[Corpus], DataFrame]]:
+    """Registers a query over a corpus, with the SQL that gives the same rows."""
+
+    def register(f: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
+        if oracle:
+            _SQL[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def joined(ids: str) -> Column:
+    return F.array_join(F.col(ids).cast("array<string>"), ",")
+
+
+# -- corpus and exact duplicates
+
+
+@query(sql.MANIFEST + "SELECT shard, n_rows, (sum(n_rows) OVER (ORDER BY shard) - n_rows)::BIGINT AS \"offset\" FROM shards")
+def manifest(c: Corpus) -> DataFrame:
+    return sources.manifest(sources.with_rows(c.docs))
+
+
+@query(sql.MANIFEST + "SELECT count(*) AS n_shards, sum(n_rows)::BIGINT AS total_rows, max(n_rows) AS max_rows_per_shard FROM shards")
+def manifest_stats(c: Corpus) -> DataFrame:
+    return sources.manifest_stats(sources.with_rows(c.docs))
+
+
+@query("SELECT doc_id, printf('shard_%05d_%05d', doc_id // 1000, doc_id % 1000) AS name, 'shard_' || printf('%05d', doc_id // 1000) || '_' || (doc_id % 1000) AS short, doc_id // 1000 * 100000 + doc_id % 1000 AS packed, true AS is_full FROM documents")
+def doc_names(c: Corpus) -> DataFrame:
+    name = T.doc_name(F.col("doc_id"))
+    return c.docs.select("doc_id", name.alias("name"), T.unpadded(name).alias("short"), T.packed(name).alias("packed"), T.is_full_id(name).alias("is_full"))
+
+
+@query(sql.SCAN + "SELECT doc_id, char_len, sha256 FROM scan")
+def scan(c: Corpus) -> DataFrame:
+    return c.scanned().select("doc_id", "char_len", "sha256")
+
+
+@query(sql.SCAN + "SELECT char_len, count(*) AS n_docs, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM scan GROUP BY 1")
+def length_map(c: Corpus) -> DataFrame:
+    return exact.length_map(c.scanned()).select("char_len", "n_docs", joined("doc_ids").alias("doc_ids"))
+
+
+@query(sql.GROUPS + "SELECT * FROM groups")
+def hash_groups(c: Corpus) -> DataFrame:
+    return exact.hash_groups(c.scanned()).select("sha256", "length", "count", joined("doc_ids").alias("doc_ids"))
+
+
+@query(sql.GROUPS + "SELECT * FROM groups WHERE count >= 2")
+def exact_groups(c: Corpus) -> DataFrame:
+    return exact.exact_groups(c.scanned()).select("sha256", "length", "count", joined("doc_ids").alias("doc_ids"))
+
+
+@query(
+    sql.GROUPS
+    + """SELECT sum(count)::BIGINT AS total_docs, count(*) AS distinct_hashes, count(*) FILTER (WHERE count >= 2) AS n_groups, coalesce(sum(count) FILTER (WHERE count >= 2), 0)::BIGINT AS docs_in_groups,
+sum(count - 1)::BIGINT AS redundant_docs, sum((count - 1) * length)::BIGINT AS redundant_chars, max(count) AS largest_group FROM groups"""
+)
+def exact_summary(c: Corpus) -> DataFrame:
+    return exact.duplicate_totals(exact.group_sizes(c.scanned()))
+
+
+@query(sql.GROUPS + "SELECT sha256, length, count, split_part(doc_ids, ',', 1)::BIGINT AS rep_id FROM groups WHERE count >= 2 ORDER BY count DESC, sha256 LIMIT 20")
+def top_exact_groups(c: Corpus) -> DataFrame:
+    return exact.top_groups(exact.group_sizes(c.scanned()))
+
+
+@query(sql.REPS + "SELECT doc_id FROM reps WHERE doc_id = rep_id")
+def representatives(c: Corpus) -> DataFrame:
+    return exact.representatives(c.scanned())
+
+
+@query(sql.REPS + "SELECT doc_id, rep_id FROM reps WHERE doc_id <> rep_id")
+def excluded_copies(c: Corpus) -> DataFrame:
+    return exact.excluded_copies(c.scanned())
+
+
+@query(sql.REPS + "SELECT sha256, count(*) AS count, rep_id AS representative, '' AS content_mismatch, true AS sha256_recompute_ok, true AS ok FROM reps WHERE group_size >= 2 GROUP BY sha256, rep_id")
+def verify_exact(c: Corpus) -> DataFrame:
+    return exact.verify(c.docs).withColumn("content_mismatch", joined("content_mismatch"))
+
+
+@query("SELECT true AS scan_covers_corpus, true AS length_map_covers_corpus, true AS hashes_add_up, true AS groups_verified, true AS no_failures, true AS excluded_match")
+def reconciliation_checks(c: Corpus) -> DataFrame:
+    return exact.reconcile(c.docs)
+
+
+@query(
+    sql.GROUPS
+    + f""", top AS (SELECT split_part(doc_ids, ',', 1)::BIGINT AS rep_id, count AS hash_count FROM groups WHERE count >= 2 ORDER BY count DESC, sha256 LIMIT 6),
+t AS (SELECT rep_id, hash_count, coalesce(text, '') AS want FROM top JOIN documents ON doc_id = rep_id)
+SELECT rep_id, hash_count, count(*) FILTER (WHERE coalesce(text, '') = want) AS raw_count, count(*) AS stripped_count FROM t JOIN documents ON {sql.strip('text')} = {sql.strip('want')} GROUP BY 1, 2"""
+)
+def brute_force_counts(c: Corpus) -> DataFrame:
+    return exact.brute_force_counts(c.docs)
+
+
+@query("SELECT doc_id, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 500) AS preview, array_to_string(string_split(coalesce(text, ''), chr(10))[1:3], chr(10)) AS page FROM documents")
+def previews(c: Corpus) -> DataFrame:
+    return c.docs.select("doc_id", T.preview(F.col("text")).alias("preview"), T.page(F.col("text"), 0, 3).alias("page"))
+
+
+@query("SELECT needle, sum(len(string_split(coalesce(text, ''), needle)) - 1)::BIGINT AS count FROM documents, (VALUES ('the'), ('.'), (' and ')) AS n(needle) GROUP BY 1")
+def needle_counts(c: Corpus) -> DataFrame:
+    return sources.needle_counts(c.docs, "text", ["the", ".", " and "])
+
+
+# -- n-grams, MinHash, candidates
+
+
+@query(sql.SHINGLES + "SELECT doc_id, n AS n_shingles FROM sizes")
+def shingle_counts(c: Corpus) -> DataFrame:
+    return c.sets().where(F.size("grams") > 0).select("doc_id", F.size("grams").cast("long").alias("n_shingles"))
+
+
+@query(sql.WORDS + "SELECT doc_id, len(ws)::BIGINT AS n_words FROM words WHERE len(ws) < 5 AND doc_id IN (SELECT rep_id FROM reps)")
+def too_short_docs(c: Corpus) -> DataFrame:
+    short = c.sets().where(F.size("grams") == 0).select("doc_id")
+    return c.docs.join(short, "doc_id", "left_semi").select("doc_id", F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
+
+
+@query(sql.SIGNATURES + "SELECT * FROM sig")
+def minhash_signatures_md5(c: Corpus) -> DataFrame:
+    return minhash.small_signatures(c.docs)
+
+
+@query(sql.BANDS + "SELECT * FROM bands")
+def lsh_band_keys(c: Corpus) -> DataFrame:
+    return c.bands()
+
+
+@query(sql.BANDS + "SELECT band, key, count(*) AS n, min(doc_id) AS anchor FROM bands GROUP BY 1, 2 HAVING count(*) >= 2")
+def lsh_buckets(c: Corpus) -> DataFrame:
+    return minhash.buckets(c.bands())
+
+
+@query(sql.LINKS + "SELECT * FROM links")
+def lsh_candidates(c: Corpus) -> DataFrame:
+    return minhash.star_links(c.bands())
+
+
+@query(sql.LINKS + "SELECT l.band_size, count(*) AS buckets FROM (SELECT CASE WHEN count(*) <= 16 THEN 'small' ELSE 'large' END AS band_size FROM bands GROUP BY band, key HAVING count(*) >= 2) l GROUP BY 1")
+def lsh_bucket_sizes(c: Corpus) -> DataFrame:
+    size = F.when(F.col("n") <= 16, "small").otherwise("large")
+    return minhash.buckets(c.bands()).groupBy(size.alias("band_size")).agg(F.count(F.lit(1)).alias("buckets"))
+
+
+@query("SELECT s AS similarity, b AS bands, round(1 - pow(1 - pow(s, 7), b), 9) AS probability FROM (VALUES (0.5::DOUBLE), (0.6), (0.7), (0.8), (0.9)) x(s), (VALUES (36), (73)) y(b)")
+def lsh_probability(c: Corpus) -> DataFrame:
+    rows = c.spark.createDataFrame([(s, b) for s in (0.5, 0.6, 0.7, 0.8, 0.9) for b in (36, 73)], "similarity double, bands int")
+    p = F.when(F.col("bands") == 36, minhash.lsh_probability(F.col("similarity"), 36, 7)).otherwise(minhash.lsh_probability(F.col("similarity"), 73, 7))
+    return rows.withColumn("probability", F.round(p, 9))
+
+
+@query(sql.CLOSURE + "SELECT v AS doc_id, min(c) AS component FROM reach GROUP BY 1")
+def candidate_components(c: Corpus) -> DataFrame:
+    found = components.connected_components(minhash.star_links(c.bands()))
+    return found.select(F.col("vertex").alias("doc_id"), "component")
+
+
+@query()
+def gated_components(c: Corpus) -> DataFrame:
+    """The scalable candidate path at its published parameters: 73 bands of 7, a gate at 0.4 on 64 minima."""
+    found = components.connected_components(minhash.gated_links(c.signed()))
+    return found.select(F.col("vertex").alias("doc_id"), "component")
+
+
+@query()
+def lsh_near_pairs(c: Corpus) -> DataFrame:
+    """Near pairs by banding and verification, without the exact prefix join."""
+    return similarity.verified(minhash.gated_links(c.signed()), c.sets(), 0.7)
+
+
+def _near(threshold: float) -> None:
+    def near_pairs(c: Corpus) -> DataFrame:
+        return c.edges().where(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+
+    near_pairs.__name__ = f"near_pairs_{int(threshold * 100)}"
+    query(sql.PAIRS + f"SELECT a, b, jaccard FROM pairs WHERE jaccard >= {threshold}")(near_pairs)
+
+
+for _t in (0.7, 0.8, 0.9):
+    _near(_t)
+
+
+@query(sql.PAIR_CLOSURE + "SELECT v AS doc_id, min(c) AS component FROM reach GROUP BY 1")
+def near_components(c: Corpus) -> DataFrame:
+    return c.components()
+
+
+@query(
+    sql.PAIR_CLOSURE
+    + """, sizes2 AS (SELECT component, count(*) AS size FROM (SELECT v, min(c) AS component FROM reach GROUP BY 1) GROUP BY 1)
+SELECT CASE WHEN size = 2 THEN '2' WHEN size <= 9 THEN '3-9' WHEN size <= 99 THEN '10-99' WHEN size <= 999 THEN '100-999' WHEN size <= 9999 THEN '1000-9999' ELSE '10000+' END AS size_band, count(*) AS components, sum(size)::BIGINT AS docs FROM sizes2 GROUP BY 1"""
+)
+def component_histogram(c: Corpus) -> DataFrame:
+    return cliques.component_histogram(c.components())
+
+
+# -- duplicate records
+
+
+@query(sql.NEAR + "SELECT doc_id, neighbour, jaccard FROM near")
+def duplicate_records_long(c: Corpus) -> DataFrame:
+    return records.near_rows(c.edges(), c.members())
+
+
+@query(
+    sql.RECORDS
+    + """SELECT doc_id, coalesce(exact_duplicates, '') AS exact_duplicates, coalesce(near_duplicates, '') AS near_duplicates, n_exact, n_near FROM recorded"""
+)
+def duplicate_records(c: Corpus) -> DataFrame:
+    near = F.array_join(F.transform("near_duplicates", lambda x: x["doc_id"].cast("string")), ",")
+    return c.records().select("doc_id", joined("exact_duplicates").alias("exact_duplicates"), near.alias("near_duplicates"), F.col("n_exact").cast("long").alias("n_exact"), F.col("n_near").cast("long").alias("n_near"))
+
+
+@query(sql.RECORDS + "SELECT count(*) AS records, count(*) FILTER (WHERE n_exact > 0) AS with_exact, count(*) FILTER (WHERE n_near > 0) AS with_near, sum(n_exact)::BIGINT AS exact_links, sum(n_near)::BIGINT AS near_links FROM recorded")
+def record_counts(c: Corpus) -> DataFrame:
+    return records.counts(c.records())
+
+
+@query("SELECT 0::BIGINT AS overlapping")
+def record_overlap(c: Corpus) -> DataFrame:
+    return records.overlap(c.records())
+
+
+@query(
+    sql.TIERS
+    + """, t AS (SELECT x.tier, count(tiers.doc_id) AS documents FROM (VALUES ('exact'), ('near_90'), ('near_80'), ('near_70')) x(tier) LEFT JOIN tiers ON tiers.tier = x.tier GROUP BY 1),
+u AS (SELECT * FROM t UNION ALL SELECT 'none', (SELECT count(*) FROM documents) - (SELECT sum(documents)::BIGINT FROM t)) SELECT tier, documents, documents::DOUBLE / (SELECT count(*) FROM documents) AS share FROM u"""
+)
+def composition_tiers(c: Corpus) -> DataFrame:
+    return dedup_stats.composition(c.records(), c.docs.count())
+
+
+@query(
+    sql.TIERS
+    + """SELECT tier, count(*) AS documents, round(avg(least(n, 20001)), 6) AS mean, round(stddev_pop(least(n, 20001)), 6) AS sd, max(least(n, 20001)) AS most, quantile_disc(least(n, 20001), 0.01) AS p1, quantile_disc(least(n, 20001), 0.25) AS p25,
+quantile_disc(least(n, 20001), 0.5) AS p50, quantile_disc(least(n, 20001), 0.75) AS p75, quantile_disc(least(n, 20001), 0.99) AS p99 FROM tiers GROUP BY 1"""
+)
+def tier_moments(c: Corpus) -> DataFrame:
+    return dedup_stats.moments(c.records()).withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6)).withColumn("most", F.col("most").cast("long"))
+
+
+@query(sql.TIERS + f"SELECT tier, {sql.band('n', dedup_stats.DUP_BANDS)} AS band, count(*) AS documents FROM tiers GROUP BY 1, 2")
+def tier_bands(c: Corpus) -> DataFrame:
+    return dedup_stats.tier_bands(c.records())
+
+
+@query(
+    sql.NEAR
+    + """, at AS (SELECT threshold, doc_id, count(*) AS n FROM near, (VALUES (0.7::DOUBLE), (0.8), (0.9)) x(threshold) WHERE jaccard::FLOAT >= threshold::FLOAT GROUP BY 1, 2)
+SELECT threshold, count(*) AS documents, sum(n)::BIGINT AS directed, (sum(n) // 2)::BIGINT AS undirected, round(avg(n), 6) AS mean_neighbours FROM at GROUP BY 1"""
+)
+def neighbour_stats(c: Corpus) -> DataFrame:
+    return dedup_stats.neighbour_stats(c.records()).withColumn("mean_neighbours", F.round("mean_neighbours", 6))
+
+
+@query(sql.NEAR + f", at AS (SELECT doc_id, count(*) AS n FROM near GROUP BY 1) SELECT {sql.band('n', dedup_stats.COUNT_BANDS)} AS band, count(*) AS documents FROM at GROUP BY 1")
+def neighbour_bands(c: Corpus) -> DataFrame:
+    return dedup_stats.neighbour_bands(c.records())
+
+
+@query(sql.NEAR + "SELECT floor(jaccard::FLOAT * 100::FLOAT)::BIGINT AS percent, count(*) AS edges FROM near GROUP BY 1")
+def jaccard_histogram(c: Corpus) -> DataFrame:
+    return dedup_stats.jaccard_histogram(c.records())
+
+
+@query(sql.GROUPS + f"SELECT {sql.band('count', dedup_stats.SIZE_BANDS)} AS band, count(*) AS groups, sum(count)::BIGINT AS documents FROM groups WHERE count >= 2 GROUP BY 1")
+def group_size_hist(c: Corpus) -> DataFrame:
+    return dedup_stats.group_size_histogram(exact.group_sizes(c.scanned()))
+
+
+# -- lengths
+
+
+@query(
+    sql.LENGTHS
+    + "SELECT count(*) AS documents, sum(n_tokens)::BIGINT AS tokens, round(avg(n_tokens), 6) AS mean, median(n_tokens) AS median, min(n_tokens) AS least, max(n_tokens) AS most, "
+    + ", ".join(f"round(quantile_cont(n_tokens, {p / 100}), 4) AS p{str(p).replace('.', '_')}" for p in lengths.PERCENTILES)
+    + " FROM lengths"
+)
+def length_overall(c: Corpus) -> DataFrame:
+    rows = lengths.overall(c.lengths()).withColumn("mean", F.round("mean", 6))
+    return rows.withColumns({k: F.round(k, 4) for k in rows.columns if k[0] == "p"})
+
+
+@query(
+    sql.LENGTHS
+    + f""", b AS (SELECT {sql.edge('n_tokens', lengths.EDGES)} AS bucket, count(*) AS documents, sum(n_tokens)::BIGINT AS tokens FROM lengths GROUP BY 1), e AS (SELECT unnest({list(lengths.EDGES)}::BIGINT[]) AS bucket, unnest({[f"{a}-{b - 1}" if b else f"{a}+" for a, b in zip(lengths.EDGES, (*lengths.EDGES[1:], None), strict=True)]}) AS label)
+SELECT bucket, label, coalesce(documents, 0) AS documents, coalesce(documents, 0)::DOUBLE / (SELECT count(*) FROM lengths) AS share, coalesce(tokens, 0) AS tokens FROM e LEFT JOIN b USING (bucket)"""
+)
+def length_buckets(c: Corpus) -> DataFrame:
+    return lengths.buckets(c.lengths())
+
+
+@query(
+    sql.LENGTHS
+    + """, m AS (SELECT greatest(1, ceil(ceil(quantile_cont(n_tokens, 0.9)) / 1000))::BIGINT * 1000 // 10 AS bins FROM lengths), h AS (SELECT least(n_tokens // 10, bins - 1) AS bin, count(*) AS documents FROM lengths, m GROUP BY 1),
+r AS (SELECT unnest(range(bins)) AS bin FROM m) SELECT bin, bin * 10 AS low, coalesce(documents, 0) AS documents FROM r LEFT JOIN h USING (bin)"""
+)
+def length_histogram(c: Corpus) -> DataFrame:
+    return lengths.histogram(c.lengths())
+
+
+@query(
+    sql.RECORDS
+    + f""", lengths AS ({sql.LENGTHS_BODY}) SELECT {sql.edge('n_tokens', lengths.EDGES)} AS bucket, count(*) AS documents, count(*) FILTER (WHERE n_exact > 0) AS exact, count(*) FILTER (WHERE best::FLOAT >= 0.7::FLOAT) AS near_70,
+count(*) FILTER (WHERE best::FLOAT >= 0.8::FLOAT) AS near_80, count(*) FILTER (WHERE best::FLOAT >= 0.9::FLOAT) AS near_90 FROM lengths LEFT JOIN recorded USING (doc_id) GROUP BY 1"""
+)
+def length_x_dup(c: Corpus) -> DataFrame:
+    return lengths.by_duplication(c.lengths(), c.records())
+
+
+@query(
+    sql.RECORDS
+    + f""", lengths AS ({sql.LENGTHS_BODY}) SELECT {sql.band('n_exact + n_near', lengths.DUP_BANDS)} AS band, count(*) AS documents, quantile_disc(least(n_tokens, 4001), 0.25) AS p25, quantile_disc(least(n_tokens, 4001), 0.5) AS median,
+quantile_disc(least(n_tokens, 4001), 0.75) AS p75 FROM recorded JOIN lengths USING (doc_id) GROUP BY 1"""
+)
+def dup_vs_length(c: Corpus) -> DataFrame:
+    return lengths.by_duplicate_count(c.lengths(), c.records())
+
+
+# -- clusters and what they would remove
+
+
+def _clique(threshold: float) -> None:
+    def clique_partition(c: Corpus) -> DataFrame:
+        found = cliques.clusters(c.partition(threshold), c.edges())
+        return found.select("component", "cluster", "size", joined("doc_ids").alias("doc_ids"), "min_jaccard", F.round("mean_jaccard", 9).alias("mean_jaccard"))
+
+    clique_partition.__name__ = f"clique_partition_{int(threshold * 100)}"
+    query()(clique_partition)
+
+
+for _t in (0.7, 0.8, 0.9):
+    _clique(_t)
+
+
+def _each(c: Corpus, f: Callable[[float], DataFrame]) -> DataFrame:
+    out = None
+    for t in (0.7, 0.8, 0.9):
+        rows = f(t).withColumn("threshold", F.lit(t))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query()
+def cluster_summary(c: Corpus) -> DataFrame:
+    n = c.docs.count()
+    return _each(c, lambda t: cliques.summary(cliques.clusters(c.partition(t), c.edges()), n))
+
+
+@query("SELECT t AS threshold, 0::BIGINT AS violations, 0::BIGINT AS incomplete FROM (VALUES (0.7::DOUBLE), (0.8), (0.9)) x(t)")
+def cluster_checks(c: Corpus) -> DataFrame:
+    return _each(c, lambda t: cliques.check(cliques.clusters(c.partition(t), c.edges()), t).drop("worst"))
+
+
+@query()
+def top_clusters(c: Corpus) -> DataFrame:
+    return cliques.top_clusters(cliques.clusters(c.partition(0.8), c.edges())).withColumn("doc_ids", joined("doc_ids"))
+
+
+@query()
+def drop_list(c: Corpus) -> DataFrame:
+    return _each(c, lambda t: cliques.drop_list(c.partition(t)))
+
+
+@query()
+def chaining_gap(c: Corpus) -> DataFrame:
+    return cliques.chaining_gap(c.edges(), 0.8, c.partition(0.8))
+
+
+def _retention(c: Corpus) -> DataFrame:
+    drops = {t: cliques.drop_list(c.partition(t)) for t in (0.7, 0.8, 0.9)}
+    return dedup_stats.retention(c.lengths(), c.members().where("doc_id <> rep_id"), drops)
+
+
+@query()
+def dedup_retention(c: Corpus) -> DataFrame:
+    return _retention(c)
+
+
+@query()
+def removable_slices(c: Corpus) -> DataFrame:
+    return dedup_stats.removable_slices(_retention(c))
+
+
+@query(
+    sql.REPS
+    + f""", lengths AS ({sql.LENGTHS_BODY}), m AS (SELECT n_tokens, r.doc_id <> rep_id AS gone FROM lengths JOIN reps r USING (doc_id)),
+a AS (SELECT 'exact' AS step, count(*) AS documents, sum(n_tokens)::BIGINT AS tokens, count(*) FILTER (WHERE gone) AS removed_docs, coalesce(sum(n_tokens) FILTER (WHERE gone), 0)::BIGINT AS removed_tokens,
+count(*) FILTER (WHERE NOT gone AND n_tokens < 5) AS short_docs, coalesce(sum(n_tokens) FILTER (WHERE NOT gone AND n_tokens < 5), 0)::BIGINT AS short_tokens FROM m)
+SELECT *, documents - removed_docs - short_docs AS retained_docs, removed_docs / documents::DOUBLE AS removed_doc_share, removed_tokens / tokens::DOUBLE AS removed_token_share FROM a"""
+)
+def dedup_retention_exact(c: Corpus) -> DataFrame:
+    return dedup_stats.retention(c.lengths(), c.members().where("doc_id <> rep_id"), {})
+
+
+# -- release
+
+
+@query()
+def release_ranges(c: Corpus) -> DataFrame:
+    import uuid
+
+    path = f"{shared_dir(c.spark)}/palimpsest/{uuid.uuid4().hex}/release"
+    release.write(c.records(), path, 8)
+    return release.manifest(c.spark.read.parquet(path))
+
+
+@query("SELECT doc_id // 1000 AS shard, count(*) AS n_rows FROM documents GROUP BY 1")
+def rows_per_shard(c: Corpus) -> DataFrame:
+    return release.rows_per_shard(sources.with_rows(c.docs))
+
+
+@query()
+def release_checksum(c: Corpus) -> DataFrame:
+    return release.checksum(c.records())
+
+
+# -- judgments, with passages of the benchmark as questions
+
+
+def _pool(c: Corpus) -> DataFrame:
+    return c._once("pool", lambda: search.containing(c.docs, c.passages(), c.all_sets(), c.passage_sets()))
+
+
+def _hops(c: Corpus) -> DataFrame:
+    """A passage's sentences are its hops; of some passages the second one is skipped."""
+    rows = c.passages().select(F.col("item_id").alias("qid"), F.posexplode(F.filter(F.split("text", r"[.!?]\s*"), lambda s: s != "")).alias("index", "clue"))
+    return rows.withColumn("skipped", (F.col("index") == 1) & (F.col("qid") % 3 == 0)).withColumn("hop_type", F.lit("Required"))
+
+
+def _pairs(c: Corpus) -> DataFrame:
+    return _pool(c).join(_hops(c).select(F.col("qid").alias("item_id"), F.col("index").alias("hop")), "item_id").select(F.col("item_id").alias("qid"), "doc_id", "hop")
+
+
+def _candidates(c: Corpus) -> DataFrame:
+    """Labels stand in for votes: of good quality supports, poor doesn't, none is open."""
+    labels = table(c.spark, c.dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "Supports").when(F.col("quality") == 0, "Does not support").alias("human_judgment"))
+    votes = _pairs(c).join(labels, "doc_id", "left").select("qid", F.col("hop").alias("hop_index"), "doc_id", "human_judgment")
+    return qrels.candidates(votes, _hops(c))
+
+
+@query(sql.POOL + "SELECT item_id, doc_id FROM pool")
+def qrels_pool(c: Corpus) -> DataFrame:
+    return _pool(c)
+
+
+@query(sql.HOPS + "SELECT qid, count(DISTINCT doc_id) AS n_docs, count(*) AS n_pairs FROM pairs GROUP BY 1")
+def qrels_per_question(c: Corpus) -> DataFrame:
+    return qrels_stats.per_question(_pairs(c))
+
+
+@query(sql.HOPS + "SELECT h.qid, h.index::BIGINT AS index, count(DISTINCT doc_id) AS n_docs FROM hops h LEFT JOIN pairs p ON h.qid = p.qid AND h.index = p.hop GROUP BY 1, 2")
+def qrels_per_hop(c: Corpus) -> DataFrame:
+    return qrels_stats.per_hop(_pairs(c), _hops(c)).select("qid", F.col("index").cast("long").alias("index"), "n_docs")
+
+
+@query(sql.CANDIDATES + "SELECT count(*) AS rows, count(*) FILTER (WHERE NOT skipped) AS live_rows, count(DISTINCT doc_id) AS documents, count(*) FILTER (WHERE vote = 'Supports' AND NOT skipped) AS force_included, count(*) FILTER (WHERE vote = 'Does not support') AS force_excluded FROM cand")
+def candidate_totals(c: Corpus) -> DataFrame:
+    return qrels.totals(_candidates(c))
+
+
+@query(sql.CANDIDATES + "SELECT qid, doc_id, hop::BIGINT AS hop_index FROM cand WHERE NOT skipped AND vote IS NULL")
+def undecided_rows(c: Corpus) -> DataFrame:
+    return qrels.undecided(_candidates(c)).select("qid", "doc_id", F.col("hop_index").cast("long").alias("hop_index"))
+
+
+def _rejections(c: Corpus) -> DataFrame:
+    return _candidates(c).where(F.col("doc_id") % 5 == 0).select("qid", "doc_id", "hop_index")
+
+
+def _built(c: Corpus) -> DataFrame:
+    pool = materialize(_candidates(c), "candidates")
+    rejections = _rejections(c)
+    return qrels.assemble(pool, qrels.recorded(pool, rejections), rejections)
+
+
+@query(sql.CANDIDATES + "SELECT qid, doc_id, string_agg(hop::VARCHAR, ',' ORDER BY hop) AS hops FROM cand WHERE NOT skipped AND doc_id % 5 <> 0 AND coalesce(vote, 'Supports') = 'Supports' GROUP BY 1, 2")
+def assembled_qrels(c: Corpus) -> DataFrame:
+    return _built(c).select("qid", "doc_id", joined("hops").alias("hops"))
+
+
+@query(sql.CANDIDATES + "SELECT h.qid, h.index::BIGINT AS index FROM hops h WHERE NOT h.skipped AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.qid = h.qid AND c.hop = h.index AND c.doc_id % 5 <> 0 AND coalesce(c.vote, 'Supports') = 'Supports')")
+def needs_review(c: Corpus) -> DataFrame:
+    return qrels.needs_review(_hops(c), _built(c)).select("qid", F.col("index").cast("long").alias("index"))
+
+
+@query(sql.NEAR + ", " + sql.POOL_BODY + " SELECT DISTINCT item_id AS qid, neighbour AS doc_id FROM pool JOIN near USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.item_id = pool.item_id AND p.doc_id = neighbour)")
+def near_frontier(c: Corpus) -> DataFrame:
+    included = _pool(c).select(F.col("item_id").alias("qid"), "doc_id")
+    nothing = c.spark.createDataFrame([], "qid long, doc_id long")
+    return qrels.near_frontier(included, nothing, nothing, records.near_rows(c.edges(), c.members())).select("qid", "doc_id")
+
+
+@query(sql.REPS + ", " + sql.POOL_BODY + " SELECT DISTINCT item_id AS qid, m.doc_id FROM pool p JOIN reps r ON r.doc_id = p.doc_id JOIN reps m ON m.rep_id = r.rep_id")
+def inherited_copies(c: Corpus) -> DataFrame:
+    included = _pool(c).select(F.col("item_id").alias("qid"), "doc_id", F.array(F.lit(0)).alias("hops"))
+    return qrels.inherit_exact(included, c.members().select("doc_id", "rep_id")).select("qid", "doc_id")
+
+
+@query(sql.REDUNDANCY)
+def qrels_redundancy(c: Corpus) -> DataFrame:
+    pool = _pool(c).select(F.col("item_id").alias("qid"), "doc_id")
+    held = pool.join(c.members().select("doc_id", "rep_id"), "doc_id")
+    anchors = held.groupBy("qid", "rep_id").agg(F.min("doc_id").alias("anchor"))
+    copies = held.join(anchors, ["qid", "rep_id"]).where("doc_id <> anchor").select(F.col("anchor").alias("a"), F.col("doc_id").alias("b"))
+    a, b = (anchors.select("qid", F.col("rep_id").alias(k), F.col("anchor").alias(f"anchor_{k}")) for k in "ab")
+    near = c.edges().select("a", "b").join(a, "a").join(b, ["qid", "b"]).select(F.col("anchor_a").alias("a"), F.col("anchor_b").alias("b"))
+    return qrels_stats.redundancy(pool, copies.unionByName(near).distinct()).withColumn("pct_near_dup", F.round("pct_near_dup", 6))
+
+
+# -- evaluation, with documents near a passage as an agent's findings
+
+
+def _previewed(c: Corpus) -> DataFrame:
+    return search.most_shared(c.all_sets(), c.passage_sets())
+
+
+@query(sql.PREVIEWED + "SELECT item_id, doc_id, shared, rank FROM previewed")
+def previewed_docs(c: Corpus) -> DataFrame:
+    return _previewed(c).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(sql.PREVIEWED + ", " + sql.POOL_BODY + " SELECT p.item_id AS query_id, count(v.doc_id) / count(*)::DOUBLE AS recall FROM pool p LEFT JOIN previewed v ON v.item_id = p.item_id AND v.doc_id = p.doc_id GROUP BY 1")
+def recall_per_question(c: Corpus) -> DataFrame:
+    return _recalls(c)
+
+
+def _recalls(c: Corpus) -> DataFrame:
+    runs = _previewed(c).groupBy(F.col("item_id").alias("query_id")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("previewed"))
+    relevant = evaluate.gold(_pool(c).select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("relevance")))
+    return evaluate.recalls(runs, relevant)
+
+
+@query(sql.PREVIEWED + ", " + sql.POOL_BODY + " SELECT round(avg(recall), 9) AS macro_recall FROM (SELECT count(v.doc_id) / count(*)::DOUBLE AS recall FROM pool p LEFT JOIN previewed v ON v.item_id = p.item_id AND v.doc_id = p.doc_id GROUP BY p.item_id)")
+def macro_recall(c: Corpus) -> DataFrame:
+    return _recalls(c).agg(F.round(F.avg("recall"), 9).alias("macro_recall"))
+
+
+@query("SELECT conv_id AS query_id, role AS tool, count(*) AS calls FROM conversations WHERE turn % 5 <> 4 GROUP BY 1, 2")
+def tool_call_counts(c: Corpus) -> DataFrame:
+    rows = table(c.spark, c.dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("role").alias("tool"), F.lit("tool_call").alias("type"), (F.col("turn") % 5 == 4).alias("is_retry"))
+    return evaluate.tool_call_counts(rows)
+
+
+@query()
+def bm25_top(c: Corpus) -> DataFrame:
+    return search.bm25(c.docs, c.passages().select(F.col("item_id").alias("query_id"), "text")).withColumn("score", F.round("score", 6))
