@@ -38,7 +38,7 @@ def rows_per_shard(df: DataFrame) -> DataFrame:
 def checksum(df: DataFrame) -> DataFrame:
     """Rows and the sum of their hashes modulo 2**64: the same in any order of rows and columns."""
     hashed = F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in sorted(df.dtypes)])
-    total = F.pmod(F.sum(hashed.cast("decimal(38,0)")), F.lit(2**64).cast("decimal(38,0)"))
+    total = F.pmod(F.sum(hashed.cast("decimal(38,0)")), F.lit(str(2**64)).cast("decimal(38,0)"))
     return df.agg(F.count(F.lit(1)).alias("n_rows"), total.cast("string").alias("checksum"))
 
 

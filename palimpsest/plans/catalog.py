@@ -280,14 +280,14 @@ def tier_bands(c: Corpus) -> DataFrame:
 
 @query(
     sql.NEAR
-    + """, at AS (SELECT threshold, doc_id, count(*) AS n FROM near, (VALUES (0.7::DOUBLE), (0.8), (0.9)) x(threshold) WHERE jaccard::FLOAT >= threshold::FLOAT GROUP BY 1, 2)
-SELECT threshold, count(*) AS documents, sum(n)::BIGINT AS directed, (sum(n) // 2)::BIGINT AS undirected, round(avg(n), 6) AS mean_neighbours FROM at GROUP BY 1"""
+    + """, per AS (SELECT threshold, doc_id, count(*) AS n FROM near, (VALUES (0.7::DOUBLE), (0.8), (0.9)) x(threshold) WHERE jaccard::FLOAT >= threshold::FLOAT GROUP BY 1, 2)
+SELECT threshold, count(*) AS documents, sum(n)::BIGINT AS directed, (sum(n) // 2)::BIGINT AS undirected, round(avg(n), 6) AS mean_neighbours FROM per GROUP BY 1"""
 )
 def neighbour_stats(c: Corpus) -> DataFrame:
     return dedup_stats.neighbour_stats(c.records()).withColumn("mean_neighbours", F.round("mean_neighbours", 6))
 
 
-@query(sql.NEAR + f", at AS (SELECT doc_id, count(*) AS n FROM near GROUP BY 1) SELECT {sql.band('n', dedup_stats.COUNT_BANDS)} AS band, count(*) AS documents FROM at GROUP BY 1")
+@query(sql.NEAR + f", per AS (SELECT doc_id, count(*) AS n FROM near GROUP BY 1) SELECT {sql.band('n', dedup_stats.COUNT_BANDS)} AS band, count(*) AS documents FROM per GROUP BY 1")
 def neighbour_bands(c: Corpus) -> DataFrame:
     return dedup_stats.neighbour_bands(c.records())
 
