@@ -114,7 +114,7 @@ def ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log p_trusted - log p_raw of every bucket; words and pairs have multinomials of their own."""
     good = _labelled(labels).where("good and not held").select("of", "good")
     few = good.count() <= BROADCAST_LABELS
-    marked = docs.join(F.broadcast(good) if few else good, docs["doc_id"] == good["of"], "left").select(docs["text"], F.coalesce("good", F.lit(False)).alias("good"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(good) if few else good, F.col("doc_id") == F.col("of"), "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = marked.mapInArrow(_count, "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).toPandas()
     raw, trusted = np.zeros(2 * BUCKETS), np.zeros(2 * BUCKETS)
     raw[counts["bucket"]], trusted[counts["bucket"]] = counts["raw"], counts["trusted"]

@@ -165,6 +165,8 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     clean = F.aggregate("_findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     out = findings.withColumn("text", F.when(F.size("_findings") > 0, clean).otherwise(text))
+    if "n_chars" not in docs.columns:
+        return out.select(*docs.columns)
     return out.withColumn("n_chars", F.when(F.size("_findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     parts = [known.where(F.col("toxic") == y).orderBy("by", "of").limit(k) for y, k in ((1, toxic_rows), (0, clean_rows))]
     chosen = parts[0].unionByName(parts[1]).withColumn("fold", F.pmod(F.xxhash64("of", F.lit(7)), F.lit(FOLDS)).cast("int"))
-    sample = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["of"]).select("text", "toxic", "fold")  # at most toxic_rows + clean_rows
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "toxic", "fold")  # at most toxic_rows + clean_rows
     sample = materialize(sample, "sample")
     sizes = np.zeros((FOLDS, 2))
     for r in sample.groupBy("fold", "toxic").count().collect():
