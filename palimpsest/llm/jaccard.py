@@ -45,7 +45,8 @@ from palimpsest.sources.tables import materialize
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 128
 BUCKET = 2000
-WEIGHT = 400_000
+WEIGHT = 100_000
+BROADCAST_MEMBERS = 500_000
 _M1, _M2, _MUL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -300,8 +301,10 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     # a component with many n-grams is dealt into parts, and each pair of parts is a task
     weights = members.groupBy("component").agg(F.sum("grams").alias("weight")).withColumn("parts", F.ceil(F.col("weight") / WEIGHT).cast("int"))
     dealt = members.join(weights.select("component", "parts"), "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # few members are broadcast, so that only their texts move; many are joined by a shuffle
+    few = members.count() <= BROADCAST_MEMBERS
     text = docs.select(docs["doc_id"].cast("long").alias("rep"), "text")
-    dealt = text.join(dealt, "rep")
+    dealt = text.join(F.broadcast(dealt) if few else dealt.hint("merge"), "rep")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
     tasks = dealt.select("component", "rep", "copies", "part", "text", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "rep", "part", "copies", "text")
     tasks = tasks.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
