@@ -111,7 +111,7 @@ RULES = (
 
 HINT = re.compile(r"licen[sc]e|spdx|permission|redistribut|warrant|rights reserved|public domain|free software|copyright|liable|endorse|neither the name|obtain a copy", re.I)
 PIECE = re.compile(r"[^\n]+")
-ENDS = re.compile(r"(?<=[.!?;:])\s+")
+ENDS = re.compile(r"(?<=[.!?;])\s+|(?<=:)(?<!dentifier:)\s+")
 MARKS = re.compile(r"^[\s#/*;%<!-]+")
 APART_FROM_WORDS = re.compile(r"[^a-z0-9]+")
 GRANT = re.compile(r"^(?:(?:this|the|all|these|our) (?:[a-z]+ ){1,4}?(?:is|are) )?(?:dual )?(?:licensed|released|distributed|published|available|provided|made available|shared) under (?:the )?(?:terms of )?(?:the |a |an )?(.+)$")
