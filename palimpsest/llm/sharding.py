@@ -8,7 +8,8 @@ own, so one huge group of copies doesn't raise the capacity of the others; the
 largest shard is the minimax one either way.
 
 The group sizes are never brought to the driver. It sees one row for each block
-of about ``BLOCK`` neighbouring groups: with these it bounds the capacity from
+of ``BLOCK`` neighbouring groups (more, so that there are about ``DIRECTORY``
+blocks at most): with these it bounds the capacity from
 both sides, then asks only for the groups of blocks in which a cut can still
 lie, and ends the search exactly.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from palimpsest.sources.tables import materialize
 
 SHARDS = 16
-BLOCK = 4096
+BLOCK, DIRECTORY = 4096, 200_000
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbered(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
     """Numbers the rows of a sorted partition and adds up sizes and counts before each."""
     rows = bytes_ = docs = 0
     for b in batches:
@@ -54,7 +55,7 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, counts = np.cumsum(size), np.cumsum(n)
         place = rows + np.arange(b.num_rows)
         yield pa.RecordBatch.from_arrays(
-            [b.column("part"), pa.array(place // BLOCK), b.column("first"), b.column("gid"), pa.array(size), pa.array(n), pa.array(bytes_ + sums - size), pa.array(docs + counts - n)],
+            [b.column("part"), pa.array(place // block), b.column("first"), b.column("gid"), pa.array(size), pa.array(n), pa.array(bytes_ + sums - size), pa.array(docs + counts - n)],
             names=["part", "block", "first", "gid", "size", "n", "at", "docs_at"],
         )
         rows, bytes_, docs = rows + b.num_rows, bytes_ + int(sums[-1]), docs + int(counts[-1])
@@ -184,7 +185,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = groups.repartitionByRange(parts, "first", "gid").sortWithinPartitions("first", "gid").withColumn("part", F.spark_partition_id())
-    placed = materialize(ordered.mapInArrow(_numbered, NUMBERED), "placed")
+    block = max(BLOCK, groups.count() // DIRECTORY)
+    placed = materialize(ordered.mapInArrow(lambda b: _numbered(b, block), NUMBERED), "placed")
     capacity, cuts, offsets, docs_before = cut(placed, shards)
     return _assigned(rows, placed, shards, capacity, cuts, offsets, docs_before)
 
