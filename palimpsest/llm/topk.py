@@ -15,7 +15,7 @@ with the annulus that they fill.
    only the rows whose pivot distance allows it.
 
 Results are exact: scores are integers, bounds have slack for rounding, and
-what ties with the k-th score is kept until ids decide.
+what ties with the k-th score is kept if its id isn't larger than the k-th's.
 
 Queries travel in chunks and vectors in blocks, so a task holds one of each.
 The driver holds the directory, one row a block, kept under about
@@ -109,7 +109,8 @@ def _scores(queries: np.ndarray, block: np.ndarray) -> np.ndarray:
     return queries.astype(np.int64) @ block.astype(np.int64).T
 
 
-PAIRS = "block long, queries binary, vectors binary, bounds binary"
+PAIRS = "block long, queries binary, vectors binary, bounds binary, ties binary"
+LAST = np.iinfo(np.int64).max
 
 
 class Index:
@@ -166,14 +167,14 @@ class Index:
             yield block()
 
     def chunks(self, queries: DataFrame) -> DataFrame:
-        """Queries packed into chunks of neighbours: rows (ids, matrix, bounds)."""
+        """Queries packed into chunks of neighbours: rows (ids, matrix, bounds, ids that ties may have at most)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, CHUNK):
                     part = batch.slice(at, CHUNK)
-                    row = [part.column("vec_id").to_numpy().tobytes(), _rows(part.column("v"), self.size).tobytes(), part.column("bound").to_numpy(zero_copy_only=False).astype(np.float64).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row], names=["queries", "vectors", "bounds"])
+                    row = [part.column("vec_id").to_numpy().tobytes(), _rows(part.column("v"), self.size).tobytes(), part.column("bound").to_numpy(zero_copy_only=False).astype(np.float64).tobytes(), part.column("tie").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in row], names=["queries", "vectors", "bounds", "ties"])
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -182,9 +183,9 @@ class Index:
                     d = distances(np.column_stack([x, np.zeros(len(x))]), self.pivots)
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], names=[*batch.schema.names, "pivot", "far"])
 
-        placed = queries.select("vec_id", "v", "bound").mapInArrow(place, "vec_id long, v binary, bound double, pivot int, far double")
+        placed = queries.select("vec_id", "v", "bound", "tie").mapInArrow(place, "vec_id long, v binary, bound double, tie long, pivot int, far double")
         ordered = placed.repartitionByRange(self.parts, "pivot", "far", "vec_id").sortWithinPartitions("pivot", "far", "vec_id")
-        return ordered.mapInArrow(run, "queries binary, vectors binary, bounds binary")
+        return ordered.mapInArrow(run, "queries binary, vectors binary, bounds binary, ties binary")
 
     def _reach(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances to the pivots, and the distance within which scores reach the bound."""
@@ -213,14 +214,14 @@ class Index:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = self.directory["block"].to_numpy()
             for batch in batches:
-                for ids, packed, bounds in zip(*[batch.column(c).to_pylist() for c in ("queries", "vectors", "bounds")], strict=True):
-                    q, bound = np.frombuffer(ids, np.int64), np.frombuffer(bounds)
+                for ids, packed, bounds, ties in zip(*[batch.column(c).to_pylist() for c in ("queries", "vectors", "bounds", "ties")], strict=True):
+                    q, bound, tie = np.frombuffer(ids, np.int64), np.frombuffer(bounds), np.frombuffer(ties, np.int64)
                     x = np.frombuffer(packed).reshape(len(q), self.size)
                     wanted = self._wanted(x, bound, k, home)
                     for b in np.flatnonzero(wanted.any(0)):
                         rows = wanted[:, b]
-                        row = [int(names[b]), q[rows].tobytes(), x[rows].tobytes(), bound[rows].tobytes()]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "queries", "vectors", "bounds"])
+                        row = [int(names[b]), q[rows].tobytes(), x[rows].tobytes(), bound[rows].tobytes(), tie[rows].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["block", "queries", "vectors", "bounds", "ties"])
 
         return chunks.mapInArrow(run, PAIRS)
 
@@ -228,10 +229,11 @@ class Index:
         """Each query's best of a block: at most k rows, none under the query's bound."""
         for batch in batches:
             for r in batch.to_pylist():
-                q, bound = np.frombuffer(r["queries"], np.int64), np.frombuffer(r["bounds"])
+                q, bound, tie = np.frombuffer(r["queries"], np.int64), np.frombuffer(r["bounds"]), np.frombuffer(r["ties"], np.int64)
                 x = np.frombuffer(r["vectors"]).reshape(len(q), self.size)
                 ids, fars = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["fars"])
                 matrix = np.frombuffer(r["matrix"]).reshape(len(ids), self.size)
+                tie = np.where(np.abs(bound) < 2.0**53, tie, LAST)  # beyond, unlike scores can look equal
                 d, reach = self._reach(x, bound)
                 own = d[:, r["pivot"]]
                 low, high = np.searchsorted(fars, (own - reach).min(), "left"), np.searchsorted(fars, (own + reach).max(), "right")
@@ -239,7 +241,7 @@ class Index:
                 scores = _scores(x, matrix)
                 a, b, c = [], [], []
                 for i in range(len(q)):
-                    at = np.flatnonzero((scores[i] >= bound[i]) & (ids != q[i]))
+                    at = np.flatnonzero(((scores[i] > bound[i]) | (scores[i] == bound[i]) & (ids <= tie[i])) & (ids != q[i]))
                     if len(at) > k:
                         least = np.partition(scores[i][at], len(at) - k)[len(at) - k]
                         at = at[scores[i][at] >= least]
@@ -261,9 +263,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     index = Index(rows, count, block)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = index.search(asked.withColumn("bound", F.lit(float("-inf"))), k, home=True)
-    best = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("bound"))
-    best = materialize(best.groupBy("query_id").agg(F.max("bound").alias("bound")), "bounds")
-    bounded = asked.join(best, asked["vec_id"] == best["query_id"], "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
+    open_, last = F.lit(float("-inf")), F.lit(int(LAST))
+    first = index.search(asked.withColumn("bound", open_).withColumn("tie", last), k, home=True)
+    best = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
+    best = materialize(best.select("query_id", F.col("score").cast("double").alias("bound"), F.col("vec_id").alias("tie")), "bounds")
+    bounded = asked.join(best, asked["vec_id"] == best["query_id"], "left").withColumn("bound", F.coalesce("bound", open_)).withColumn("tie", F.coalesce("tie", last))
     found = index.search(bounded, k, home=False)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

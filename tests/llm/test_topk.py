@@ -50,7 +50,7 @@ def test_expansion_skips_blocks(spark):
     index = topk.Index(rows, 10, 64)
     one = rows.where("vec_id = 0")
     best = sorted(int(v) for v in np.floor(64 * x)[1:] @ np.floor(64 * x[0]))[-20]
-    pairs = index.pairs(index.chunks(one.withColumn("bound", F.lit(float(best)))), 20, home=False)
+    pairs = index.pairs(index.chunks(one.withColumn("bound", F.lit(float(best))).withColumn("tie", F.lit(int(topk.LAST)))), 20, home=False)
     assert 0 < pairs.count() < len(index.directory)
 
 
