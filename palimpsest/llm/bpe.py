@@ -64,18 +64,30 @@ class Automaton:
         size = max(self.labels, default=-1) + 1
         self.born, self.row, self.column = [-1] * size, [-1] * size, [-1] * size
         self.lost: dict[tuple[int, int], int] = {}
-        self.longest = max((len(s.removesuffix(end)) for s in vocabulary), default=1)
+        self.lost_labels: set[int] = set()
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self._arcs: dict[tuple[int, int], bool] = {}
+        self.trie: dict = {}  # by character; "" has a label's id, "end" that of the label that ends a word
+        for label, i in vocabulary.items():
+            symbol = len(label.removesuffix(end)) == 1
+            if i in self.lost_labels or not symbol and self.born[i] < 0:
+                continue
+            node = self.trie
+            for character in label.removesuffix(end):
+                node = node.setdefault(character, {})
+            node["end" if label.endswith(end) else ""] = i
+        self._arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
+        if {u, v} & self.lost_labels or not self._look_up(u, v):  # no state has the arcs to be joined
+            self.lost_labels.add(w)
+            return
         self.born[w], self.row[w], self.column[w] = rank, v, u
-        self.lost.setdefault((u, v), rank)
+        self.lost[u, v] = rank
 
     def has_arc(self, state: int, label: int) -> bool:
         """Whether the state reached by token ``state`` has an arc ``label``."""
-        key = (state, label)
+        key = state << 32 | label
         known = self._arcs.get(key)
         if known is None:
             if len(self._arcs) >= ARCS:
@@ -97,33 +109,64 @@ class Automaton:
             else:  # the state took its arcs before the gadget's own loss
                 before, p = a, self.row[p]
 
+    def _labels_at(self, word: str, at: int) -> list[tuple[int, int]]:
+        """The labels that spell on from a place, as (place after, id), short ones first."""
+        out, node, n = [], self.trie, len(word)
+        for stop in range(at + 1, n):
+            node = node.get(word[stop - 1])
+            if node is None:
+                return out
+            label = node.get("")
+            if label is not None:
+                out.append((stop, label))
+        label = node.get(word[-1], {}).get("end")
+        if label is not None:
+            out.append((n, label))
+        return out
+
     def encode_word(self, word: str) -> list[int]:
-        """The labels' ids on the path that spells a word of byte symbols, its last one marked as the end."""
-        n, ids, has_arc = len(word), self.ids, self.has_arc
+        """The labels' ids on the path that spells a word of byte symbols, its last one marked as the end.
+
+        A place is reached by one path only, so one that led nowhere stays dead.
+        """
+        n, has_arc = len(word), self.has_arc
         path: list[int] = []
-        ends: list[int] = [0]
+        held: list[tuple[int, list[tuple[int, int]]]] = []
         dead: set[int] = set()
-        at, stop = 0, min(n, self.longest)
+        at, labels = 0, self._labels_at(word, 0)
         while True:
-            token = None
-            while stop > at:
-                token = ids.get(word[at:] + self.end) if stop == n else ids.get(word[at:stop])
-                if token is not None and stop not in dead and (not path or has_arc(path[-1], token)):
+            while labels:
+                stop, label = labels.pop()
+                if stop not in dead and (not path or has_arc(path[-1], label)):
                     break
-                token, stop = None, stop - 1
-            if token is None:
+            else:
                 if not path:
                     raise ValueError(f"no path spells {word!r}")
                 dead.add(at)
                 path.pop()
-                stop = ends.pop() - 1
-                at = ends[-1]
+                at, labels = held.pop()
                 continue
-            path.append(token)
+            path.append(label)
             if stop == n:
                 return path
-            ends.append(stop)
-            at, stop = stop, min(n, stop + self.longest)
+            held.append((at, labels))
+            at, labels = stop, self._labels_at(word, stop)
+
+
+class _Kept(dict):
+    """A bounded table that works out what it lacks."""
+
+    def __init__(self, make, longest: int = 40):
+        super().__init__()
+        self.make, self.longest = make, longest
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= PIECES:
+                self.clear()
+            self[key] = value
+        return value
 
 
 class Tokenizer:
@@ -132,8 +175,9 @@ class Tokenizer:
     def __init__(self, content: str):
         spec = json.loads(content)
         model = spec["model"]
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0].get("pattern", {}).get("Regex")
+        before, splits = (spec[part] or {} for part in ("normalizer", "pre_tokenizer"))
+        kinds = [x["type"] for x in before.get("normalizers", ())], [x["type"] for x in splits.get("pretokenizers", ())]
+        pattern = splits["pretokenizers"][0].get("pattern", {}).get("Regex") if kinds[1] else None
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or pattern != WORDS or model["type"] != "BPE":
             raise ValueError("a tokenizer file of another kind")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -144,8 +188,8 @@ class Tokenizer:
         self._space = re.compile(f"[{SPACE}]+")
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else re.compile("(?!)")
         self._symbols = byte_symbols()
-        self._of_word: dict[str, tuple[int, ...]] = {}
-        self._of_piece: dict[str, tuple[str, str]] = {}
+        self._of_word = _Kept(lambda word: tuple(self.automaton.encode_word(word)))
+        self._of_piece = _Kept(self._written_piece)
 
     def _split(self, piece: str) -> list[str]:
         """The words of a piece without white space or special tokens, in byte symbols."""
@@ -155,24 +199,24 @@ class Tokenizer:
 
                 self._library = Library.from_str(self._content)
             return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece))]
-        plain = unicodedata.normalize("NFC", piece).lower()
-        return [w if w.isascii() and w.isprintable() else "".join(map(self._symbols.__getitem__, w.encode())) for w in self._words.findall(plain)]
+        if piece.isascii():
+            plain = piece.lower()
+            if plain.isalpha():
+                return [plain]
+            return [w if w.isprintable() else self._in_symbols(w) for w in self._words.findall(plain)]
+        return [w if w.isascii() and w.isprintable() else self._in_symbols(w) for w in self._words.findall(unicodedata.normalize("NFC", piece).lower())]
+
+    def _in_symbols(self, word: str) -> str:
+        return "".join(map(self._symbols.__getitem__, word.encode()))
 
     def _tokens(self, piece: str) -> list[int]:
         out: list[int] = []
-        for i, part in enumerate(self._special.split(piece)):
+        for i, part in enumerate(self._special.split(piece) if "<" in piece else (piece,)):
             if i % 2:
                 out.append(self.special[part])
-                continue
-            for word in self._split(part) if part else ():
-                ids = self._of_word.get(word)
-                if ids is None:
-                    ids = tuple(self.automaton.encode_word(word))
-                    if len(word) <= 40:
-                        if len(self._of_word) >= PIECES:
-                            self._of_word.clear()
-                        self._of_word[word] = ids
-                out.extend(ids)
+            elif part:
+                for word in self._split(part):
+                    out.extend(self._of_word[word])
         return out
 
     def _pieces(self, text: str) -> list[str]:
@@ -186,24 +230,14 @@ class Tokenizer:
         """The labels of the arcs with these ids; the file names no decoder, so a space joins them."""
         return " ".join(map(self.labels.__getitem__, ids))
 
+    def _written_piece(self, piece: str) -> tuple[str, str]:
+        own = self._tokens(piece)
+        return " ".join(map(str, own)), self.decode(own)
+
     def written(self, text: str | None) -> tuple[str, str]:
         """The ids of a text in decimal and the decoded text, both joined by a space."""
-        known, ids, labels = self._of_piece, [], []
-        for piece in self._pieces(text or ""):
-            got = known.get(piece)
-            if got is None:
-                if not piece:
-                    continue
-                own = self._tokens(piece)
-                got = " ".join(map(str, own)), self.decode(own)
-                if len(piece) <= 40:
-                    if len(known) >= PIECES:
-                        known.clear()
-                    known[piece] = got
-            if got[0]:
-                ids.append(got[0])
-                labels.append(got[1])
-        return " ".join(ids), " ".join(labels)
+        found = list(map(self._of_piece.__getitem__, filter(None, self._pieces(text or ""))))
+        return " ".join([f[0] for f in found if f[0]]), " ".join([f[1] for f in found if f[0]])
 
 
 _loaded: dict[str, Tokenizer] = {}
