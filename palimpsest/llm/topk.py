@@ -8,8 +8,8 @@ holds. Pivots come from a few rounds of k-means on a bounded sample
 to it, and the index is one table of blocks: neighbours in that order, packed,
 with the annulus that they fill.
 
-1. Each query searches the annuli nearest its own place until it has met k
-   others. Its k-th score bounds the distance that can still matter.
+1. Each query searches the annuli nearest its own place until it has met
+   ``HOME`` others (at least k), however small the blocks. Its k-th score bounds the distance that can still matter.
 2. The annuli are then expanded: a block is searched only if, by the triangle
    inequality, it can hold a vector within that distance, and within the block
    only the rows whose pivot distance allows it.
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from palimpsest.sources.tables import materialize
 
 SAMPLE, PIVOTS, ROUNDS = 8192, 64, 8
-BLOCK, DIRECTORY, CHUNK = 1024, 200_000, 256
+BLOCK, DIRECTORY, CHUNK, HOME = 1024, 200_000, 256, 1024
 
 
 def _rows(column: pa.Array, size: int) -> np.ndarray:
@@ -116,8 +116,8 @@ LAST = np.iinfo(np.int64).max
 class Index:
     """Blocks of vectors by nearest pivot and distance, and their directory."""
 
-    def __init__(self, vectors: DataFrame, count: int = PIVOTS, block: int = BLOCK):
-        self.vectors = vectors
+    def __init__(self, vectors: DataFrame, count: int = PIVOTS, block: int = BLOCK, met: int = HOME):
+        self.vectors, self.met = vectors, met
         spark = vectors.sparkSession
         n, most, size = vectors.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.octet_length("v"))).first()
         self.n, self.most, self.size = n, most or 0, (size or 0) // 8
@@ -205,7 +205,7 @@ class Index:
         order = np.lexsort((np.broadcast_to(d[:, pivot], gap.shape), gap), axis=1) if len(t) else np.zeros((len(x), 0), int)
         before = np.cumsum(n[order], 1) - n[order]
         out = np.zeros(gap.shape, bool)
-        np.put_along_axis(out, order, before <= k, 1)
+        np.put_along_axis(out, order, before <= max(k, self.met), 1)
         return out
 
     def pairs(self, chunks: DataFrame, k: int, home: bool) -> DataFrame:
@@ -257,10 +257,10 @@ class Index:
         return pairs.join(self.blocks.select("block", "pivot", "ids", "fars", "matrix"), "block").mapInArrow(lambda b: self._found(b, k), "query_id long, vec_id long, score long")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", vector: str = "embedding", count: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", vector: str = "embedding", count: int = PIVOTS, block: int = BLOCK, met: int = HOME) -> DataFrame:
     """Each query's k best of all other rows: query_id, rank, vec_id, score; ties go to the smaller id."""
     rows = materialize(quantised(vectors, vec_id, vector, scale), "vectors")
-    index = Index(rows, count, block)
+    index = Index(rows, count, block, met)
     asked = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     open_, last = F.lit(float("-inf")), F.lit(int(LAST))

@@ -38,7 +38,7 @@ def test_as_brute_force(spark, case):
         x[::3] = x[0]
     rows = [(i, [float(np.float32(f)) for f in v]) for i, v in enumerate(x)]
     df = spark.createDataFrame([(*r, "", "", "") for r in rows], SCHEMA)
-    assert got(topk.search(df, F.col("vec_id") % 20 == 0, count=8, block=32)) == brute(rows)
+    assert got(topk.search(df, F.col("vec_id") % 20 == 0, count=8, block=32, met=20)) == brute(rows)
 
 
 def test_expansion_skips_blocks(spark):
