@@ -58,6 +58,17 @@ EXTRA_RULES = (
 )
 
 RULES = BASE_RULES + EXTRA_RULES
+
+#: A whole private key: from its BEGIN line through the next END line; where another block begins first
+#: or no END line follows, through its header lines and the base64 lines after them.
+_BEGIN, _END = r"-{4,5}\x20?BEGIN(?: [A-Z0-9]+)* PRIVATE KEY(?: BLOCK)?\x20?-{4,5}", r"-{4,5}\x20?END(?: [A-Z0-9]+)* PRIVATE KEY(?: BLOCK)?\x20?-{4,5}"
+_MARKS = r"""[\s\\"'>#*|,]"""
+_HEADER = r"[ \t]*(?:\r?\n|\\n)[ \t>#*]{0,8}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|Subject):[^\r\n\\]*+"
+_BODY = rf"(?:{_MARKS}{{1,12}}+[A-Za-z0-9+/=]{{20,}}+|[ \t]*(?:\r?\n{_MARKS}{{0,8}}+|\\n)[A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n\\]|\z)))*+"
+KEY = Rule("private_key", rf"{_BEGIN}(?:(?:(?!-----BEGIN )[\s\S])*?{_END}|(?:{_HEADER})*+{_BODY})", version=2)
+
+#: What ``redact`` looks for. ``RULES`` stays as the query's SQL has it, with the BEGIN line alone.
+REDACTED = tuple(KEY if r.kind == KEY.kind else r for r in RULES)
 BROADCAST_BLOBS = 50_000
 
 FINDING = "struct<start:int,ord:int,kind:string,end:int,rule:string>"
@@ -146,10 +157,11 @@ def spans(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced; all rows and columns stay.
 
-    Overlapping spans are replaced as one. ``n_chars`` follows the new text.
+    Overlapping spans are replaced as one, and private keys as a whole.
+    ``n_chars`` follows the new text.
     """
     findings, _ = scan_secrets(docs, "text", docs.columns, rules=rules)
     text = F.col("text")

@@ -60,6 +60,27 @@ def test_redaction(spark):
     assert got[2]["text"] == "clean" and got[3]["text"] is None
 
 
+BODY = "\n".join("MIIEow" + "aB3/+x" * 9 + "Zq7Q" for _ in range(12)) + "\nQ9xK+a=="
+KEYS = [
+    (f"a -----BEGIN RSA PRIVATE KEY-----\n{BODY}\n-----END RSA PRIVATE KEY----- b", "a [SECRET] b"),
+    (f"a\n-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n{BODY}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----\nb", "a\n[SECRET]\nb"),
+    (f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{BODY}\nThe rest is prose.", "[SECRET]\nThe rest is prose."),
+    ("-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 2\n\n" + BODY, "[SECRET]"),
+    ("k = '-----BEGIN EC PRIVATE KEY-----\\n" + BODY.replace("\n", "\\n") + "\\n-----END EC PRIVATE KEY-----\\n' x", "k = '[SECRET]\\n' x"),
+    (f"-----BEGIN PRIVATE KEY-----\n{BODY}\nwords between the two\n-----BEGIN PRIVATE KEY-----\n{BODY}\n-----END PRIVATE KEY-----\nz", "[SECRET]\nwords between the two\n[SECRET]\nz"),
+    ("-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----", "-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----"),
+    ("the line -----BEGIN RSA PRIVATE KEY----- opens a key", "the line [SECRET] opens a key"),
+    ("-----BEGIN PRIVATE KEY-----\n" + (BODY + "\n") * 2000 + "-----END PRIVATE KEY-----.", "[SECRET]."),
+    ("-----BEGIN PRIVATE KEY-----\n" + ("A" * 64 + "\n") * 20_000 + "so.", "[SECRET]\nso."),
+]
+
+
+def test_whole_keys_are_redacted(spark):
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(KEYS)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert [got[i] for i in range(len(KEYS))] == [want for _, want in KEYS]
+
+
 def test_awkward_rows(awkward, nothing):
     got = secrets.digest(secrets.scan_secrets(awkward)[0])
     assert got.count() == awkward.count() and got.where("doc_id = 7").first()["spans"] == "assign:0:24,access:29:49"
