@@ -9,6 +9,10 @@ the join, and lengths too unlike are dropped before sets are compared.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +20,9 @@ from palimpsest.functions.shingles import gram_sets
 from palimpsest.operators.exact import representatives, scan
 from palimpsest.sources.tables import materialize
 
+#: N-grams of a part of a component; each pair of parts is a task.
+WEIGHT = 500_000
+
 
 def jaccard(shared: Column, left: Column, right: Column) -> Column:
     """i / (a + b - i), 0 for two empty sets."""
@@ -38,6 +45,74 @@ def verified(links: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", jaccard(shared, F.size("ga"), F.size("gb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each left set shares with each right one, by products over blocks of n-grams."""
+    known, inverse = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    common = np.bincount(inverse, minlength=len(known)) > 1
+    place = np.cumsum(common) - 1
+    keep = common[inverse]
+    row, column = row[keep], place[inverse[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    width = max(64, 4_000_000 // (len(left) + len(right)))
+    for at in range(0, int(place[-1]) + 1, width):
+        a, b = np.searchsorted(column, [at, at + width])
+        if a < b:
+            block = np.zeros((len(left) + len(right), width), np.float32)
+            block[row[a:b], column[a:b] - at] = 1
+            out += block[: len(left)] @ block[len(left) :].T
+    return out
+
+
+def _within(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The near pairs of tasks (component, i, j), in a partition sorted by them."""
+
+    def pairs(key: tuple, rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        left, right = ([r for r in rows if r[0] == p] for p in key[1:])
+        ids, sizes = np.array([r[1] for r in right], np.int64), np.array([len(r[2]) for r in right], np.float64)
+        step = 256 if len(right) else len(left) + 1
+        for at in range(0, len(left) if len(right) else 0, step):
+            part = left[at : at + step]
+            shared = _shared([r[2] for r in part], [r[2] for r in right])
+            own = np.array([r[1] for r in part], np.int64)[:, None]
+            alike = shared / (np.array([len(r[2]) for r in part], np.float64)[:, None] + sizes - shared)
+            # within one part each pair is met twice
+            x, y = np.nonzero((alike >= threshold) & ((own < ids) if key[1] == key[2] else (own != ids)))
+            a, b = own[x, 0], ids[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(alike[x, y])], names=["a", "b", "jaccard"])
+
+    last, held = None, []
+    for batch in batches:
+        keys = zip(*[batch.column(c).to_pylist() for c in ("component", "i", "j")], strict=True)
+        for key, part, doc, own in zip(keys, batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("grams"), strict=True):
+            if key != last and held:
+                yield from pairs(last, held)
+                held = []
+            last = key
+            held.append((part, doc, own.values.to_numpy()))
+    if held:
+        yield from pairs(last, held)
+
+
+def pairs_within(labelled: DataFrame, sets: DataFrame, threshold: float, weight: int = WEIGHT) -> DataFrame:
+    """(a, b, jaccard) of all pairs in the same component, for (doc_id, component), that reach the threshold.
+
+    A component beyond ``weight`` n-grams is dealt into parts, and each pair
+    of parts is a task, so that no task holds more than two parts.
+    """
+    members = labelled.select("doc_id", "component").join(sets.where(F.size("grams") > 0), "doc_id")
+    members = materialize(members, "members")
+    weights = members.groupBy("component").agg(F.ceil(F.sum(F.size("grams")) / weight).cast("int").alias("parts"))
+    dealt = members.join(weights, "component").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    tasks = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
+    rows = dealt.select("component", "doc_id", "part", "grams", F.explode(tasks).alias("p")).select("component", "p.i", "p.j", "part", "doc_id", "grams")
+    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    return rows.mapInArrow(lambda b: _within(b, threshold), "a long, b long, jaccard double")
+
+
 def prefix_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     known = sets.where(F.size("grams") > 0)
     rows = known.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))

@@ -198,8 +198,8 @@ def gated_components(c: Corpus) -> DataFrame:
 
 @query()
 def lsh_near_pairs(c: Corpus) -> DataFrame:
-    """Near pairs by banding and verification, without the exact prefix join."""
-    return similarity.verified(minhash.gated_links(c.signed()), c.sets(), 0.7)
+    """Near pairs by banding and verification of all pairs in a component, without the exact prefix join."""
+    return similarity.pairs_within(cliques.components(minhash.gated_links(c.signed())), c.sets(), 0.7)
 
 
 def _near(threshold: float) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions.shingles import gram_sets
 from palimpsest.operators import cliques, components, dedup_stats, exact, minhash, records, release, similarity
 from palimpsest.sources import sinks
-from tests.corpora import near_rows, record_rows
+from tests.corpora import near_rows, record_rows, words
 
 
 def frame(spark, rows):
@@ -47,6 +47,18 @@ def test_candidates_hold_the_pairs(near):
     assert {(r["a"], r["b"]) for r in similarity.verified(links, near[1], 0.7).collect()} >= {(5, 1020), (5, 2040), (90, 1100)}
 
 
+def test_pairs_of_a_large_group(spark):
+    # buckets of more than 16 members link each member with the smallest alone
+    rows = {i: words("g", {range(6 * i, 6 * i + 3): f"x{i}q"}) for i in range(60)} | {100 + i: words("h", {range(30 * i, 30 * i + 25): "x"}) for i in range(20)} | {200: words("z")}
+    sets = similarity.materialize(similarity.representative_sets(frame(spark, rows)), "sets")
+    want = {(r["a"], r["b"]): r["jaccard"] for r in similarity.near_pairs(sets).collect()}
+    labelled = cliques.components(minhash.gated_links(minhash.signed_bands(sets, 73, 7)))
+    assert len(want) >= 60 * 59 // 2
+    for weight in (similarity.WEIGHT, 4_000):
+        got = similarity.pairs_within(labelled, sets, 0.7, weight).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
+
+
 def test_copies_have_no_cluster(near):
     members = {r["doc_id"] for r in cliques.partition(near[2], 0.7).collect()}
     assert not members & {130, 3120}
