@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import bucket_label
 from palimpsest.operators.components import connected_components
+from palimpsest.sources.tables import materialize
 
+#: Members of a component whose links are held in memory; those of a larger one are kept in a file.
 MAX_COMPONENT = 40_000
 #: Inclusive bands of component sizes.
 SIZE_BANDS = [(2, 2), (3, 9), (10, 99), (100, 999), (1000, 9999), (10_000, None)]
@@ -49,22 +56,117 @@ def component_sizes(labelled: DataFrame) -> DataFrame:
 
 
 def oversized(labelled: DataFrame, most: int = MAX_COMPONENT, shown: int = 50) -> DataFrame:
-    """Components too large to partition, with their first ids."""
+    """Components that are partitioned with their links in a file, with their first ids."""
     large = component_sizes(labelled).where(F.col("size") > most)
     rank = F.row_number().over(Window.partitionBy("component").orderBy("doc_id"))
     first = labelled.join(large, "component").withColumn("rank", rank).where(F.col("rank") <= shown)
     return first.groupBy("component", "size").agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
 
 
+def greedy_places(first: np.ndarray, starts: np.ndarray, later: np.ndarray, n: int) -> Iterator[list[int]]:
+    """The groups of ``greedy_cliques``, for places 0..n-1 in its order.
+
+    ``later[starts[k] : starts[k + 1]]`` are the ascending later neighbours of
+    the place ``first[k]``. Members of a group join in order, so each
+    needs only its links to later ones.
+    """
+    taken = np.zeros(n, bool)
+    at = {int(p): k for k, p in enumerate(first)}
+
+    def after(p: int) -> np.ndarray:
+        k = at.get(p)
+        return np.zeros(0, later.dtype) if k is None else np.unique(later[starts[k] : starts[k + 1]])
+
+    for seed in first.tolist():
+        if taken[seed]:
+            continue
+        group, common = [seed], after(seed)
+        common = common[~taken[common]]
+        while len(common):
+            v = int(common[0])
+            group.append(v)
+            common = np.intersect1d(common[1:], after(v), assume_unique=True)
+        taken[group] = True
+        if len(group) > 1:
+            yield group
+
+
+def _large(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(component, seed, place) of groups, from rows (component, n, p, q) sorted by component, p and q."""
+
+    def groups(component: int, n: int, file, first: list[int], counts: list[int]) -> Iterator[pa.RecordBatch]:
+        file.flush()
+        later = np.memmap(file.name, np.int32, "r")
+        rows: list[tuple[int, int]] = []
+        for group in greedy_places(np.array(first), np.cumsum([0, *counts]), later, n):
+            rows += [(group[0], p) for p in group]
+            if len(rows) >= 50_000:
+                yield batch_of(component, rows)
+                rows = []
+        if rows:
+            yield batch_of(component, rows)
+
+    def batch_of(component: int, rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        seeds, places = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array([component] * len(rows), pa.int64()), pa.array(seeds, pa.int64()), pa.array(places, pa.int64())], names=["component", "seed", "place"])
+
+    last, n, file, first, counts = None, 0, None, [], []
+    for batch in batches:
+        component, size, p, q = (batch.column(c).to_numpy() for c in ("component", "n", "p", "q"))
+        cuts = np.flatnonzero((component[1:] != component[:-1]) | (p[1:] != p[:-1])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(p)], strict=True):
+            if a == b:
+                continue
+            if component[a] != last:
+                if file:
+                    yield from groups(last, n, file, first, counts)
+                    file.close()
+                last, n, file, first, counts = int(component[a]), int(size[a]), tempfile.NamedTemporaryFile(), [], []
+            if first and first[-1] == p[a]:
+                counts[-1] += b - a
+            else:
+                first.append(int(p[a]))
+                counts.append(b - a)
+            file.write(q[a:b].astype(np.int32).tobytes())
+    if file:
+        yield from groups(last, n, file, first, counts)
+        file.close()
+
+
+def large_partition(tied: DataFrame) -> DataFrame:
+    """The clusters of links (component, a, b), as ``partition`` has them, for components of any size.
+
+    Spark orders the members and sorts the links; a task holds a component's
+    members, and reads their links from a file. The greedy choice is
+    sequential, so a component is one task.
+    """
+    ends = tied.select("component", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other")))).alias("x")).select("component", "x.*")
+    degrees = ends.groupBy("component", "doc_id").agg(F.count_distinct("other").alias("degree"))
+    order = Window.partitionBy("component").orderBy(F.desc("degree"), "doc_id")
+    places = degrees.select("component", "doc_id", (F.row_number().over(order) - 1).cast("long").alias("place"))
+    places = materialize(places, "places")
+    sizes = places.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    a, b = (places.select("component", F.col("doc_id").alias(k), F.col("place").alias(f"p{k}")) for k in "ab")
+    rows = tied.join(a, ["component", "a"]).join(b, ["component", "b"]).join(sizes, "component")
+    rows = rows.select("component", "n", F.least("pa", "pb").alias("p"), F.greatest("pa", "pb").alias("q"))
+    parts = max(1, int(tied.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "component").sortWithinPartitions("component", "p", "q")
+    found = materialize(rows.mapInArrow(_large, "component long, seed long, place long"), "groups").join(places, ["component", "place"])
+    names = found.groupBy("component", "seed").agg(F.min("doc_id").alias("cluster"))
+    return found.join(names, ["component", "seed"]).select("cluster", "component", "doc_id")
+
+
 def partition(edges: DataFrame, threshold: float, labelled: DataFrame | None = None, most: int = MAX_COMPONENT) -> DataFrame:
     """(cluster, component, doc_id) of clusters with at least two members.
 
-    A component is one group of rows, so those over ``most`` members are left
-    out here and listed by ``oversized``. A cluster is named by its smallest id.
+    A component is one group of rows; those over ``most`` members go through
+    ``large_partition``, which gives the same clusters. A cluster is named by
+    its smallest id.
     """
     labelled = components(edges) if labelled is None else labelled
-    small = component_sizes(labelled).where(F.col("size") <= most).select("component")
-    tied = edges.where(F.col("jaccard") >= threshold).join(labelled.withColumnRenamed("doc_id", "a"), "a").join(small, "component").select("component", "a", "b")
+    sizes = component_sizes(labelled)
+    known = edges.where(F.col("jaccard") >= threshold).join(labelled.withColumnRenamed("doc_id", "a"), "a")
+    tied = known.join(sizes.where(F.col("size") <= most), "component").select("component", "a", "b")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         links: dict[int, set[int]] = {}
@@ -74,7 +176,11 @@ def partition(edges: DataFrame, threshold: float, labelled: DataFrame | None = N
         found = [(g[0], key[0], v) for g in greedy_cliques(links) for v in g]
         return pd.DataFrame(found, columns=["cluster", "component", "doc_id"], dtype="int64")
 
-    return tied.groupBy("component").applyInPandas(run, "cluster long, component long, doc_id long")
+    found = tied.groupBy("component").applyInPandas(run, "cluster long, component long, doc_id long")
+    large = sizes.where(F.col("size") > most)
+    if large.isEmpty():
+        return found
+    return found.unionByName(large_partition(known.join(large, "component").select("component", "a", "b")))
 
 
 def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -105,14 +105,15 @@ def oversized_buckets(banded: DataFrame, max_bucket: int) -> DataFrame:
     return buckets(banded).where(F.col("n") > max_bucket)
 
 
-def gated_links(signed: DataFrame, threshold: float = 0.4, prefilter: int = 64, small: int = 16, max_bucket: int = 50_000) -> DataFrame:
+def gated_links(signed: DataFrame, threshold: float = 0.4, prefilter: int = 64, small: int = 16, max_bucket: int | None = None) -> DataFrame:
     """Candidate links whose first minima agree often enough.
 
     Buckets of up to ``small`` members give all their pairs, at most
     ``(small - 1) / 2`` a row; larger ones each member with the smallest.
+    Buckets beyond ``max_bucket`` are left out only if one is asked for.
     """
     banded = explode_bands(signed)
-    known = buckets(banded).where(F.col("n") <= max_bucket)
+    known = buckets(banded) if max_bucket is None else buckets(banded).where(F.col("n") <= max_bucket)
     held = banded.join(known, ["band", "key"]).select("band", "key", "n", "anchor", F.col("doc_id"))
     few = held.where(F.col("n") <= small).groupBy("band", "key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
     pairs = few.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(F.slice("ids", i + 2, F.size("ids")), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.*")

@@ -96,6 +96,22 @@ def test_greedy_cliques_are_cliques():
         assert len({v for g in groups for v in g}) == sum(map(len, groups))
 
 
+def test_large_components_are_partitioned(spark):
+    rng = random.Random(11)
+    rows = [(100 * g + i, 100 * g + j, rng.choice([0.7, 0.8, 0.9])) for g in range(8) for i in range(25) for j in range(i) if rng.random() < 0.7]
+    rows += [(1000 + i, 1001 + i, 0.9) for i in range(30)]
+    edges = spark.createDataFrame([(min(a, b), max(a, b), j) for a, b, j in rows], "a long, b long, jaccard double")
+    for t in (0.7, 0.85):
+        want = sorted(map(tuple, cliques.partition(edges, t).collect()))
+        assert want and sorted(map(tuple, cliques.partition(edges, t, most=27).collect())) == want
+        assert sorted(map(tuple, cliques.partition(edges, t, most=3).collect())) == want
+
+
+def test_no_bucket_is_left_out(spark):
+    signed = spark.range(50_002).select(F.col("id").alias("doc_id"), F.array(F.lit(7).cast("long")).alias("bands"), F.array_repeat(F.lit(1), 64).alias("head"))
+    assert minhash.gated_links(signed).count() == 50_001
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(5)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
