@@ -8,7 +8,9 @@ identified sentences after the one before; what a rule has matched no later
 rule can use. Identifiers that no rule matches are reported as such.
 
 Sentences that grant a licence by name ("licensed under the ...") share one
-normal form: subject and verb are dropped, and the name is looked up.
+normal form: subject and verb are dropped, and the longest name that the rest
+begins with is looked up; further names may follow after "or" and "and". SPDX
+expressions give each identifier that they name, deprecated ones too.
 
 Cases: a null text counts as empty; texts without licence sentences have empty
 results; a sentence is recognised when wrapped over lines and behind comment
@@ -39,13 +41,18 @@ NAMES = {
     "Unlicense": ("unlicense",),
     "MPL-2.0": ("mozilla public license version 2 0", "mozilla public license 2 0", "mpl 2 0", "mozilla public license v 2 0"),
     "EPL-2.0": ("eclipse public license version 2 0", "eclipse public license 2 0", "eclipse public license v 2 0"),
-    "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2", "gpl version 2", "gplv2", "gnu gpl version 2"),
+    "GPL-2.0-only": ("gnu general public license version 2", "gnu general public license v2", "gpl version 2", "gplv2", "gnu gpl version 2", "gpl 2 0", "gpl v2", "gnu gpl v2"),
     "GPL-2.0-or-later": ("gnu general public license version 2 or later", "gnu general public license version 2 or any later version"),
-    "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license version 3 0", "gnu general public license v3", "gpl version 3", "gplv3", "gnu gpl version 3"),
+    "GPL-3.0-only": ("gnu general public license version 3", "gnu general public license version 3 0", "gnu general public license v3", "gpl version 3", "gplv3", "gnu gpl version 3", "gpl 3 0", "gpl v3", "gnu gpl v3"),
     "GPL-3.0-or-later": ("gnu general public license version 3 or later", "gnu general public license version 3 or any later version"),
-    "LGPL-2.1-only": ("gnu lesser general public license version 2 1",),
-    "LGPL-3.0-only": ("gnu lesser general public license version 3", "gnu lesser general public license version 3 0"),
-    "AGPL-3.0-only": ("gnu affero general public license version 3", "gnu affero general public license version 3 0"),
+    "LGPL-2.0-only": ("gnu library general public license version 2", "lgpl 2 0"),
+    "LGPL-2.0-or-later": ("gnu library general public license version 2 or later",),
+    "LGPL-2.1-only": ("gnu lesser general public license version 2 1", "lgpl 2 1", "lgpl v2 1", "gnu lgpl version 2 1"),
+    "LGPL-2.1-or-later": ("gnu lesser general public license version 2 1 or later",),
+    "LGPL-3.0-only": ("gnu lesser general public license version 3", "gnu lesser general public license version 3 0", "lgpl 3 0", "lgpl v3", "gnu lgpl version 3"),
+    "LGPL-3.0-or-later": ("gnu lesser general public license version 3 or later",),
+    "AGPL-3.0-only": ("gnu affero general public license version 3", "gnu affero general public license version 3 0", "agpl 3 0", "agpl v3", "gnu agpl version 3"),
+    "AGPL-3.0-or-later": ("gnu affero general public license version 3 or later",),
     "CC0-1.0": ("cc0 1 0", "cc0", "cc0 1 0 universal", "creative commons zero"),
     "CC-BY-4.0": ("cc by 4 0", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     "CC-BY-SA-4.0": ("cc by sa 4 0", "creative commons attribution sharealike 4 0 international license"),
@@ -73,6 +80,7 @@ SENTENCES = {
     "gpl.free": "this program is free software*",
     "gpl.2later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     "gpl.3later": "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "gpl.library": "this library is free software*",
     "gpl.hope": "this program is distributed in the hope that it will be useful*",
     "mpl.subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
@@ -80,6 +88,26 @@ SENTENCES = {
     "all": "all rights reserved",
 }
 
+#: The family, name and versions in the headers of the GNU licences.
+GNU = (("gpl", "GPL", "gnu general public license", ("2", "3")), ("lgpl", "LGPL", "gnu lesser general public license", ("2 1", "3")), ("lgpl.old", "LGPL", "gnu library general public license", ("2",)), ("agpl", "AGPL", "gnu affero general public license", ("3",)))
+_terms = "you can redistribute it and or modify it under the terms of the {} as published by the free software foundation"
+_later = "either version {} of the license or at your option any later version"
+
+
+def _gnu() -> list[tuple[str, tuple[str, ...]]]:
+    """The licences that GNU headers name, by sentences. A header is one sentence, or split at its semicolons."""
+    out = []
+    for family, spdx, name, versions in GNU:
+        SENTENCES[f"{family}.terms"] = _terms.format(name)
+        for v in versions:
+            key, license = v.replace(" ", "_"), f"{spdx}-{v.replace(' ', '.') if ' ' in v else v + '.0'}"
+            SENTENCES.setdefault(f"either.{key}", _later.format(v))
+            SENTENCES.setdefault(f"version.{key}", f"version {v} of the license")
+            SENTENCES.setdefault(f"{family}.{key}later", f"{_terms.format(name)} {_later.format(v)}")
+            SENTENCES[f"{family}.{key}only"] = _terms.format(f"{name} version {v}")
+            out += [(f"{license}-or-later", (f"{family}.{key}later",)), (f"{license}-or-later", (f"{family}.terms", f"either.{key}")), (f"{license}-only", (f"{family}.{key}only",)), (f"{license}-only", (f"{family}.terms", f"version.{key}"))]
+    return out
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -89,6 +117,7 @@ class Rule:
     sentences: tuple[str, ...]
 
 
+_headers = _gnu()
 #: Earlier rules win. Rules for a licence by its name come last.
 RULES = (
     Rule("MIT", ("mit.grant", "mit.notice", "asis")),
@@ -97,10 +126,8 @@ RULES = (
     Rule("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")),
     Rule("Apache-2.0", ("name:Apache-2.0", "apache.comply", "apache.copy", "apache.asis")),
     Rule("Apache-2.0", ("name:Apache-2.0", "apache.comply")),
-    Rule("GPL-3.0-or-later", ("gpl.free", "gpl.3later")),
-    Rule("GPL-2.0-or-later", ("gpl.free", "gpl.2later")),
-    Rule("GPL-3.0-or-later", ("gpl.3later",)),
-    Rule("GPL-2.0-or-later", ("gpl.2later",)),
+    *(Rule(x, (free, *ids)) for free in ("gpl.free", "gpl.library") for x, ids in _headers),
+    *(Rule(x, ids) for x, ids in _headers),
     Rule("MIT", ("mit.grant",)),
     Rule("ISC", ("isc.grant",)),
     Rule("MPL-2.0", ("mpl.subject",)),
@@ -109,35 +136,86 @@ RULES = (
     *(Rule(x, (f"name:{x}",)) for x in NAMES),
 )
 
-HINT = re.compile(r"licen[sc]e|spdx|permission|redistribut|warrant|rights reserved|public domain|free software|copyright|liable|endorse|neither the name|obtain a copy", re.I)
+HINT = re.compile(r"licen[sc]e|spdx|permission|redistribut|warrant|rights reserved|public domain|free software|copyright|liable|endorse|neither the name|obtain a copy|(?:released|distributed|published|available|provided|shared)\W+under", re.I)
 PIECE = re.compile(r"[^\n]+")
-ENDS = re.compile(r"(?<=[.!?;])\s+|(?<=:)(?<!dentifier:)\s+")
+ENDS = re.compile(r"(?<=[.!?;])(?<!\bv\.)\s+|(?<=:)(?<!dentifier:)\s+")
 MARKS = re.compile(r"^[\s#/*;%<!-]+")
 APART_FROM_WORDS = re.compile(r"[^a-z0-9]+")
 GRANT = re.compile(r"^(?:(?:this|the|all|these|our) (?:[a-z]+ ){1,4}?(?:is|are) )?(?:dual )?(?:licensed|released|distributed|published|available|provided|made available|shared) under (?:the )?(?:terms of )?(?:the |a |an )?(.+)$")
-SPDX = re.compile(r"spdx license identifier (.+)$")
+SPDX = re.compile(r"spdx license identifier (.+?)(?= spdx license identifier |$)")
+PLUS = re.compile(r"(?<=\d)\+(?!\w)")
+LATER = re.compile(r"(?: of the license)? or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?(?= |$)")
+#: What makes another name of one, and what may follow a name that is a single word.
+UNLIKE = {"style", "like", "type", "compatible", "derived", "inspired", "based", "variant"}
+FOLLOWS = {"license", "see", "and", "or", "the", "for", "c", "copyright", "as", "with", "https", "http", "except", "unless", "you", "if", "terms", "by"}
 
 _whole = {s: i for i, s in SENTENCES.items() if not s.endswith("*")}
 _begins = [(s[:-1].strip(), i) for i, s in SENTENCES.items() if s.endswith("*")]
 _names = {n: x for x, names in NAMES.items() for n in names} | {APART_FROM_WORDS.sub(" ", x.lower()).strip(): x for x in NAMES}
 
+_words = max(n.count(" ") + 1 for n in _names)
+
 
 def normal(sentence: str) -> str:
     """Lower case, without comment marks, and with single spaces for all but letters and digits."""
-    lines = (MARKS.sub("", x) for x in sentence.lower().replace("licence", "license").split("\n"))
+    lines = (MARKS.sub("", x) for x in PLUS.sub(" or later", sentence.lower()).replace("licence", "license").split("\n"))
     return APART_FROM_WORDS.sub(" ", " ".join(lines)).strip()
 
 
-def identify(sentence: str) -> str | None:
-    """The identifier of a normalised sentence, if it is a known one."""
+def named(words: list[str]) -> tuple[str | None, int]:
+    """The licence whose name the words begin with, and the number of words it takes. The longest name counts."""
+    for n in range(min(_words, len(words)), 0, -1):
+        name = _names.get(" ".join(words[:n]))
+        after = words[n] if n < len(words) else ""
+        if name is None or after in UNLIKE or (after == "license" and words[n + 1 : n + 2] and words[n + 1] in UNLIKE):
+            continue
+        if (n == 1 and after and words[0].isalpha() and words[0] != "unlicense" and after not in FOLLOWS) or (words[n - 1][-1].isdigit() and re.fullmatch(r"\d\d?", after)):
+            continue
+        later = LATER.match(" " + " ".join(words[n:]))
+        if later and name.endswith("-only"):
+            return name.removesuffix("-only") + "-or-later", n + len(later[0].split())
+        return name, n
+    return None, 0
+
+
+def expression(text: str, whole: bool) -> list[str]:
+    """The licences of a normalised text that begins with their names, joined by "or" and "and".
+
+    In a ``whole`` expression unknown names and exceptions are passed over.
+    """
+    words, out = text.split(), []
+    while words:
+        name, n = named(words)
+        if name and name not in out:
+            out.append(name)
+        words = words[n:]
+        if name and words[:1] == ["license"]:
+            words = words[1:]
+        if words and words[0] not in ("or", "and"):
+            if not whole or (name and words[0] != "with"):
+                break
+            words = words[next((i for i, w in enumerate(words) if w in ("or", "and")), len(words)) :]
+        words = words[1:]
+        while words and words[0] in ("the", "a", "under", "terms", "of"):
+            words = words[1:]
+    return out
+
+
+def identifiers(sentence: str) -> list[str]:
+    """The identifiers of a normalised sentence: one of a known sentence, or those of the licences that it names."""
     known = _whole.get(sentence)
     if known:
-        return known
-    grant = GRANT.match(sentence) or SPDX.search(sentence)
-    if grant:
-        name = _names.get(grant[1])
-        return f"name:{name}" if name else None
-    return next((i for begin, i in _begins if sentence.startswith(begin)), None)
+        return [known]
+    grant = GRANT.match(sentence)
+    found = expression(grant[1], False) if grant else [x for m in SPDX.finditer(sentence) for x in expression(m[1], True)]
+    if grant or found:
+        return [f"name:{x}" for x in dict.fromkeys(found)]
+    return [i for begin, i in _begins if sentence.startswith(begin)][:1]
+
+
+def identify(sentence: str) -> str | None:
+    """The first identifier of a normalised sentence, if it is a known one."""
+    return next(iter(identifiers(sentence)), None)
 
 
 def sequence(text: str | None) -> list[tuple[int, str]]:
@@ -147,28 +225,34 @@ def sequence(text: str | None) -> list[tuple[int, str]]:
     """
     if not text or not HINT.search(text):
         return []
-    found: dict[int, str] = {}
+    found: dict[int, list[str]] = {}
     at = 0
     for gap in [*ENDS.finditer(text), None]:
         sentence = text[at : gap.start() if gap else len(text)]
         if HINT.search(sentence):
             place = at + len(sentence) - len(sentence.lstrip())
-            known = identify(normal(sentence))
-            if known:
+            whole = normal(sentence)
+            known = identifiers(whole)
+            several = "\n" in sentence.strip()
+            if known and not (several and SPDX.search(whole)):
                 found.setdefault(place, known)
-            elif "\n" in sentence:
+            # a name may be followed by other words, among them further lines
+            if several and (not known or known[0].startswith("name:")):
+                # lines of marks before the first words belong to it
+                begin = next((x.start() for x in PIECE.finditer(sentence) if normal(x[0])), 0) if known else -1
                 for line in PIECE.finditer(sentence):
-                    known = HINT.search(line[0]) and identify(normal(line[0]))
+                    known = HINT.search(line[0]) and identifiers(normal(line[0]))
                     if known:
-                        found.setdefault(at + line.start(), known)
+                        found.setdefault(place if line.start() == begin else max(place, at + line.start()), known)
                 # a line break may have ended the sentence before, and the last sentence go on over lines
                 for line in PIECE.finditer(sentence):
-                    known = identify(normal(sentence[line.start() :]))
+                    rest = normal(sentence[line.start() :])
+                    known = [] if SPDX.search(rest) or not normal(line[0]) else identifiers(rest)
                     if known:
-                        found.setdefault(at + line.start(), known)
+                        found[place if line.start() == begin else max(place, at + line.start())] = known
                         break
         at = gap.end() if gap else len(text)
-    return sorted(found.items())
+    return [(k, i) for k, ids in sorted(found.items()) for i in ids]
 
 
 def match(ids: list[str], rules: tuple[Rule, ...] = RULES) -> tuple[list[tuple[int, str]], list[int]]:

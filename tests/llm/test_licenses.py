@@ -39,6 +39,49 @@ def test_licences(text, want):
     assert names(text) == want
 
 
+APACHE = """/*
+ * Copyright 2020 X
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ */"""
+
+
+def gnu(thing, name, version, mark=";"):
+    return f"""# This {thing} is free software{":" if mark == "," else ";"} you can redistribute it and/or modify
+# it under the terms of the GNU {name} as published by
+# the Free Software Foundation{mark} either version {version} of the License, or
+# (at your option) any later version.
+#
+# This {thing} is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY."""
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (APACHE, ["Apache-2.0"]), (gnu("program", "General Public License", 2), ["GPL-2.0-or-later"]), (gnu("program", "General Public License", 3, ","), ["GPL-3.0-or-later"]),
+        (gnu("library", "Lesser General Public License", "2.1"), ["LGPL-2.1-or-later"]), (gnu("library", "Library General Public License", 2), ["LGPL-2.0-or-later"]), (gnu("program", "Affero General Public License", 3, ","), ["AGPL-3.0-or-later"]),
+        ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", ["GPL-2.0-only"]),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ["MPL-2.0"]),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]), ("Released under MIT.", ["MIT"]), ("Available under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("SPDX-License-Identifier: GPL-2.0", ["GPL-2.0-only"]), ("// SPDX-License-Identifier: GPL-2.0+\n// x", ["GPL-2.0-or-later"]), ("# SPDX-License-Identifier: (MIT OR Apache-2.0)", ["MIT", "Apache-2.0"]),
+        ("/* SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note OR BSD-3-Clause */", ["GPL-2.0-only", "BSD-3-Clause"]), ("SPDX-License-Identifier: LicenseRef-X AND MIT", ["MIT"]),
+        ("Licensed under the GPL version 2 or (at your option) any later version.", ["GPL-2.0-or-later"]), ("Licensed under either the MIT-style license.", []), ("Licensed under an MIT-style license.", []),
+        ("Published under MIT Press rules.", []), ("Released under the MIT License\nLicensed under CC BY 4.0\nwords", ["MIT", "CC-BY-4.0"]), ("Licensed under the MIT license or the Apache License, Version 2.0.", ["MIT", "Apache-2.0"]),
+    ],
+)
+def test_headers_as_they_stand(text, want):
+    assert names(text) == want
+
+
 def test_order_matters_and_sentences_are_used_once():
     rule = licenses.Rule("R", ("a", "b"))
     assert licenses.match(["b", "a"], (rule,)) == ([], [0, 1])
