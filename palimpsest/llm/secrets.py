@@ -9,17 +9,22 @@ the blob. All of it is DataFrame expressions; no Python runs on executors.
 Spans are in code points, with exclusive ends. Matches of a rule are leftmost
 and non-overlapping; those whose checked group is too short are then dropped.
 
+No pattern repeats a group without a bound (Java's matcher recurses there), and
+no step's time grows faster than the text: matches become rows, whose places
+are running sums, and a redacted text is put together from chunks.
+
 Cases: a null text counts as empty; an empty text has no findings; repeated
 rows and equal texts under several paths share one scan and each get all the
-findings; an empty table gives an empty result; further columns of the input,
-also ones named like those added here, are ignored; a null path is kept.
+findings; a very long text, or one with very many matches, goes the same way;
+an empty table gives an empty result; further columns of the input, whatever
+their names, are ignored by a scan and kept by ``redact``; a null path is kept.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.sources.tables import materialize
@@ -49,11 +54,11 @@ BASE_RULES = (
 
 #: Public token formats, looked for beside the base kinds.
 EXTRA_RULES = (
-    Rule("private_key", r"-----BEGIN(?: [A-Z]+)* PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN(?: [A-Z]{1,32}){0,8} PRIVATE KEY-----", version=2),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", version=2),  # a longer header would be read again from each place in it
     Rule("url_auth", r"[a-z][a-z0-9+.-]{1,20}://[^\x20/:@]{1,200}:[^\x20/@]{1,200}@"),
 )
 
@@ -61,17 +66,20 @@ RULES = BASE_RULES + EXTRA_RULES
 
 #: A whole private key: from its BEGIN line through the next END line; where another block begins first
 #: or no END line follows, through its header lines and the base64 lines after them.
-_BEGIN, _END = r"-{4,5}\x20?BEGIN(?: [A-Z0-9]+)* PRIVATE KEY(?: BLOCK)?\x20?-{4,5}", r"-{4,5}\x20?END(?: [A-Z0-9]+)* PRIVATE KEY(?: BLOCK)?\x20?-{4,5}"
+_NAMED = r"(?: [A-Z0-9]{1,32}){0,8} PRIVATE KEY(?: BLOCK)?\x20?-{4,5}"
+_BEGIN, _END = rf"-{{4,5}}\x20?BEGIN{_NAMED}", rf"-{{4,5}}\x20?END{_NAMED}"
 _MARKS = r"""[\s\\"'>#*|,]"""
-_HEADER = r"[ \t]*(?:\r?\n|\\n)[ \t>#*]{0,8}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|Subject):[^\r\n\\]*+"
-_BODY = rf"(?:{_MARKS}{{1,12}}+[A-Za-z0-9+/=]{{20,}}+|[ \t]*(?:\r?\n{_MARKS}{{0,8}}+|\\n)[A-Za-z0-9+/=]++(?=[ \t]*(?:[\r\n\\]|\z)))*+"
-KEY = Rule("private_key", rf"{_BEGIN}(?:(?:(?!-----BEGIN )[\s\S])*?{_END}|(?:{_HEADER})*+{_BODY})", version=2)
+_HEADER = r"[ \t]*+(?:\r?\n|\\n)[ \t>#*]{0,8}(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID|Subject):[^\r\n\\]*+"
+_BODY = rf"(?:{_MARKS}{{1,12}}+[A-Za-z0-9+/=]{{20,}}+|[ \t]*+(?:\r?\n{_MARKS}{{0,8}}+|\\n)[A-Za-z0-9+/=]++(?=[ \t]*+(?:[\r\n\\]|\z)))*+"
+KEY = Rule("private_key", rf"{_BEGIN}(?:(?:(?!-{{4,5}}\x20?BEGIN )[\s\S])*?{_END}|(?:{_HEADER})*+{_BODY})", version=3)
 
 #: What ``redact`` looks for. ``RULES`` stays as the query's SQL has it, with the BEGIN line alone.
 REDACTED = tuple(KEY if r.kind == KEY.kind else r for r in RULES)
 BROADCAST_BLOBS = 50_000
+CHUNK = 1024
 
 FINDING = "struct<start:int,ord:int,kind:string,end:int,rule:string>"
+STEP = "struct<ord:int,i:int,gap:int,len:int,checked:int>"
 LEDGER = f"blob string, rules array<string>, findings array<{FINDING}>"
 
 
@@ -80,8 +88,8 @@ def blob_id(content: Column) -> Column:
     return F.sha2(F.coalesce(content, F.lit("")), 256)
 
 
-def _matches(text: Column, rule: Rule, order: int) -> Column:
-    """The findings of one rule in a text.
+def _steps(text: Column, rule: Rule, order: int) -> Column:
+    """A rule's steps through a text: the length of the gap before each match, of the match, and of its checked group.
 
     The pieces between matches come from ``split`` and the matches from
     ``regexp_extract_all``; both step through the same matches, so running sums
@@ -91,20 +99,28 @@ def _matches(text: Column, rule: Rule, order: int) -> Column:
     pattern = rule.pattern if rule.group or not rule.least or rule.kind != "hex" else rule.pattern[:-1] + f"{{{rule.least},}}"
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     checked = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else hits
-    steps = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(hits, F.length).alias("len"), F.transform(checked, F.length).alias("checked"))
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{FINDING}>)").alias("found"))
+    zipped = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(hits, F.length).alias("len"), F.transform(checked, F.length).alias("checked"))
+    steps = F.transform(zipped, lambda x, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), x["gap"].alias("gap"), x["len"].alias("len"), x["checked"].alias("checked")))
+    return F.when(text.rlike(pattern), steps).otherwise(F.expr(f"cast(array() as array<{STEP}>)"))
+
+
+def _placed(stepped: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, ..., findings) from (blob, ..., steps): a match's end is the sum of all lengths up to it.
+
+    Rows are dealt by blob already, so neither the running sums nor the lists
+    move them again; a group is one text's matches.
+    """
+    own = [c for c in stepped.columns if c != "steps"]
+    rows = stepped.select(*own, F.explode_outer("steps").alias("s")).select(*own, "s.*")
+    here = Window.partitionBy("blob", "ord").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.coalesce("len", F.lit(0))).over(here).cast("int"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["len"]
-        one = F.array(F.struct(begin.alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("end"), F.lit(rule.key).alias("rule")))
-        return F.struct(
-            F.coalesce(end, begin).alias("at"),
-            F.when(x["checked"] >= rule.least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"),
-        )
+    def of_rule(values: list, kind: str) -> Column:
+        return F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("ord") + 1)
 
-    none = F.expr(f"cast(array() as array<{FINDING}>)")
-    return F.when(text.rlike(pattern), F.aggregate(steps, start, step, lambda acc: acc["found"])).otherwise(none)
+    finding = F.struct((F.col("end") - F.col("len")).alias("start"), "ord", of_rule([r.kind for r in rules], "string").alias("kind"), "end", of_rule([r.key for r in rules], "string").alias("rule"))
+    found = F.col("len").isNotNull() & (F.col("checked") >= of_rule([r.least for r in rules], "int"))
+    return rows.groupBy(*own).agg(F.array_sort(F.collect_list(F.when(found, finding))).cast(f"array<{FINDING}>").alias("findings"))
 
 
 def scan(versions: DataFrame, content: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -118,31 +134,38 @@ def scan(versions: DataFrame, content: str, ledger: DataFrame | None = None, rul
     blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     keys = F.array(*[F.lit(r.key) for r in rules])
     if ledger is None:
-        todo = blobs.withColumn("rules", keys)
-    else:
-        seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("seen", F.expr("cast(array() as array<string>)"))))
-        todo = todo.where(F.size("rules") > 0)
-    none = F.expr(f"cast(array() as array<{FINDING}>)")
-    each = [_matches(F.col("text"), r, i) if ledger is None else F.when(F.array_contains("rules", r.key), _matches(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
-    return todo.select("blob", "rules", F.concat(*each).alias("findings"))
+        stepped = blobs.select("blob", F.concat(*[_steps(F.col("text"), r, i) for i, r in enumerate(rules)]).alias("steps"))
+        return _placed(stepped, rules).select("blob", keys.alias("rules"), "findings")
+    seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    todo = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("seen", F.expr("cast(array() as array<string>)")))).where(F.size("rules") > 0)
+    none = F.expr(f"cast(array() as array<{STEP}>)")
+    each = [F.when(F.array_contains("rules", r.key), _steps(F.col("text"), r, i)).otherwise(none) for i, r in enumerate(rules)]
+    return _placed(todo.select("blob", "rules", F.concat(*each).alias("steps")), rules).select("blob", "rules", "findings")
 
 
-def findings_by_path(versions: DataFrame, content: str, keep: list[str], ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Each row of ``versions`` with all findings of its blob under the current rule versions.
+def _known(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, start, ord, kind, end, rule): the findings under the current rule versions, once each."""
+    return ledger.select("blob", F.explode("findings").alias("f")).where(F.col("f.rule").isin([r.key for r in rules])).select("blob", "f.*").distinct()
+
 
-    The column is ``_findings``. Only blobs with findings are joined: up to
-    ``BROADCAST_BLOBS`` by a broadcast, so that paths don't move, more by a
-    shuffle, in which Spark's skew join splits a hot blob.
+def _by_path(versions: DataFrame, content: str, per_blob: DataFrame) -> DataFrame:
+    """Each row of ``versions``, whole as ``row``, with the columns of its blob, null if there are none.
+
+    Only blobs with findings are joined: up to ``BROADCAST_BLOBS`` by a
+    broadcast, so that paths don't move, more by a shuffle, in which Spark's
+    skew join splits a hot blob.
     """
-    current = F.array(*[F.lit(r.key) for r in rules])
-    found = ledger.select("blob", F.filter("findings", lambda f: F.array_contains(current, f["rule"])).alias("f")).where(F.size("f") > 0)
-    found = found.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("f")))).alias("findings"))
-    few = found.count() <= BROADCAST_BLOBS
-    found = found.select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    paths = versions.select(*keep, blob_id(F.col(content)).alias("_of"))
-    joined = paths.join(F.broadcast(found) if few else found, F.col("_of") == F.col("_blob"), "left")
-    return joined.withColumn("_findings", F.coalesce("_findings", F.expr(f"cast(array() as array<{FINDING}>)"))).drop("_blob", "_of")
+    per_blob = materialize(per_blob, "found")
+    few = per_blob.count() <= BROADCAST_BLOBS
+    paths = versions.select(F.struct(*[versions[c] for c in versions.columns]).alias("row"), blob_id(versions[content]).alias("of"))
+    return paths.join(F.broadcast(per_blob) if few else per_blob, F.col("of") == F.col("blob"), "left").drop("of", "blob")
+
+
+def findings_by_path(versions: DataFrame, content: str, keep: list[str], ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The kept columns of each row of ``versions``, and as ``_findings`` all findings of its blob under the current rule versions."""
+    found = _known(ledger, rules).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "ord", "kind", "end", "rule"))).alias("findings"))
+    joined = _by_path(versions.select(*dict.fromkeys([*keep, content])), content, found)
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in keep], F.coalesce("findings", F.expr(f"cast(array() as array<{FINDING}>)")).alias("_findings"))
 
 
 def scan_secrets(versions: DataFrame, content: str = "text", keep: list[str] | None = None, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
@@ -157,29 +180,45 @@ def spans(findings: Column) -> Column:
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
 
+def _cuts(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, cuts): the spans to take out, in order. What overlaps becomes one."""
+    order = Window.partitionBy("blob").orderBy("start", "end")
+    rows = _known(ledger, rules).withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("fresh", (F.col("reach").isNull() | (F.col("start") >= F.col("reach"))).cast("int"))
+    rows = rows.withColumn("number", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    merged = rows.groupBy("blob", "number").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return merged.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+
+
+def _without(text: Column, cuts: Column, mark: str) -> Column:
+    """A text with each cut replaced. Its parts are looked up in chunks, since a place in a whole string is found by counting from its start."""
+
+    def part(chunks: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+        held = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+        return F.when(end > start, F.substring(held, start - first * CHUNK + 1, end - start)).otherwise(F.lit(""))
+
+    def built(chunks: Column) -> Column:
+        before = F.transform(cuts, lambda x, i: part(chunks, F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["end"]), x["start"]))
+        return F.concat(F.array_join(before, mark), F.lit(mark), part(chunks, F.element_at(cuts, -1)["end"], F.length(text)))
+
+    # a lambda's variable, so that the chunks are cut once and not for each part
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))), built)[0]
+
+
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = REDACTED, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span replaced; all rows and columns stay.
 
     Overlapping spans are replaced as one, and private keys as a whole.
     ``n_chars`` follows the new text.
     """
-    findings, _ = scan_secrets(docs, "text", docs.columns, rules=rules)
-    text = F.col("text")
-
-    def step(acc: Column, f: Column) -> Column:
-        # what ends inside the part already replaced adds nothing; what overlaps it only lengthens it
-        fresh = f["start"] >= acc["at"]
-        return F.struct(
-            F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, f["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-            F.greatest(acc["at"], f["end"]).alias("at"),
-        )
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    clean = F.aggregate("_findings", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = findings.withColumn("text", F.when(F.size("_findings") > 0, clean).otherwise(text))
-    if "n_chars" not in docs.columns:
-        return out.select(*docs.columns)
-    return out.withColumn("n_chars", F.when(F.size("_findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    ledger = materialize(scan(docs, "text", rules=rules), "ledger")
+    joined = _by_path(docs, "text", _cuts(ledger, rules))
+    text, hit = F.col("row").getField("text"), F.col("cuts").isNotNull()
+    joined = joined.withColumn("clean", F.when(hit, _without(text, F.col("cuts"), mark)).otherwise(text))
+    new = {"text": F.col("clean"), "n_chars": F.when(hit, F.length("clean")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None}
+    types = dict(docs.dtypes)
+    return joined.select(*[(new[c].cast(types[c]) if c in new else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def digest(findings: DataFrame, n_base: int = len(BASE_RULES)) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -88,3 +89,35 @@ def test_awkward_rows(awkward, nothing):
     clean = secrets.redact(awkward)
     assert clean.columns == awkward.columns and clean.count() == awkward.count()
     assert clean.where(F.col("doc_id") == 7).first()["text"] == "[SECRET] é日本 [SECRET]"
+
+
+def test_redaction_joins_parts_of_any_length(spark):
+    parts = [("é" * n + " ", f"token=abc{n:04d}xyz", " ") for n in (0, 1, 1022, 1023, 1024, 1025, 5000, 3)]
+    text = "".join("".join(p) for p in parts) + "𝄞" * 1500
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_findings", "_of", "_blob", "row", "of", "cuts", "clean")})
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns
+    assert got.first()["text"] == "".join(a + "[SECRET]" + c for a, _, c in parts) + "𝄞" * 1500
+
+
+LONG = [
+    "-----BEGIN" + " A" * 200_000, ("-----BEGIN" + " RSA" * 9) * 20_000, "----BEGIN PRIVATE KEY---- x" * 20_000, "-----BEGIN PRIVATE KEY-----\n" + "\n" * 200_000, "-----BEGIN PRIVATE KEY-----" + " " * 200_000 + "x",
+    "token" + " " * 200_000, "token=" * 200_000, "token" * 200_000, "token=" + "a" * 200_000, "AKIA" * 100_000, "0" * 200_000, "0123456789abcdef0123456 " * 20_000, "ghp_" * 100_000, "xoxb-" * 100_000,
+    "AIza" * 100_000, "eyJ" * 100_000, "eyJabcdefghi." * 40_000, "a://" * 100_000, "ab://u:" * 60_000, "a" * 200_000, "-----BEGIN PRIVATE KEY-----" + "\nVersion: 1" * 60_000, "-" * 200_000,
+]
+
+
+def test_long_texts_of_every_rule(spark):
+    docs = spark.createDataFrame(list(enumerate(LONG)), "doc_id long, text string").repartition(8)
+    rows = {r["doc_id"]: r for r in secrets.digest(secrets.scan_secrets(docs)[0]).collect()}
+    for i, text in enumerate(LONG):
+        assert rows[i]["base_sha256"] == hashlib.sha256(brute(text).encode()).hexdigest()
+    assert secrets.redact(docs).where("text is not null").count() == len(LONG)
+
+
+def test_many_findings_in_one_text(spark):
+    began = time.monotonic()
+    docs = spark.createDataFrame([(1, "token=abcdefgh é " * 100_000)], "doc_id long, text string")
+    assert secrets.digest(secrets.scan_secrets(docs)[0]).first()["n_assign"] == 100_000
+    assert secrets.redact(docs).first()["text"] == "[SECRET] é " * 100_000
+    assert time.monotonic() - began < 60
