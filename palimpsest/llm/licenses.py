@@ -10,10 +10,11 @@ rule can use. Identifiers that no rule matches are reported as such.
 Sentences that grant a licence by name ("licensed under the ...") share one
 normal form: subject and verb are dropped, and the longest name that the rest
 begins with is looked up; further names may follow after "or" and "and". SPDX
-expressions give each identifier that they name, deprecated ones too.
+expressions give each identifier that they name, deprecated ones too. Each line
+is normalised once, and a place is looked up by a bounded number of words.
 
 Cases: a null text counts as empty; texts without licence sentences have empty
-results; a sentence is recognised when wrapped over lines and behind comment
+results; very long texts and sentences go the same way; a sentence is recognised when wrapped over lines and behind comment
 marks; a licence that stands twice is named once, at its first place; repeated
 rows repeat; an empty table gives an empty result; other columns are ignored.
 """
@@ -59,6 +60,27 @@ NAMES = {
     "CC-BY-ND-4.0": ("cc by nd 4 0", "creative commons attribution noderivatives 4 0 international license"),
     "CC-BY-NC-4.0": ("cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"),
     "CC-BY-NC-SA-4.0": ("cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international license"),
+    "CC-BY-3.0": ("cc by 3 0", "creative commons attribution 3 0 unported license", "creative commons attribution 3 0"),
+    "CC-BY-SA-3.0": ("cc by sa 3 0", "creative commons attribution sharealike 3 0 unported license", "creative commons attribution sharealike 3 0"),
+    "MPL-1.1": ("mozilla public license version 1 1", "mozilla public license 1 1", "mpl 1 1"),
+    "EPL-1.0": ("eclipse public license version 1 0", "eclipse public license 1 0", "eclipse public license v 1 0", "eclipse public license v1 0"),
+    "GPL-1.0-only": ("gnu general public license version 1", "gpl 1 0"),
+    "GPL-1.0-or-later": ("gnu general public license version 1 or later", "gnu general public license", "gnu gpl", "gpl"),
+    "0BSD": ("zero clause bsd license", "bsd zero clause license", "0bsd"),
+    "BSD-4-Clause": ("bsd 4 clause license", "4 clause bsd license", "original bsd license", "bsd 4 clause"),
+    "BSL-1.0": ("boost software license version 1 0", "boost software license 1 0", "boost software license"),
+    "Artistic-1.0": ("artistic license 1 0", "artistic license version 1 0"),
+    "Artistic-2.0": ("artistic license 2 0", "artistic license version 2 0"),
+    "OFL-1.1": ("sil open font license version 1 1", "sil open font license 1 1", "sil open font license"),
+    "PSF-2.0": ("python software foundation license version 2", "python software foundation license", "psf license"),
+    "CDDL-1.0": ("common development and distribution license version 1 0", "common development and distribution license 1 0", "cddl 1 0", "common development and distribution license"),
+    "CDDL-1.1": ("common development and distribution license version 1 1", "cddl 1 1"),
+    "EUPL-1.2": ("european union public licence version 1 2", "european union public license version 1 2", "european union public license 1 2", "eupl 1 2", "eupl v 1 2"),
+    "WTFPL": ("wtfpl", "do what the fuck you want to public license"),
+    "MS-PL": ("microsoft public license", "ms pl"),
+    "NCSA": ("university of illinois ncsa open source license", "ncsa license"),
+    "PostgreSQL": ("postgresql license",),
+    "OpenSSL": ("openssl license",),
     "CC-BY-NC-ND-4.0": ("cc by nc nd 4 0", "creative commons attribution noncommercial noderivatives 4 0 international license"),
 }
 
@@ -84,6 +106,31 @@ SENTENCES = {
     "gpl.hope": "this program is distributed in the hope that it will be useful*",
     "mpl.subject": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "unlicense": "this is free and unencumbered software released into the public domain",
+    "bsd.advert": "all advertising materials mentioning features or use of this software must display the following acknowledgement*",
+    "apache.conditions": "terms and conditions for use reproduction and distribution*",
+    "apache.define": "license shall mean the terms and conditions for use reproduction and distribution as defined by sections 1 through 9 of this document",
+    "apache.copyright": "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license*",
+    "gnu.verbatim": "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed*",
+    "gpl2.purpose": "the licenses for most software are designed to take away your freedom to share and change it*",
+    "gpl2.apply": "this license applies to any program or other work which contains a notice placed by the copyright holder saying it may be distributed under the terms of this general public license*",
+    "gpl3.purpose": "the gnu general public license is a free copyleft license for software and other kinds of works*",
+    "lgpl21.purpose": "this license the lesser general public license applies to some specially designated software packages*",
+    "lgpl3.purpose": "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license*",
+    "agpl3.purpose": "the gnu affero general public license is a free copyleft license for software and other kinds of works*",
+    "mpl2.covered": "covered software means source code form to which the initial contributor has attached the notice in exhibit a*",
+    "mpl2.grants": "each contributor hereby grants you a world wide royalty free non exclusive license*",
+    "epl.provided": "the accompanying program is provided under the terms of this eclipse public license agreement",
+    "artistic2.terms": "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed",
+    "bsl.grant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license*",
+    "ofl.goals": "the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects*",
+    "ofl.grant": "permission is hereby granted free of charge to any person obtaining a copy of the font software*",
+    "psf.between": "this license agreement is between the python software foundation psf*",
+    "wtfpl.changing": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
+    "zlib.asis": "this software is provided as is without any express or implied warranty*",
+    "zlib.grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely*",
+    "postgres.grant": "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted*",
+    "openssl.advert": "this product includes software developed by the openssl project for use in the openssl toolkit*",
+    "cc0.waive": "to the greatest extent permitted by but not in contravention of applicable law affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders*",
     "public": "this work is in the public domain",
     "all": "all rights reserved",
 }
@@ -121,29 +168,52 @@ _headers = _gnu()
 #: Earlier rules win. Rules for a licence by its name come last.
 RULES = (
     Rule("MIT", ("mit.grant", "mit.notice", "asis")),
+    Rule("BSD-4-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.advert")),
     Rule("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse", "bsd.asis")),
     Rule("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.endorse")),
     Rule("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")),
     Rule("Apache-2.0", ("name:Apache-2.0", "apache.comply", "apache.copy", "apache.asis")),
     Rule("Apache-2.0", ("name:Apache-2.0", "apache.comply")),
+    Rule("Apache-2.0", ("apache.conditions", "apache.define", "apache.copyright")),
+    Rule("Apache-2.0", ("apache.define", "apache.copyright")),
+    Rule("LGPL-2.1-only", ("gnu.verbatim", "gpl2.purpose", "lgpl21.purpose")),
+    Rule("GPL-2.0-only", ("gnu.verbatim", "gpl2.purpose", "gpl2.apply")),
+    Rule("GPL-2.0-only", ("gnu.verbatim", "gpl2.purpose")),
+    Rule("GPL-3.0-only", ("gnu.verbatim", "gpl3.purpose")),
+    Rule("LGPL-2.1-only", ("gnu.verbatim", "lgpl21.purpose")),
+    Rule("LGPL-3.0-only", ("gnu.verbatim", "lgpl3.purpose")),
+    Rule("AGPL-3.0-only", ("gnu.verbatim", "agpl3.purpose")),
+    Rule("Artistic-2.0", ("gnu.verbatim", "artistic2.terms")),
+    Rule("MPL-2.0", ("mpl2.covered", "mpl2.grants")),
+    Rule("OFL-1.1", ("ofl.goals", "ofl.grant")),
+    Rule("Zlib", ("zlib.asis", "zlib.grant")),
+    Rule("OpenSSL", ("bsd.grant", "openssl.advert")),
     *(Rule(x, (free, *ids)) for free in ("gpl.free", "gpl.library") for x, ids in _headers),
     *(Rule(x, ids) for x, ids in _headers),
     Rule("MIT", ("mit.grant",)),
     Rule("ISC", ("isc.grant",)),
+    Rule("BSL-1.0", ("bsl.grant",)),
+    Rule("OFL-1.1", ("ofl.grant",)),
+    Rule("Zlib", ("zlib.grant",)),
+    Rule("EPL-2.0", ("epl.provided",)),
+    Rule("PSF-2.0", ("psf.between",)),
+    Rule("WTFPL", ("wtfpl.changing",)),
+    Rule("PostgreSQL", ("postgres.grant",)),
+    Rule("CC0-1.0", ("cc0.waive",)),
     Rule("MPL-2.0", ("mpl.subject",)),
     Rule("Unlicense", ("unlicense",)),
     Rule("Public-Domain", ("public",)),
     *(Rule(x, (f"name:{x}",)) for x in NAMES),
 )
 
-HINT = re.compile(r"licen[sc]e|spdx|permission|redistribut|warrant|rights reserved|public domain|free software|copyright|liable|endorse|neither the name|obtain a copy|(?:released|distributed|published|available|provided|shared)\W+under", re.I)
+HINT = re.compile(r"licen[sc]e|spdx|permission|redistribut|warrant|rights reserved|public domain|free software|copyright|liable|endorse|neither the name|obtain a copy|advertising materials|this product includes|covered software|font projects|terms and conditions|in the hope that|waives abandons|waives, abandons|(?:released|distributed|published|available|provided|shared)\W+under", re.I)
 PIECE = re.compile(r"[^\n]+")
 ENDS = re.compile(r"(?<=[.!?;])(?<!\bv\.)\s+|(?<=:)(?<!dentifier:)\s+")
 MARKS = re.compile(r"^[\s#/*;%<!-]+")
 APART_FROM_WORDS = re.compile(r"[^a-z0-9]+")
 GRANT = re.compile(r"^(?:(?:this|the|all|these|our) (?:[a-z]+ ){1,4}?(?:is|are) )?(?:dual )?(?:licensed|released|distributed|published|available|provided|made available|shared) under (?:the )?(?:terms of )?(?:the |a |an )?(.+)$")
-SPDX = re.compile(r"spdx license identifier (.+?)(?= spdx license identifier |$)")
 PLUS = re.compile(r"(?<=\d)\+(?!\w)")
+LATER_WORDS = 12  # more than a match of the following can have
 LATER = re.compile(r"(?: of the license)? or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?(?= |$)")
 #: What makes another name of one, and what may follow a name that is a single word.
 UNLIKE = {"style", "like", "type", "compatible", "derived", "inspired", "based", "variant"}
@@ -154,6 +224,8 @@ _begins = [(s[:-1].strip(), i) for i, s in SENTENCES.items() if s.endswith("*")]
 _names = {n: x for x, names in NAMES.items() for n in names} | {APART_FROM_WORDS.sub(" ", x.lower()).strip(): x for x in NAMES}
 
 _words = max(n.count(" ") + 1 for n in _names)
+#: The words of the longest known sentence; a grant's words before its name are fewer.
+_longest = max(s.count(" ") + 1 for s in SENTENCES.values()) + 16
 
 
 def normal(sentence: str) -> str:
@@ -162,60 +234,79 @@ def normal(sentence: str) -> str:
     return APART_FROM_WORDS.sub(" ", " ".join(lines)).strip()
 
 
-def named(words: list[str]) -> tuple[str | None, int]:
-    """The licence whose name the words begin with, and the number of words it takes. The longest name counts."""
-    for n in range(min(_words, len(words)), 0, -1):
-        name = _names.get(" ".join(words[:n]))
-        after = words[n] if n < len(words) else ""
-        if name is None or after in UNLIKE or (after == "license" and words[n + 1 : n + 2] and words[n + 1] in UNLIKE):
+def named(words: list[str], at: int = 0) -> tuple[str | None, int]:
+    """The licence whose name the words from a place on begin with, and the number of words it takes. The longest name counts."""
+    for n in range(min(_words, len(words) - at), 0, -1):
+        name = _names.get(" ".join(words[at : at + n]))
+        after, then = [*words[at + n : at + n + 2], "", ""][:2]
+        if name is None or after in UNLIKE or (after == "license" and then in UNLIKE):
             continue
-        if (n == 1 and after and words[0].isalpha() and words[0] != "unlicense" and after not in FOLLOWS) or (words[n - 1][-1].isdigit() and re.fullmatch(r"\d\d?", after)):
+        if (n == 1 and after and words[at].isalpha() and words[at] != "unlicense" and after not in FOLLOWS) or (words[at + n - 1][-1].isdigit() and re.fullmatch(r"\d\d?", after)):
             continue
-        later = LATER.match(" " + " ".join(words[n:]))
+        later = LATER.match(" " + " ".join(words[at + n : at + n + LATER_WORDS]))
         if later and name.endswith("-only"):
             return name.removesuffix("-only") + "-or-later", n + len(later[0].split())
         return name, n
     return None, 0
 
 
-def expression(text: str, whole: bool) -> list[str]:
-    """The licences of a normalised text that begins with their names, joined by "or" and "and".
+def expression(words: list[str], at: int, whole: bool) -> list[str]:
+    """The licences that the words from a place on name, joined by "or" and "and".
 
     In a ``whole`` expression unknown names and exceptions are passed over.
     """
-    words, out = text.split(), []
-    while words:
-        name, n = named(words)
-        if name and name not in out:
-            out.append(name)
-        words = words[n:]
-        if name and words[:1] == ["license"]:
-            words = words[1:]
-        if words and words[0] not in ("or", "and"):
-            if not whole or (name and words[0] != "with"):
+    out: dict[str, None] = {}
+    while at < len(words):
+        name, n = named(words, at)
+        if name:
+            out[name] = None
+        at += n
+        if name and words[at : at + 1] == ["license"]:
+            at += 1
+        if at < len(words) and words[at] not in ("or", "and"):
+            if not whole or (name and words[at] != "with"):
                 break
-            words = words[next((i for i, w in enumerate(words) if w in ("or", "and")), len(words)) :]
-        words = words[1:]
-        while words and words[0] in ("the", "a", "under", "terms", "of"):
-            words = words[1:]
-    return out
+            while at < len(words) and words[at] not in ("or", "and"):
+                at += 1
+        at += 1
+        while at < len(words) and words[at] in ("the", "a", "under", "terms", "of"):
+            at += 1
+    return list(out)
+
+
+def _spdx_ends(words: list[str]) -> list[int]:
+    """The places after each "SPDX license identifier" that something follows."""
+    return [i + 3 for i in range(len(words) - 3) if words[i + 1] == "license" and words[i + 2] == "identifier" and words[i].endswith("spdx")]
 
 
-def identifiers(sentence: str) -> list[str]:
-    """The identifiers of a normalised sentence: one of a known sentence, or those of the licences that it names."""
-    known = _whole.get(sentence)
+def identifiers(words: list[str], at: int = 0, tags: list[int] | None = None) -> list[str]:
+    """The identifiers of the normalised sentence that begins at a place among words and goes on to their end.
+
+    Gives that of a known sentence, or those of the licences that it names.
+    ``tags`` are the places after SPDX tags, if known. Only as many words are
+    read as a sentence or name can have, so all places cost about the same.
+    """
+    left = len(words) - at
+    known = _whole.get(" ".join(words[at:])) if left <= _longest else None
     if known:
         return [known]
-    grant = GRANT.match(sentence)
-    found = expression(grant[1], False) if grant else [x for m in SPDX.finditer(sentence) for x in expression(m[1], True)]
-    if grant or found:
-        return [f"name:{x}" for x in dict.fromkeys(found)]
-    return [i for begin, i in _begins if sentence.startswith(begin)][:1]
+    begin = " ".join(words[at : at + _longest])
+    grant = GRANT.match(begin)
+    if grant:
+        # the name's words stand at the end of what was read
+        return [f"name:{x}" for x in expression(words, at + min(left, _longest) - len(grant[1].split()), False)]
+    tags = [t for t in (_spdx_ends(words) if tags is None else tags) if t - 3 >= at]
+    found: dict[str, None] = {}
+    for i, t in enumerate(tags):
+        found |= dict.fromkeys(expression(words[t : tags[i + 1] - 3 if i + 1 < len(tags) else len(words)], 0, True))
+    if found:
+        return [f"name:{x}" for x in found]
+    return [i for start, i in _begins if begin.startswith(start)][:1]
 
 
 def identify(sentence: str) -> str | None:
     """The first identifier of a normalised sentence, if it is a known one."""
-    return next(iter(identifiers(sentence)), None)
+    return next(iter(identifiers(sentence.split())), None)
 
 
 def sequence(text: str | None) -> list[tuple[int, str]]:
@@ -231,26 +322,30 @@ def sequence(text: str | None) -> list[tuple[int, str]]:
         sentence = text[at : gap.start() if gap else len(text)]
         if HINT.search(sentence):
             place = at + len(sentence) - len(sentence.lstrip())
-            whole = normal(sentence)
-            known = identifiers(whole)
+            lines = [(x.start(), x[0], normal(x[0]).split()) for x in PIECE.finditer(sentence)]
+            words = [w for _, _, own in lines for w in own]
+            tags = _spdx_ends(words)
+            known = identifiers(words, 0, tags)
             several = "\n" in sentence.strip()
-            if known and not (several and SPDX.search(whole)):
+            if known and not (several and tags):
                 found.setdefault(place, known)
             # a name may be followed by other words, among them further lines
             if several and (not known or known[0].startswith("name:")):
                 # lines of marks before the first words belong to it
-                begin = next((x.start() for x in PIECE.finditer(sentence) if normal(x[0])), 0) if known else -1
-                for line in PIECE.finditer(sentence):
-                    known = HINT.search(line[0]) and identifiers(normal(line[0]))
+                begin = next((start for start, _, own in lines if own), 0) if known else -1
+                for start, line, own in lines:
+                    known = HINT.search(line) and identifiers(own)
                     if known:
-                        found.setdefault(place if line.start() == begin else max(place, at + line.start()), known)
+                        found.setdefault(place if start == begin else max(place, at + start), known)
                 # a line break may have ended the sentence before, and the last sentence go on over lines
-                for line in PIECE.finditer(sentence):
-                    rest = normal(sentence[line.start() :])
-                    known = [] if SPDX.search(rest) or not normal(line[0]) else identifiers(rest)
-                    if known:
-                        found[place if line.start() == begin else max(place, at + line.start())] = known
-                        break
+                first = 0
+                for start, _, own in lines:
+                    if own and not (tags and tags[-1] - 3 >= first):
+                        known = identifiers(words, first, [])
+                        if known:
+                            found[place if start == begin else max(place, at + start)] = known
+                            break
+                    first += len(own)
         at = gap.end() if gap else len(text)
     return [(k, i) for k, ids in sorted(found.items()) for i in ids]
 

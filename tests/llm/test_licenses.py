@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from palimpsest.llm import licenses
@@ -107,3 +110,59 @@ def test_awkward_rows(awkward, nothing):
 def test_places(spark):
     row = licenses.scan(spark.createDataFrame([(1, "é x.\nReleased under the MIT License.\nAgain. Released under the MIT License.")], "doc_id long, text string")).first()
     assert (row["licenses"], row["places"], row["n_sentences"]) == ("MIT", [5], 2)
+
+
+def plain_match(ids, rules):
+    """All places of a rule's sentences, tried one by one from the left; the nearest next place counts."""
+    used, hits = set(), []
+    for rule in rules:
+        for start in range(len(ids)):
+            places = []
+            for want in rule.sentences:
+                options = [start] if not places else range(places[-1] + 1, places[-1] + 1 + licenses.APART)
+                at = [j for j in options if j < len(ids) and j not in used and ids[j] == want]
+                if not at:
+                    break
+                places.append(at[0])
+            if len(places) == len(rule.sentences):
+                used |= set(places)
+                hits.append((start, rule.license))
+    return sorted(hits), [j for j in range(len(ids)) if j not in used]
+
+
+def test_match_as_brute_force():
+    rng = random.Random(5)
+    rules = tuple(licenses.Rule(f"L{i}", tuple(rng.choice("abcd") for _ in range(n))) for i, n in enumerate((4, 3, 3, 2, 2, 1)))
+    for _ in range(3000):
+        ids = [rng.choice("abcdx") for _ in range(rng.randrange(16))]
+        assert licenses.match(ids, rules) == plain_match(ids, rules)
+
+
+WHOLE = {
+    "Apache-2.0": 'Apache License\nVersion 2.0, January 2004\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n1. Definitions.\n\n"License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.\n\n"You" shall mean an individual.\n\n2. Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce.',
+    "GPL-2.0-only": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\nEveryone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\nPreamble\n\nThe licenses for most software are designed to take away your\nfreedom to share and change it.  By contrast, more.",
+    "GPL-3.0-only": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.\n\nThe GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.",
+    "LGPL-2.1-only": "Everyone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n\nThe licenses for most software are designed to take away your freedom to share and change it.\n\nThis license, the Lesser General Public License, applies to some\nspecially designated software packages--typically libraries--of the Free Software Foundation.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use.',
+    "BSD-4-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice.\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\nThis product includes software.",
+    "WTFPL": "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+}
+
+
+def test_whole_texts():
+    for want, text in WHOLE.items():
+        found = licenses.sequence(text)
+        hits, _ = licenses.match([i for _, i in found])
+        assert [name for _, name in hits][:1] == [want] and len({n for _, n in hits}) == 1, (want, found)
+
+
+def test_long_texts():
+    began = time.monotonic()
+    for text in ("\n".join(f"copyright of line {i} here" for i in range(30_000)), "\n".join(f"licensed under the MIT license {i}" for i in range(20_000)), "licensed under " + " or ".join(["MIT", "Apache-2.0"] * 50_000), "SPDX-License-Identifier: MIT " * 30_000):
+        licenses.match([i for _, i in licenses.sequence(text)])
+    assert time.monotonic() - began < 20
+
+
+def test_every_known_sentence_has_a_hint():
+    assert [i for i, x in licenses.SENTENCES.items() if not licenses.HINT.search(x)] == []
