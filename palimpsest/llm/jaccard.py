@@ -7,36 +7,44 @@ documents are linked if the Jaccard similarity of their sets is at least 0.8.
 1. One pass over the texts hashes n-grams, takes minima under a family of
    hash functions, and cuts them into bands. The numbers of bands and rows
    follow from the target recall at the threshold (``banding``).
-2. Equal texts (by digest) form a class; only its smallest id goes on.
-3. Band hashes are shuffled. Within a bucket, members whose short signatures
-   agree too little for the threshold (by five standard deviations) are not
-   tied; the rest are tied by a forest, never by all pairs. Buckets beyond
-   ``BUCKET`` members are tied by a star without that test, which ties no less.
-4. Connected components of the ties are sets of texts outside which no link
-   can be. Each text moves once to its component, where all pairs are verified
-   on full n-gram sets, by counting shared n-grams in blocks. A component
-   beyond ``WEIGHT`` n-grams is cut into parts, and each pair of parts is
-   a task of its own. What leaves a task is each text's number of links and
-   a forest of the links, so nothing grows with the square of a group.
+2. Equal texts (by digest) are one text, and texts with equal n-gram sets (by
+   the digest of the set) one set, with numbers of texts and documents. Only
+   sets go on.
+3. Band hashes are shuffled and counted. In a bucket of up to ``BUCKET``
+   members, those whose short signatures agree too little for the threshold
+   (by five standard deviations) are not tied; the rest are tied by a forest,
+   never by all pairs. The members of a larger one are each tied to its
+   smallest by a join, which ties no less, and gathers no bucket.
+4. Connected components of the ties are collections of sets outside which no
+   link can be. Each text is cut into n-grams once more and moves to its
+   component, where all pairs are verified on full n-gram sets, by counting
+   shared n-grams in blocks. A component with many n-grams or members is cut
+   into parts (``parts_of``), and each pair of parts is a task of its own. What
+   leaves a task is each set's number of links and a forest of the links, so
+   nothing grows with the square of a group.
 5. Components of the verified links give each document its class.
 
 So all links are counted but those whose pair meets in no band and is not tied
-through others; at the threshold itself that is under one in 10,000.
+through others; at the threshold itself that is under one in 10,000. Counting
+the links of one group of near copies compares all its pairs; copies, and texts
+that differ in case or white space alone, are not compared.
 
 Cases: a null text counts as empty; texts without words are copies of each
-other if equal, and not linked otherwise; equal texts and repeated rows share a class; rows with one id and several texts
-share that id's class and links; a null id gets no class and no links; an empty
-table gives an empty result; other columns are ignored.
+other if equal, and not linked otherwise; equal texts and repeated rows share a
+class; rows with one id and several texts share that id's class, each with the
+links of its own text; a null id gets no class and no links; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -45,7 +53,8 @@ from palimpsest.sources.tables import materialize
 
 N, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.9999, 128
 BUCKET = 2000
-WEIGHT = 100_000
+#: N-grams and members of a part of a component; beyond ``SPREAD`` parts, the n-grams that a part has at most.
+WEIGHT, MEMBERS, SPREAD, MOST = 100_000, 10_000, 16, 400_000
 BROADCAST_MEMBERS = 500_000
 _M1, _M2, _MUL = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,6 +89,10 @@ def shingles(text: str | None, n: int = N) -> np.ndarray:
     return np.unique(mixed(rolled + np.uint64(k)))
 
 
+def set_id(grams: np.ndarray) -> bytes:
+    return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
+
+
 def _family(count: int, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.Generator(np.random.PCG64(seed))
     return rng.integers(0, 1 << 32, count, np.uint64).astype(np.uint32), rng.integers(0, 1 << 32, count, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -94,18 +107,20 @@ def minhash(grams: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> np.ndar
 
 
 def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Per document: the digest's key, n-grams, band hashes, and a signature of four bits a hash."""
+    """Per document: the digest of its n-gram set, n-grams, band hashes, and a signature of four bits a hash."""
     family = _family(bands * rows)
     salt = mixed(np.arange(1, bands + 1, dtype=np.uint64))
     for batch in batches:
-        sizes, keys, signs = [], [], []
+        sizes, owns, keys, signs = [], [], [], []
         for text in batch.column("text"):
             grams = shingles(text.as_py())
             sizes.append(len(grams))
             if not len(grams):
+                owns.append(None)
                 keys.append(None)
                 signs.append(None)
                 continue
+            owns.append(set_id(grams))
             least = minhash(grams, family)
             table = least.reshape(bands, rows).astype(np.uint64)
             h = salt.copy()
@@ -115,13 +130,13 @@ def _signed(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterato
             bits = (least >> np.uint32(28)).astype(np.uint8)
             bits = np.append(bits, 0) if len(bits) % 2 else bits
             signs.append((bits[::2] << 4 | bits[1::2]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "content", "grams", "bands", "sign"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("content"), pa.array(owns, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())], names=["doc_id", "content", "own", "grams", "bands", "sign"])
 
 
 def sign(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     text = F.coalesce(docs["text"], F.lit(""))
     rows_ = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("content"), "text")
-    return rows_.mapInArrow(lambda b: _signed(b, bands, rows), "doc_id long, content binary, grams long, bands array<long>, sign binary")
+    return rows_.mapInArrow(lambda b: _signed(b, bands, rows), "doc_id long, content binary, own binary, grams long, bands array<long>, sign binary")
 
 
 class _Forest:
@@ -175,7 +190,7 @@ _SAME = np.array([[(x >> 4 == 0) + (x & 15 == 0) for x in range(256)]], np.uint8
 
 
 def _ties(batches: Iterator[pa.RecordBatch], hashes: int, threshold: float) -> Iterator[pa.RecordBatch]:
-    """A forest of ties for each bucket of a partition sorted by band hash."""
+    """A forest of ties for each bucket of a partition sorted by band hash. A bucket has ``BUCKET`` members at most."""
     p = threshold + (1 - threshold) / 16
     enough = hashes * p - 5 * math.sqrt(hashes * p * (1 - p))
     pad = hashes % 2  # an odd signature ends in a nibble that always agrees
@@ -185,10 +200,7 @@ def _ties(batches: Iterator[pa.RecordBatch], hashes: int, threshold: float) -> I
         ids = run.column("rep").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids = ids[order]
-        if len(ids) > BUCKET:
-            a.extend(ids[1:].tolist())
-            b.extend([int(ids[0])] * (len(ids) - 1))
-        elif len(ids) > 1:
+        if len(ids) > 1:
             signs = np.frombuffer(b"".join(run.column("sign").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             forest = _Forest(len(ids))
             for i in range(len(ids) - 1):
@@ -224,57 +236,85 @@ def _shared(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float = THRESHOLD) -> list[tuple[int, np.ndarray]]:
-    """For each left set, the places of the right sets (or of the later left ones) that it is linked with."""
-    whole = left if right is None else right
-    sizes = np.array([len(x) for x in whole])
-    out = []
+def near(left: list[np.ndarray], right: list[np.ndarray], threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray]]:
+    """Which right sets (columns) the left ones (rows) are linked with, by blocks of rows with their first place."""
+    sizes = np.array([len(x) for x in right])
     for at in range(0, len(left), 256):
         part = left[at : at + 256]
-        if len(part) * len(whole) <= 4:
-            shared = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in whole] for x in part], np.float64)
+        if len(part) * len(right) <= 4:
+            shared = np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in right] for x in part], np.float64)
         else:
-            shared = _shared(part, whole).astype(np.float64)
-        for i, own in enumerate(part):
-            union = len(own) + sizes - shared[i]
-            near = (shared[i] >= threshold * union) & (shared[i] > 0)
-            if right is None:
-                near[: at + i + 1] = False
-            out.append((at + i, np.flatnonzero(near)))
-    return out
+            shared = _shared(part, right).astype(np.float64)
+        union = np.array([len(x) for x in part])[:, None] + sizes - shared
+        yield at, (shared >= threshold * union) & (shared > 0)
+
+
+FOUND = "own binary, rep long, other long, texts long, documents long"
 
 
 def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Link counts of texts, and a forest of links, from tasks of (component, part, part)."""
+    """Link counts of sets (own), and a forest of links (rep, other), from tasks of (component, part, part)."""
     for run in _runs(batches, ["component", "i", "j"]):
-        seen: dict[int, tuple[int, int, np.ndarray]] = {}
-        for rep, part, copies, text in zip(*[run.column(c) for c in ("rep", "part", "copies", "text")], strict=True):
-            seen.setdefault((rep.as_py(), text.as_py()), (part.as_py(), copies.as_py(), shingles(text.as_py())))
-        rows = sorted(((part, rep, copies, grams) for (rep, _), (part, copies, grams) in seen.items()), key=lambda r: r[:2])
+        columns = zip(*[run.column(c).to_pylist() for c in ("part", "rep", "own", "texts", "documents", "grams")], strict=True)
+        rows = sorted({r[1:3]: r for r in columns}.values(), key=lambda r: r[:3])  # a repeated row is one set
         i, j = run.column("i")[0].as_py(), run.column("j")[0].as_py()
-        left = [r for r in rows if r[0] == i]
-        right = left if i == j else [r for r in rows if r[0] == j]
-        forest = _Forest(len(left) + len(right))
-        texts, documents = [0] * len(forest.parent), [0] * len(forest.parent)
-        ids, copies = [r[1] for r in left + right], [r[2] for r in left + right]
-        shift = 0 if i == j else len(left)
-        a, b = [], []
-        for x, found in links([r[3] for r in left], None if i == j else [r[3] for r in right], threshold):
-            for y in (found + shift).tolist():
-                texts[x] += 1
-                texts[y] += 1
-                documents[x] += copies[y]
-                documents[y] += copies[x]
-                if forest.tie(x, y):
-                    a.append(ids[y])
-                    b.append(ids[x])
-        met = [k for k, n in enumerate(texts) if n]
-        n = len(met) + len(a)
-        if n:
+        ranks = [[k for k, r in enumerate(rows) if r[0] == part] for part in (i, j)]
+        grams = [[np.frombuffer(rows[k][5], np.uint64) for k in places] for places in ranks]
+        places = [np.array(x, np.int64) for x in ranks]
+        held = np.array([r[3:5] for r in rows], np.float64).reshape(len(rows), 2)
+        counts, label, ties = np.zeros((len(rows), 2)), np.arange(len(rows)), []
+        for at, linked in near(grams[0], grams[1], threshold):
+            if i == j:  # each pair once
+                linked &= np.arange(len(places[1])) > np.arange(at, at + len(linked))[:, None]
+            whole = linked.astype(np.float64)
+            counts[places[0][at : at + len(linked)]] += whole @ held[places[1]]
+            counts[places[1]] += whole.T @ held[places[0][at : at + len(linked)]]
+            for x in np.flatnonzero(linked.any(1)):
+                one, others = places[0][at + x], places[1][linked[x]]
+                groups, first = np.unique(label[others], return_index=True)
+                for group, k in zip(groups.tolist(), first.tolist(), strict=True):
+                    if group != label[one]:
+                        ties.append((rows[others[k]][1], rows[one][1]))
+                        label[label == group] = label[one]
+        met = np.flatnonzero(counts[:, 0])
+        if len(met):
+            none = [None] * len(ties)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[k] for k in met] + a, pa.int64()), pa.array([None] * len(met) + b, pa.int64()), pa.array([texts[k] for k in met] + [0] * len(a), pa.int64()), pa.array([documents[k] for k in met] + [0] * len(a), pa.int64())],
-                names=["a", "b", "texts", "documents"],
-            )
+                [pa.array([*(rows[k][2] for k in met), *none], pa.binary()), pa.array([*[None] * len(met), *(t[0] for t in ties)], pa.int64()), pa.array([*[None] * len(met), *(t[1] for t in ties)], pa.int64()),
+                 pa.array([*counts[met, 0].astype(np.int64).tolist(), *none], pa.int64()), pa.array([*counts[met, 1].astype(np.int64).tolist(), *none], pa.int64())],
+                names=["own", "rep", "other", "texts", "documents"],
+            )
+
+
+CUT = "component long, own binary, rep long, texts long, documents long, parts int, part int, grams binary"
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces members' texts by their n-grams; a text of the same id that is another set's is left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            sets = [shingles(t.as_py()) for t in part.column("text")]
+            keep = pa.array([len(g) > 0 and set_id(g) == own for g, own in zip(sets, part.column("own").to_pylist(), strict=True)], pa.bool_())
+            names = [n for n in part.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array([g.tobytes() for g in sets], pa.binary())], names=[*names, "grams"]).filter(keep)
+
+
+def parts_of(grams: Column, members: Column) -> Column:
+    """The parts of a component: of ``WEIGHT`` n-grams up to ``SPREAD`` parts, then larger ones, since each pair of parts reads two."""
+    by_weight = F.greatest(F.least(F.ceil(grams / WEIGHT), F.lit(SPREAD)), F.ceil(grams / max(WEIGHT, MOST)))
+    return F.greatest(by_weight, F.ceil(members / MEMBERS)).cast("int")
+
+
+def _tied(sets: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
+    """Ties (a, b) of sets that share a band."""
+    slim = sets.select("rep", F.explode("bands").alias("band"))
+    shared = slim.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).where("n > 1")
+    held = materialize(slim.join(shared, "band"), "held")
+    stars = held.where((F.col("n") > BUCKET) & (F.col("rep") != F.col("least"))).select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    small = held.where(F.col("n") <= BUCKET).select("band", "rep").join(sets.select("rep", "sign"), "rep").repartition(parts, "band").sortWithinPartitions("band").select("band", "rep", "sign")
+    return small.mapInArrow(lambda b: _ties(b, bands * rows, threshold), "a long, b long").unionByName(stars)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -287,42 +327,49 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     """
     bands, rows = banding(threshold, recall)
     signed = materialize(sign(docs, bands, rows), "signed")
-    least = signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "bands", "sign", "grams")).alias("own"))
-    reps = materialize(least.select("content", "rep", "copies", "own.bands", "own.sign", "own.grams"), "reps")
-    known = reps.where("rep is not null and grams > 0")
-    slim = known.select("rep", F.explode("bands").alias("band"))
-    met = slim.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).where("n > 1").select("band", "rep")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tied = met.join(known.select("rep", "sign"), "rep").repartition(parts, "band").sortWithinPartitions("band").select("band", "rep", "sign")
-    ties = tied.mapInArrow(lambda b: _ties(b, bands * rows, threshold), "a long, b long")
-    groups = connected_components(ties)
-    members = groups.join(known.select("rep", "copies", "grams"), groups["vertex"] == known["rep"]).select("component", "rep", "copies", "grams")
-    members = materialize(members, "members")
-    # a component with many n-grams is dealt into parts, and each pair of parts is a task
-    weights = members.groupBy("component").agg(F.sum("grams").alias("weight")).withColumn("parts", F.ceil(F.col("weight") / WEIGHT).cast("int"))
-    dealt = members.join(weights.select("component", "parts"), "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    texts = signed.groupBy("content").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("own", "grams", "bands", "sign")).alias("x"))
+    texts = materialize(texts.select("content", "rep", "copies", "x.*"), "texts")
+    alike = texts.where("rep is not null and own is not null").groupBy("own")
+    sets = alike.agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("texts"), F.sum("copies").alias("documents"), F.first(F.struct("grams", "bands", "sign")).alias("x"))
+    sets = materialize(sets.select("own", "rep", "texts", "documents", "x.*"), "sets")
+    groups = connected_components(_tied(sets, bands, rows, threshold))
+    members = materialize(groups.join(sets.select("own", "rep", "texts", "documents", "grams"), groups["vertex"] == sets["rep"]).select("component", "own", "rep", "texts", "documents", "grams"), "members")
+    # a large component is dealt into parts, and each pair of parts is a task
+    sizes = members.groupBy("component").agg(parts_of(F.sum("grams"), F.count(F.lit(1))).alias("parts"))
+    dealt = members.drop("grams").join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("own"), F.col("parts")).cast("int"))
     # few members are broadcast, so that only their texts move; many are joined by a shuffle
     few = members.count() <= BROADCAST_MEMBERS
-    text = docs.select(docs["doc_id"].cast("long").alias("rep"), "text")
-    dealt = text.join(F.broadcast(dealt) if few else dealt.hint("merge"), "rep")
+    text = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"])
+    dealt = text.join(F.broadcast(dealt) if few else dealt.hint("merge"), F.col("id") == F.col("rep")).drop("id")
+    cut = dealt.mapInArrow(_cut, CUT)
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("i"), F.greatest(k, F.col("part")).alias("j")))
-    tasks = dealt.select("component", "rep", "copies", "part", "text", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "rep", "part", "copies", "text")
+    tasks = cut.select("component", "own", "rep", "texts", "documents", "part", "grams", F.explode(pairs).alias("p")).select("component", "p.i", "p.j", "part", "rep", "own", "texts", "documents", "grams")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     tasks = tasks.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = materialize(tasks.mapInArrow(lambda b: _verified(b, threshold), "a long, b long, texts long, documents long"), "found")
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
-    joined = connected_components(found.where("b is not null").select("a", "b"))
-    per = reps.select("content", "rep", "copies").join(counts, "rep", "left").join(joined.withColumnRenamed("vertex", "rep"), "rep", "left")
-    per = per.select("content", "rep", "copies", F.coalesce("component", "rep").alias("class_id"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("documents", F.lit(0)).alias("documents"))
+    found = materialize(tasks.mapInArrow(lambda b: _verified(b, threshold), FOUND), "found")
+    counts = found.where("own is not null").groupBy("own").agg(F.sum("texts").alias("more_texts"), F.sum("documents").alias("more_documents"))
+    joined = connected_components(found.where("own is null").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("vertex", "rep")
+    per_set = sets.select("own", "rep", "texts", "documents").join(counts, "own", "left").join(joined, "rep", "left")
+    zero = F.lit(0).cast("long")
+    per_set = per_set.select("own", F.coalesce("component", "rep").alias("class"), (F.col("texts") - 1 + F.coalesce("more_texts", zero)).alias("links"), (F.col("documents") - 1 + F.coalesce("more_documents", zero)).alias("documents"))
+    per = texts.select("content", "rep", "copies", "own").join(per_set, "own", "left")
     out = signed.select("doc_id", "content").join(per, "content")
     return out.select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.col("rep").alias("rep_id"), (F.col("copies") - 1).cast("long").alias("n_copies"),
-        F.col("texts").cast("long").alias("n_text_links"), (F.col("copies") - 1 + F.col("documents")).cast("long").alias("n_links"),
+        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "rep")).alias("class_id"), F.col("rep").alias("rep_id"), (F.col("copies") - 1).cast("long").alias("n_copies"),
+        F.coalesce("links", zero).alias("n_text_links"), F.coalesce("documents", F.col("copies") - 1).cast("long").alias("n_links"),
     )
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with one left of each class: that with the smallest id. Rows without an id stay."""
-    kept = classes(docs, threshold).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    first = stay.dropDuplicates(["doc_id"])
-    return first.unionByName(docs.where(docs["doc_id"].isNull()))
+    """The documents with one left of each class: that with the smallest id. Rows without an id stay.
+
+    Of several rows with that id stays the one whose text has the smallest
+    digest (then by a hash of the row), so reruns agree.
+    """
+    kept = classes(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
+    rows = docs.select(docs["doc_id"].cast("long").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    stay = rows.join(kept, rows["id"] == kept["doc_id"], "left_semi")
+    hashed = [F.col("row").getField(c) for c, t in docs.dtypes if "map<" not in t]
+    order = Window.partitionBy("id").orderBy(F.sha2(F.coalesce(F.col("row").getField("text"), F.lit("")), 256), F.xxhash64(*hashed))
+    first = stay.withColumn("n", F.row_number().over(order)).where("n = 1")
+    return first.unionByName(rows.where("id is null").withColumn("n", F.lit(1))).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -62,20 +63,49 @@ def planted(seed=1):
 
 @pytest.mark.parametrize(("weight", "bucket"), [(100_000, 2000), (600, 5)])
 def test_as_brute_force(spark, monkeypatch, weight, bucket):
-    monkeypatch.setattr(jaccard, "WEIGHT", weight)
+    for name, value in (("WEIGHT", weight), ("MOST", weight), ("BUCKET", bucket)):
+        monkeypatch.setattr(jaccard, name, value)
     rows = planted()
     got = {r["doc_id"]: (r["class_id"], r["rep_id"], r["n_copies"], r["n_text_links"], r["n_links"]) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     want = brute(rows)
     assert got == want
 
 
-def test_large_buckets_are_tied_without_pairs():
-    import pyarrow as pa
-
+def test_large_buckets_are_tied_without_pairs(spark):
     n = jaccard.BUCKET + 5
-    batch = pa.RecordBatch.from_arrays([pa.array([7] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([bytes([i % 251]) * 60 for i in range(n)])], names=["band", "rep", "sign"])
-    out = pa.Table.from_batches(list(jaccard._ties(iter([batch.slice(0, 900), batch.slice(900)]), 120, 0.8)))
-    assert out.num_rows == n - 1 and set(out.column("b").to_pylist()) == {0}
+    rows = [(i, bytes([i % 251]) * 60, [7]) for i in range(n)]
+    out = jaccard._tied(spark.createDataFrame(rows, "rep long, sign binary, bands array<long>"), 24, 5, 0.8).collect()
+    assert len(out) == n - 1 and {r["b"] for r in out} == {0}
+
+
+def test_texts_with_equal_sets_are_not_compared(spark):
+    began = time.monotonic()
+    rows = [(i, "a b c d e f" + " " * (i % 20_000 + 1) + ("g" if i % 2 else "G")) for i in range(30_000)] + [(50_000, "a b c d e f g h")]
+    got = {r["doc_id"]: r for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {r["class_id"] for k, r in got.items() if k < 50_000} == {0}
+    assert got[0]["n_copies"] == 1 and got[0]["n_text_links"] == 19_999 and got[0]["n_links"] == 29_999
+    assert time.monotonic() - began < 60
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(2500):
+        own = list(base)
+        own[rng.randrange(100)] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    # two such texts differ in ten n-grams of 96 at most
+    assert {r["class_id"] for r in got} == {0} and {r["n_links"] for r in got} == {2499}
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(1, "a b c d e f g h i j"), (1, "k l m n o p q r s t"), (2, "a b c d e f g h i j"), (3, "k l m n o p q r s t"), (4, "other words that stand here alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in jaccard.classes(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    kept = [sorted((r["doc_id"], r["text"]) for r in jaccard.deduplicated(docs.repartition(n)).collect()) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and [k for k, _ in kept[0]] == [1, 4]
 
 
 def test_banding_reaches_the_recall():
