@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.sources.tables import materialize
+from palimpsest.sources.tables import discard, materialize
 
 ROUNDS = 60
 
@@ -41,7 +41,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     for _ in range(ROUNDS):
         stars = _small_star(_large_star(known).distinct()).where("a <> b").distinct()
-        known = materialize(stars, "stars")
+        last, known = known, materialize(stars, "stars")
+        discard(last)
         now = known.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if now["n"] == 0 or (now["n"], now["x"]) == before:
             break

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_written: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -60,4 +65,52 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that ``materialize`` wrote and that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            _written[df.sparkSession.sparkContext.applicationId].remove(path)
+            _delete(df.sparkSession, path)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what ``materialize`` writes within, but for the tables that are put into the list.
+
+    Results that are read later have to be in the list, or written elsewhere.
+    """
+    written = _written.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = set(written), []
+    try:
+        yield kept
+    finally:
+        keep = before | {_paths.get(df) for df in kept}
+        for path in [p for p in written if p not in keep]:
+            written.remove(path)
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that ``materialize`` wrote in this application, once its results are no longer read."""
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        _delete(spark, path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that a table doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
