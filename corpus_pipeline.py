@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import bpe, jaccard, mixing, queries, secrets, toxicity
-from palimpsest.sources.tables import materialize, table
+from palimpsest.sources.tables import discard, materialize, table, workspace
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +45,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole corpus: doc_id, source, n_tokens, ids."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with workspace(spark) as kept:  # what a stage wrote on its way goes once its result is written
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
