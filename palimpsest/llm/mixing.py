@@ -110,8 +110,6 @@ def mix(docs: DataFrame) -> DataFrame:
 def emit(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as its source's rate and its draw say, whole, with its own columns."""
     rates, small = plan(materialize(sizes(docs), "sizes"))
-    rates = rates.select("of", *[F.col(c).alias(f"_mix_{c}") for c in ("whole", "under", "seed")])
-    joined = docs.join(F.broadcast(rates) if small else rates, docs["source"].eqNullSafe(rates["of"]))
-    bernoulli = F.when(_draw(F.col("_mix_seed"), F.col("doc_id")) < F.col("_mix_under"), F.lit(1)).otherwise(F.lit(0))
-    copies = F.array_repeat(F.lit(True), (F.col("_mix_whole") + bernoulli).cast("int"))
-    return joined.withColumn("_mix_copy", F.explode(copies)).select(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["source"], docs["doc_id"])
+    copies = repeated(rows, rates, small).select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

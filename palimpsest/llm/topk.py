@@ -19,13 +19,16 @@ what ties with the k-th score is kept if its id isn't larger than the k-th's.
 
 Queries travel in chunks and vectors in blocks, so a task holds one of each.
 The driver holds the directory, one row a block, kept under about
-``DIRECTORY`` rows by the block size.
+``DIRECTORY`` rows by the block size as long as a block has ``BYTES`` at most.
 
 Cases: vectors that are null or hold null or non-finite parts, and rows with a
 null id, take no part; shorter vectors count as padded with zeros; rows with a
 query's own id are not its candidates, rows that repeat another id are each
-ranked, and a query that repeats is asked once, with its least vector; fewer than k candidates are all returned; empty tables give
-empty results; other columns are ignored; scores beyond 2**62 raise an error.
+ranked, and a query that repeats is asked once, with its least vector; fewer
+than k candidates are all returned; empty tables give empty results; other
+columns are ignored; in a vector whose square is beyond 2**62, so that scores
+might not fit in 64 bits, components count as at most sqrt(2**62 / their
+number) either way.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from palimpsest.sources.tables import materialize
 
 SAMPLE, PIVOTS, ROUNDS = 8192, 64, 8
 BLOCK, DIRECTORY, CHUNK, HOME = 1024, 200_000, 256, 1024
+#: Bytes of a block's vectors at most, and cells that are compared with the directory at once.
+BYTES, CELLS = 1 << 26, 1 << 22
 
 
 def _rows(column: pa.Array, size: int) -> np.ndarray:
@@ -63,8 +68,9 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: float) -> Dat
                 if i is None or v.values.null_count or not np.isfinite(x).all():
                     continue
                 x = np.floor(scale * x)
-                if float(x @ x) > 2.0**62:
-                    raise ValueError("inner products of these vectors don't fit in 64 bits")
+                if float(np.abs(x).max(initial=0)) > 2.0**31 or float(x @ x) > 2.0**62:  # so that all inner products fit in 64 bits
+                    most = float(int((2.0**62 / len(x)) ** 0.5))
+                    x = np.clip(x, -most, most)
                 whole = x.astype(np.int64)
                 ids.append(i)
                 packed.append(whole.tobytes())
@@ -121,7 +127,7 @@ class Index:
         spark = vectors.sparkSession
         n, most, size = vectors.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.octet_length("v"))).first()
         self.n, self.most, self.size = n, most or 0, (size or 0) // 8
-        self.block = max(block, n // DIRECTORY)
+        self.block = min(max(block, n // DIRECTORY), max(1, BYTES // (8 * max(1, self.size))))
         sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v", "norm").toArrow()
         x = _rows(sample.column("v"), self.size)
         self.pivots = pivots(_lifted(x, sample.column("norm").to_numpy().astype(float), self.most), count)
@@ -217,7 +223,8 @@ class Index:
                 for ids, packed, bounds, ties in zip(*[batch.column(c).to_pylist() for c in ("queries", "vectors", "bounds", "ties")], strict=True):
                     q, bound, tie = np.frombuffer(ids, np.int64), np.frombuffer(bounds), np.frombuffer(ties, np.int64)
                     x = np.frombuffer(packed).reshape(len(q), self.size)
-                    wanted = self._wanted(x, bound, k, home)
+                    step = max(1, CELLS // max(1, len(names)))
+                    wanted = np.concatenate([self._wanted(x[at : at + step], bound[at : at + step], k, home) for at in range(0, len(x), step)])
                     for b in np.flatnonzero(wanted.any(0)):
                         rows = wanted[:, b]
                         row = [int(names[b]), q[rows].tobytes(), x[rows].tobytes(), bound[rows].tobytes(), tie[rows].tobytes()]

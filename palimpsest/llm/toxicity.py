@@ -22,6 +22,7 @@ empty tables give empty results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,11 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.sources.tables import materialize
+from palimpsest.sources.tables import materialize, unused
 
 TOXIC_ROWS, CLEAN_ROWS = 4000, 8000
 FOLDS = 3
-TERMS = 20_000
 STEM = 4
 TREES, DEPTH, RATE, BINS, LEAST_WEIGHT, RIDGE = 60, 3, 0.2, 32, 3.0, 1.0
 #: Second-person words of the corpus's languages.
@@ -178,12 +178,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term, kind, class and fold of a batch, with the number of its documents."""
     for batch in batches:
+        counts: Counter = Counter()
         for text, toxic, fold in zip(batch.column("text"), batch.column("toxic").to_pylist(), batch.column("fold").to_pylist(), strict=True):
             found = set(WORD.findall((text.as_py() or "").lower()))
-            stems = {w[:STEM] for w in found if len(w) >= STEM}
-            terms = [*found, *stems]
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([False] * len(found) + [True] * len(stems)), pa.array([toxic] * len(terms), pa.int32()), pa.array([fold] * len(terms), pa.int32())], names=["term", "stem", "toxic", "fold"])
+            counts.update((w, False, toxic, fold) for w in found)
+            counts.update((w, True, toxic, fold) for w in {w[:STEM] for w in found if len(w) >= STEM})
+        if counts:
+            term, stem, toxic, fold = zip(*counts, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(stem), pa.array(toxic, pa.int32()), pa.array(fold, pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["term", "stem", "toxic", "fold", "n"])
+
+
+def _stands_out(toxic: Column, clean: Column, n_toxic: float, n_clean: float) -> Column:
+    """Whether ``_lexicon`` may keep a term, with a little slack for rounding."""
+    ratio = F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
+    return (toxic >= 2) & (ratio / F.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5)) > 1.59) & (ratio > 1.49)
 
 
 def _lexicon(counts, folds: list[int], n: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
@@ -212,13 +222,15 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     if not sizes.sum(0).all():
         share = totals.get(1, 0) / max(1, sum(totals.values()))
         return Model(chances=np.array([share]))
-    per = [F.count_if((F.col("toxic") == y) & (F.col("fold") == f)).alias(f"{k}{f}") for k, y in (("t", 1), ("c", 0)) for f in range(FOLDS)]
-    terms = sample.mapInArrow(_terms, "term string, stem boolean, toxic int, fold int").groupBy("term", "stem").agg(*per)
-    n_toxic, n_clean = sizes[:, 1].sum(), sizes[:, 0].sum()
-    t, c = (sum((F.col(f"{k}{f}") for f in range(1, FOLDS)), F.col(f"{k}0")) for k in "tc")
-    ratio = F.log((t + 0.5) / n_toxic) - F.log((c + 0.5) / n_clean)
-    standing = ratio / F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
-    counts = terms.where((t >= 2) & (ratio > 1)).orderBy(standing.desc(), "term", "stem").limit(TERMS).toPandas()
+    per = [F.sum(F.when((F.col("toxic") == y) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"{k}{f}") for k, y in (("t", 1), ("c", 0)) for f in range(FOLDS)]
+    terms = sample.mapInArrow(_terms, "term string, stem boolean, toxic int, fold int, n long").groupBy("term", "stem").agg(*per)
+    # what no lexicon can keep stays on the cluster; each lexicon picks by its own folds alone
+    wanted = F.lit(False)
+    for out in (None, *range(FOLDS)):
+        used = [f for f in range(FOLDS) if f != out]
+        t, c = (sum((F.col(f"{k}{f}") for f in used[1:]), F.col(f"{k}{used[0]}")) for k in "tc")
+        wanted = wanted | _stands_out(t, c, max(1, sizes[used, 1].sum()), max(1, sizes[used, 0].sum()))
+    counts = terms.where(wanted).orderBy("term", "stem").toPandas()
     folds = list(range(FOLDS))
     whole = _lexicon(counts, folds, sizes)
     without = [_lexicon(counts, [f for f in folds if f != out], sizes) for out in folds]
@@ -244,12 +256,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clea
     return Model(*whole, Trees().fit(x, y, weight), margins, chances)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The named columns, and as the last one, ``_toxicity``, the score of each document's whole text."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "_toxicity") -> DataFrame:
+    """The kept columns, and as the last one, under the given name, the score of each document's whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = keep or ["doc_id"]
     sent = list(dict.fromkeys([*columns, "text"]))
-    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField("_toxicity", T.DoubleType())])
+    schema = T.StructType([*docs.select(*columns).schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -257,17 +269,18 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 chance = known.score(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(chance, pa.float64())], names=[*columns, "_toxicity"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in columns], pa.array(chance, pa.float64())], names=[*columns, name])
 
     return docs.select(*sent).mapInArrow(run, schema)
 
 
 def rate(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row a document: held_out, score and predicted."""
-    scored = score(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), train(docs, labels))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_toxicity").alias("score"), (F.col("_toxicity") >= 0.5).cast("int").alias("predicted"))
+    scored = score(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), train(docs, labels), name="score")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the model doesn't take for toxic, with their own columns."""
-    return score(docs, train(docs, labels), docs.columns).where(F.col("_toxicity") < 0.5).drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    return score(docs, train(docs, labels), docs.columns, name).where(F.col(name) < 0.5).drop(name)

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from palimpsest.llm import bpe, jaccard, mixing, queries, secrets, toxicity
 from palimpsest.sources.tables import materialize, table
@@ -27,3 +29,18 @@ def test_stages(spark):
     tokenizer = bpe.load(open(queries.tokenizer_file(), encoding="utf-8").read())
     texts = {r["doc_id"]: r["text"] for r in got["secrets"].collect()}
     assert all(r["ids"] == tokenizer.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) for r in got["bpe"].collect())
+
+
+def test_awkward_rows_go_through_all_stages(spark, awkward, nothing):
+    extra = awkward.withColumns({c: F.lit(c) for c in ("_findings", "_of", "_blob", "_toxicity", "_mix_whole", "_mix_under", "_mix_seed", "row", "id", "cuts")})
+    for docs in (extra, nothing):
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            docs = materialize(stage(spark, docs, FOLDER), name)
+            assert name == "bpe" or docs.columns == columns
+        assert (docs.count() > 0) == (columns == extra.columns)
+
+
+def test_run_leaves_only_what_is_read(spark):
+    got = corpus_pipeline.run(spark, FOLDER)
+    assert got.count() > 0 and got.columns == ["doc_id", "source", "n_tokens", "ids"]

@@ -61,6 +61,7 @@ def test_awkward_vectors(spark):
     twice = df.unionByName(df.where("vec_id = 0"))
     assert [v for v, _ in got(topk.search(twice, F.col("vec_id") % 20 == 0))[0]] == [2, 3, 80, 5, 100]
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
-    large = spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>")
-    with pytest.raises(Exception, match="64 bits"):
-        topk.search(large, F.col("vec_id") % 20 == 0).collect()
+    large = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 1.0]), (2, [-1e308, 0.0]), (20, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    most = int((2.0**62 / 2) ** 0.5)
+    capped = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(large, F.col("vec_id") % 20 == 0).collect()}
+    assert capped == {(0, 1): (20, 128 * most), (0, 2): (1, 64 * most + 64 * 64), (0, 3): (2, -most * most), (20, 1): (0, 128 * most), (20, 2): (1, 128 * 64), (20, 3): (2, -128 * most)}
