@@ -156,31 +156,43 @@ def large_partition(tied: DataFrame) -> DataFrame:
     return found.join(names, ["component", "seed"]).select("cluster", "component", "doc_id")
 
 
-def partition(edges: DataFrame, threshold: float, labelled: DataFrame | None = None, most: int = MAX_COMPONENT) -> DataFrame:
-    """(cluster, component, doc_id) of clusters with at least two members.
+def partitions(edges: DataFrame, thresholds: tuple[float, ...], labelled: DataFrame | None = None, most: int = MAX_COMPONENT) -> DataFrame:
+    """(threshold, cluster, component, doc_id) of clusters with at least two members, at several thresholds.
 
-    A component is one group of rows; those over ``most`` members go through
-    ``large_partition``, which gives the same clusters. A cluster is named by
-    its smallest id.
+    A component is one group of rows, which all thresholds share; those over
+    ``most`` members go through ``large_partition``, which gives the same
+    clusters. A cluster is named by its smallest id.
     """
     labelled = components(edges) if labelled is None else labelled
     sizes = component_sizes(labelled)
-    known = edges.where(F.col("jaccard") >= threshold).join(labelled.withColumnRenamed("doc_id", "a"), "a")
-    tied = known.join(sizes.where(F.col("size") <= most), "component").select("component", "a", "b")
+    known = edges.where(F.col("jaccard") >= min(thresholds)).join(labelled.withColumnRenamed("doc_id", "a"), "a")
+    tied = known.join(sizes.where(F.col("size") <= most), "component").select("component", "a", "b", "jaccard")
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        links: dict[int, set[int]] = {}
-        for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
-            links.setdefault(a, set()).add(b)
-            links.setdefault(b, set()).add(a)
-        found = [(g[0], key[0], v) for g in greedy_cliques(links) for v in g]
-        return pd.DataFrame(found, columns=["cluster", "component", "doc_id"], dtype="int64")
-
-    found = tied.groupBy("component").applyInPandas(run, "cluster long, component long, doc_id long")
+        found = []
+        for threshold in thresholds:
+            links: dict[int, set[int]] = {}
+            near = rows[rows["jaccard"] >= threshold]
+            for a, b in zip(near["a"].tolist(), near["b"].tolist(), strict=True):
+                links.setdefault(a, set()).add(b)
+                links.setdefault(b, set()).add(a)
+            found += [(threshold, g[0], key[0], v) for g in greedy_cliques(links) for v in g]
+        return pd.DataFrame(found, columns=["threshold", "cluster", "component", "doc_id"]).astype({"threshold": "float64", "cluster": "int64", "component": "int64", "doc_id": "int64"})
+
+    found = tied.groupBy("component").applyInPandas(run, "threshold double, cluster long, component long, doc_id long")
     large = sizes.where(F.col("size") > most)
     if large.isEmpty():
         return found
-    return found.unionByName(large_partition(known.join(large, "component").select("component", "a", "b")))
+    links = known.join(large, "component")
+    for threshold in thresholds:
+        more = large_partition(links.where(F.col("jaccard") >= threshold).select("component", "a", "b"))
+        found = found.unionByName(more.withColumn("threshold", F.lit(float(threshold))))
+    return found
+
+
+def partition(edges: DataFrame, threshold: float, labelled: DataFrame | None = None, most: int = MAX_COMPONENT) -> DataFrame:
+    """(cluster, component, doc_id) of ``partitions`` at one threshold."""
+    return partitions(edges, (threshold,), labelled, most).drop("threshold")
 
 
 def clusters(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -198,6 +210,12 @@ def check(found: DataFrame, threshold: float) -> DataFrame:
     return found.agg(F.min("min_jaccard").alias("worst"), F.count_if(F.col("min_jaccard") < threshold).alias("violations"), F.count_if(F.col("pairs") != whole).alias("incomplete"))
 
 
+def floor_of_lines(lines: DataFrame) -> DataFrame:
+    """(threshold, clusters, worst) from raw JSON lines of clusters, by a pattern. ``lines`` has value and threshold."""
+    found = F.regexp_extract("value", r'"min_jaccard":\s*([0-9.eE+-]+)', 1)
+    return lines.groupBy("threshold").agg(F.count(F.lit(1)).alias("clusters"), F.min(found.cast("double")).alias("worst"))
+
+
 def summary(found: DataFrame, total_docs: int) -> DataFrame:
     return found.agg(
         F.count(F.lit(1)).alias("clusters"), F.coalesce(F.sum("size"), F.lit(0)).alias("docs"), F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("redundant"),
@@ -214,6 +232,10 @@ def drop_list(members: DataFrame) -> DataFrame:
     return members.where("doc_id <> cluster").select("doc_id")
 
 
+def top_components(labelled: DataFrame, n: int = 20) -> DataFrame:
+    return component_sizes(labelled).orderBy(F.desc("size"), "component").limit(n)
+
+
 def component_histogram(labelled: DataFrame) -> DataFrame:
     size = F.col("size")
     band = bucket_label(size, SIZE_BANDS)

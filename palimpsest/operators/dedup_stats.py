@@ -72,17 +72,22 @@ def group_size_histogram(sizes: DataFrame) -> DataFrame:
 
 def retention(lengths: DataFrame, exact_drops: DataFrame, near_drops: dict[float, DataFrame], min_tokens: int = 5) -> DataFrame:
     """Documents and tokens that go: exact copies, then with clusters at each threshold, and then short ones too."""
-    steps = [("exact", exact_drops.select("doc_id").distinct())]
-    steps += [(f"near_{int(t * 100)}", exact_drops.select("doc_id").unionByName(d.select("doc_id")).distinct()) for t, d in sorted(near_drops.items(), reverse=True)]
-    out = None
-    for name, drops in steps:
-        marked = lengths.join(drops.withColumn("gone", F.lit(True)), "doc_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-        short = ~F.col("gone") & (F.col("n_tokens") < min_tokens)
-        row = marked.agg(
-            F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.count_if("gone").alias("removed_docs"), F.coalesce(F.sum(F.when(F.col("gone"), F.col("n_tokens"))), F.lit(0)).alias("removed_tokens"),
-            F.count_if(short).alias("short_docs"), F.coalesce(F.sum(F.when(short, F.col("n_tokens"))), F.lit(0)).alias("short_tokens"),
-        ).select(F.lit(name).alias("step"), "*")
-        out = row if out is None else out.unionByName(row)
+    names = ["exact", *[f"near_{int(t * 100)}" for t in sorted(near_drops, reverse=True)]]
+    drops = exact_drops.select("doc_id", F.explode(F.array(*[F.lit(n) for n in names])).alias("step"))
+    for t, d in near_drops.items():
+        drops = drops.unionByName(d.select("doc_id", F.lit(f"near_{int(t * 100)}").alias("step")))
+    # one join for all steps: a document moves once, with the steps in which it goes
+    gone = drops.groupBy("doc_id").agg(*[F.max(F.col("step") == n).alias(n) for n in names])
+    marked = lengths.join(gone, "doc_id", "left")
+    sums = []
+    for name in names:
+        out = F.coalesce(name, F.lit(False))
+        short = ~out & (F.col("n_tokens") < min_tokens)
+        sums += [F.count_if(out).alias(f"{name}_d"), F.coalesce(F.sum(F.when(out, F.col("n_tokens"))), F.lit(0)).alias(f"{name}_t"), F.count_if(short).alias(f"{name}_sd"), F.coalesce(F.sum(F.when(short, F.col("n_tokens"))), F.lit(0)).alias(f"{name}_st")]
+    row = marked.agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), *sums)
+    parts = (("removed_docs", "d"), ("removed_tokens", "t"), ("short_docs", "sd"), ("short_tokens", "st"))
+    each = [F.struct(F.lit(n).alias("step"), *[F.col(f"{n}_{k}").alias(a) for a, k in parts]) for n in names]
+    out = row.select("documents", "tokens", F.explode(F.array(*each)).alias("x")).select("x.step", "documents", "tokens", *[f"x.{a}" for a, _ in parts])
     return out.withColumn("retained_docs", F.col("documents") - F.col("removed_docs") - F.col("short_docs")).withColumn("removed_doc_share", F.col("removed_docs") / F.col("documents")).withColumn("removed_token_share", F.col("removed_tokens") / F.greatest("tokens", F.lit(1)))
 
 

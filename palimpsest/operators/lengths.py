@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,14 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("n_tokens"))
 
 
+def tokenizer_path(name: str, folder: str = "/opt/tokenizers") -> str:
+    """The file of a tokenizer: an existing path as it is, else a file of that name in a folder."""
+    for path in (Path(name), Path(folder) / name, Path(folder) / f"{name}.json"):
+        if path.is_file():
+            return str(path)
+    raise FileNotFoundError(f"no tokenizer {name} in {folder}")
+
+
 def tokenizer_counts(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens) under a tokenizer file, without special tokens; the driver reads the file."""
     with open(path, encoding="utf-8") as f:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions.shingles import gram_sets
+from palimpsest.functions.text import digest
+
 
 def near_rows(edges: DataFrame, members: DataFrame) -> DataFrame:
     """(doc_id, neighbour, jaccard): edges of representatives, for every copy on either side.
@@ -40,6 +43,41 @@ def neighbours(recorded: DataFrame, doc_id: int, threshold: float = 0.7) -> Data
     return recorded.where(F.col("doc_id") == doc_id).select("doc_id", "exact_duplicates", F.filter("near_duplicates", lambda x: x["jaccard"] >= threshold).alias("near_duplicates"))
 
 
+def verify(recorded: DataFrame, docs: DataFrame, slack: float = 0.002) -> DataFrame:
+    """Each record against the texts that it refers to: references, and those that don't hold.
+
+    Digests and n-gram sets are made anew from the texts, once for each
+    document that a record names, and similarities from the sets.
+    """
+    exact_refs = recorded.select("doc_id", F.explode("exact_duplicates").alias("other"))
+    near_refs = recorded.select("doc_id", F.explode("near_duplicates").alias("x")).select("doc_id", F.col("x.doc_id").alias("other"), F.col("x.jaccard").cast("double").alias("stored"))
+    named = recorded.select("doc_id").union(exact_refs.select("other")).union(near_refs.select("other")).distinct()
+    texts = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
+    digests = texts.select("doc_id", digest(F.col("text")).alias("sha"))
+    sets = gram_sets(texts)
+
+    def both(refs: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+        left, right = (facts.withColumnsRenamed({"doc_id": k, name: f"{name}_{k}"}) for k in ("doc_id", "other"))
+        return refs.join(left, "doc_id", "left").join(right, "other", "left")
+
+    e = both(exact_refs, digests, "sha").groupBy("doc_id").agg(F.count(F.lit(1)).alias("exact_refs"), F.count_if(~F.coalesce(F.col("sha_doc_id") == F.col("sha_other"), F.lit(False))).alias("wrong_exact"))
+    n = both(near_refs, sets, "grams")
+    shared = F.size(F.array_intersect("grams_doc_id", "grams_other"))
+    real = shared / (F.size("grams_doc_id") + F.size("grams_other") - shared)
+    n = n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("near_refs"), F.count_if(~F.coalesce(F.abs(real - F.col("stored")) <= slack, F.lit(False))).alias("wrong_near"))
+    zero = F.lit(0).cast("long")
+    rows = recorded.select("doc_id").join(e, "doc_id", "left").join(n, "doc_id", "left")
+    return rows.select("doc_id", *[F.coalesce(c, zero).alias(c) for c in ("exact_refs", "wrong_exact", "near_refs", "wrong_near")])
+
+
+def missing_groups(members: DataFrame, written: DataFrame) -> DataFrame:
+    """(rep_id, size) of exact groups of which no member was written. ``written`` has doc_id."""
+    groups = members.where("group_size >= 2").select("doc_id", "rep_id", "group_size")
+    there = written.select("doc_id").distinct().withColumn("there", F.lit(True))
+    rows = groups.join(there, "doc_id", "left").groupBy("rep_id").agg(F.first("group_size").alias("size"), F.count("there").alias("n"))
+    return rows.where("n = 0").select("rep_id", "size")
+
+
 def counts(recorded: DataFrame) -> DataFrame:
     return recorded.agg(
         F.count(F.lit(1)).alias("records"), F.count_if(F.col("n_exact") > 0).alias("with_exact"), F.count_if(F.col("n_near") > 0).alias("with_near"),

@@ -24,9 +24,11 @@ def bm25(docs: DataFrame, queries: DataFrame, hits: int = 10, k1: float = 0.9, b
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(idf * tf).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    # sums in another order can differ in their last digits
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
     top = scored.withColumn("rank", rank).where(F.col("rank") <= hits)
-    return top.join(docs.select("doc_id", preview(F.col("text")).alias("preview")), "doc_id")
+    # only the texts that are shown are cut
+    return top.join(docs.select("doc_id", "text"), "doc_id").withColumn("preview", preview(F.col("text"))).drop("text")
 
 
 def containing(docs: DataFrame, passages: DataFrame, sets: DataFrame, passage_sets: DataFrame) -> DataFrame:

@@ -4,43 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import cliques, components, dedup_stats, evaluate, exact, lengths, minhash, qrels, qrels_stats, records, release, search, similarity
 from palimpsest.plans import sql
+from palimpsest.plans.registry import QUERIES, SQL, Query, joined, query
 from palimpsest.plans.stages import Corpus
 from palimpsest.sources import corpus as sources
-from palimpsest.sources.tables import materialize, shared_dir, table
+from palimpsest.sources.tables import folder, materialize, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(oracle: str | None = None) -> Callable[[Callable[[Corpus], DataFrame]], Callable[[Corpus], DataFrame]]:
-    """Registers a query over a corpus, with the SQL that gives the same rows."""
-
-    def register(f: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
-        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Corpus(spark, sf_dir))
-        if oracle:
-            _SQL[f.__name__] = oracle
-        return f
-
-    return register
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
+    from palimpsest.plans import artifacts, questions  # noqa: F401  they register theirs
 
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(QUERIES)
 
 
-def joined(ids: str) -> Column:
-    return F.array_join(F.col(ids).cast("array<string>"), ",")
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(SQL)
 
 
 # -- corpus and exact duplicates
@@ -106,12 +91,23 @@ def excluded_copies(c: Corpus) -> DataFrame:
     return exact.excluded_copies(c.scanned())
 
 
-@query(sql.REPS + "SELECT sha256, count(*) AS count, rep_id AS representative, '' AS content_mismatch, true AS sha256_recompute_ok, true AS ok FROM reps WHERE group_size >= 2 GROUP BY sha256, rep_id")
+@query(
+    sql.REPS
+    + f""", held AS (SELECT r.sha256, r.doc_id, r.rep_id, {sql.strip('d.text')} AS own, {sql.strip('p.text')} AS first FROM reps r JOIN documents d ON d.doc_id = r.doc_id JOIN documents p ON p.doc_id = r.rep_id WHERE group_size >= 2),
+v AS (SELECT sha256, count(*) AS count, rep_id AS representative, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) FILTER (WHERE own <> first), '') AS content_mismatch, bool_and(sha256(first) = sha256) AS sha256_recompute_ok FROM held GROUP BY sha256, rep_id)
+SELECT *, content_mismatch = '' AND sha256_recompute_ok AS ok FROM v"""
+)
 def verify_exact(c: Corpus) -> DataFrame:
     return exact.verify(c.docs).withColumn("content_mismatch", joined("content_mismatch"))
 
 
-@query("SELECT true AS scan_covers_corpus, true AS length_map_covers_corpus, true AS hashes_add_up, true AS groups_verified, true AS no_failures, true AS excluded_match")
+@query(
+    sql.REPS
+    + f""", n AS (SELECT count(*) AS docs FROM documents), g AS (SELECT sha256, count(*) AS size FROM scan GROUP BY 1), l AS (SELECT sum(n)::BIGINT AS docs FROM (SELECT char_len, count(*) AS n FROM scan GROUP BY 1)),
+v AS (SELECT r.sha256, bool_and({sql.strip('d.text')} = {sql.strip('p.text')} AND sha256({sql.strip('p.text')}) = r.sha256) AS ok FROM reps r JOIN documents d ON d.doc_id = r.doc_id JOIN documents p ON p.doc_id = r.rep_id WHERE group_size >= 2 GROUP BY 1)
+SELECT (SELECT sum(size) FROM g) = docs AS scan_covers_corpus, (SELECT docs FROM l) = docs AS length_map_covers_corpus, (SELECT count(*) + sum(size - 1) FROM g) = (SELECT count(*) FROM scan) AS hashes_add_up,
+(SELECT count(*) FILTER (WHERE ok) FROM v) = (SELECT count(*) FROM g WHERE size > 1) AS groups_verified, (SELECT count(*) FROM v WHERE NOT ok) = 0 AS no_failures, (SELECT count(*) FROM reps WHERE doc_id <> rep_id) = (SELECT sum(size - 1) FROM g) AS excluded_match FROM n"""
+)
 def reconciliation_checks(c: Corpus) -> DataFrame:
     return exact.reconcile(c.docs)
 
@@ -196,7 +192,7 @@ def gated_components(c: Corpus) -> DataFrame:
     return found.select(F.col("vertex").alias("doc_id"), "component")
 
 
-@query()
+@query(sql.PAIRS + "SELECT a, b, jaccard FROM pairs")
 def lsh_near_pairs(c: Corpus) -> DataFrame:
     """Near pairs by banding and verification of all pairs in a component, without the exact prefix join."""
     return similarity.pairs_within(cliques.components(minhash.gated_links(c.signed())), c.sets(), 0.7)
@@ -250,7 +246,7 @@ def record_counts(c: Corpus) -> DataFrame:
     return records.counts(c.records())
 
 
-@query("SELECT 0::BIGINT AS overlapping")
+@query(sql.NEAR + "SELECT count(DISTINCT n.doc_id) AS overlapping FROM near n JOIN reps x ON x.doc_id = n.doc_id JOIN reps y ON y.doc_id = n.neighbour WHERE x.rep_id = y.rep_id")
 def record_overlap(c: Corpus) -> DataFrame:
     return records.overlap(c.records())
 
@@ -361,7 +357,7 @@ def _clique(threshold: float) -> None:
         return found.select("component", "cluster", "size", joined("doc_ids").alias("doc_ids"), "min_jaccard", F.round("mean_jaccard", 9).alias("mean_jaccard"))
 
     clique_partition.__name__ = f"clique_partition_{int(threshold * 100)}"
-    query()(clique_partition)
+    query(sql.CLIQUES + f"SELECT component, cluster, size, array_to_string(ids, ',') AS doc_ids, min_jaccard, round(mean_jaccard, 9) AS mean_jaccard FROM scored WHERE threshold = {threshold}")(clique_partition)
 
 
 for _t in (0.7, 0.8, 0.9):
@@ -376,28 +372,36 @@ def _each(c: Corpus, f: Callable[[float], DataFrame]) -> DataFrame:
     return out
 
 
-@query()
+@query(
+    sql.CLIQUES
+    + """, t AS (SELECT threshold, count(*) AS clusters, sum(size)::BIGINT AS docs, sum(size - 1)::BIGINT AS redundant, avg(size) AS mean_size, max(size) AS max_size, round(quantile_cont(min_jaccard, 0.05), 9) AS p05_min_jaccard FROM scored GROUP BY 1)
+SELECT *, redundant / (SELECT count(*) FROM documents)::DOUBLE AS rate, (SELECT count(*) FROM documents) - redundant AS kept FROM t"""
+)
 def cluster_summary(c: Corpus) -> DataFrame:
     n = c.docs.count()
-    return _each(c, lambda t: cliques.summary(cliques.clusters(c.partition(t), c.edges()), n))
+    return _each(c, lambda t: cliques.summary(cliques.clusters(c.partition(t), c.edges()), n)).withColumn("p05_min_jaccard", F.round("p05_min_jaccard", 9))
 
 
-@query("SELECT t AS threshold, 0::BIGINT AS violations, 0::BIGINT AS incomplete FROM (VALUES (0.7::DOUBLE), (0.8), (0.9)) x(t)")
+@query(sql.CLIQUES + "SELECT threshold, count(*) FILTER (WHERE min_jaccard < threshold) AS violations, count(*) FILTER (WHERE n_pairs <> size * (size - 1) // 2) AS incomplete FROM scored GROUP BY 1")
 def cluster_checks(c: Corpus) -> DataFrame:
     return _each(c, lambda t: cliques.check(cliques.clusters(c.partition(t), c.edges()), t).drop("worst"))
 
 
-@query()
+@query(sql.CLIQUES + "SELECT component, cluster, size, array_to_string(ids, ',') AS doc_ids, min_jaccard, round(mean_jaccard, 9) AS mean_jaccard, n_pairs AS pairs FROM scored WHERE threshold = 0.8 ORDER BY size DESC, cluster LIMIT 15")
 def top_clusters(c: Corpus) -> DataFrame:
-    return cliques.top_clusters(cliques.clusters(c.partition(0.8), c.edges())).withColumn("doc_ids", joined("doc_ids"))
+    return cliques.top_clusters(cliques.clusters(c.partition(0.8), c.edges())).withColumn("doc_ids", joined("doc_ids")).withColumn("mean_jaccard", F.round("mean_jaccard", 9))
 
 
-@query()
+@query(sql.CLIQUES + "SELECT doc_id, threshold FROM members WHERE doc_id <> cluster")
 def drop_list(c: Corpus) -> DataFrame:
     return _each(c, lambda t: cliques.drop_list(c.partition(t)))
 
 
-@query()
+@query(
+    sql.CLIQUES
+    + """, x AS (SELECT count(*) AS single_linkage_docs FROM (SELECT a FROM pairs WHERE jaccard >= 0.8 UNION SELECT b FROM pairs WHERE jaccard >= 0.8)), y AS (SELECT count(*) AS clique_docs FROM members WHERE threshold = 0.8)
+SELECT single_linkage_docs, clique_docs, single_linkage_docs - clique_docs AS gap FROM x, y"""
+)
 def chaining_gap(c: Corpus) -> DataFrame:
     return cliques.chaining_gap(c.edges(), 0.8, c.partition(0.8))
 
@@ -407,12 +411,12 @@ def _retention(c: Corpus) -> DataFrame:
     return dedup_stats.retention(c.lengths(), c.members().where("doc_id <> rep_id"), drops)
 
 
-@query()
+@query(sql.RETENTION + "SELECT *, documents - removed_docs - short_docs AS retained_docs, removed_docs / documents::DOUBLE AS removed_doc_share, removed_tokens / tokens::DOUBLE AS removed_token_share FROM kept")
 def dedup_retention(c: Corpus) -> DataFrame:
     return _retention(c)
 
 
-@query()
+@query(sql.RETENTION + "SELECT step, removed_docs - coalesce(lag(removed_docs) OVER w, 0) AS added_docs, removed_tokens - coalesce(lag(removed_tokens) OVER w, 0) AS added_tokens FROM kept WINDOW w AS (ORDER BY removed_docs, step)")
 def removable_slices(c: Corpus) -> DataFrame:
     return dedup_stats.removable_slices(_retention(c))
 
@@ -431,13 +435,31 @@ def dedup_retention_exact(c: Corpus) -> DataFrame:
 # -- release
 
 
-@query()
+def _released(c: Corpus) -> DataFrame:
+    """The duplicate records as a release: whole shards of 100 ids in eight parts, written and read again."""
+
+    def make() -> DataFrame:
+        rows = c.records().select("doc_id", F.floor(F.col("doc_id") / 100).alias("shard"), F.col("n_exact").cast("long").alias("n_exact"), F.col("n_near").cast("long").alias("n_near"))
+        path = f"{folder(c.spark)}/release"
+        release.write(rows, path, 8)
+        return c.spark.read.parquet(path)
+
+    return c.once("release", make)
+
+
+@query(sql.RECORDS + "SELECT part, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n_rows FROM (SELECT doc_id, " + sql.PART + " AS part FROM recorded) GROUP BY 1")
 def release_ranges(c: Corpus) -> DataFrame:
-    import uuid
+    return release.manifest(_released(c))
+
 
-    path = f"{shared_dir(c.spark)}/palimpsest/{uuid.uuid4().hex}/release"
-    release.write(c.records(), path, 8)
-    return release.manifest(c.spark.read.parquet(path))
+@query(sql.RECORDS + ", dealt AS (SELECT doc_id, " + sql.PART + " AS part FROM recorded), parts AS (SELECT part, min(doc_id) AS a, max(doc_id) AS b FROM dealt GROUP BY 1) SELECT part, a AS first_id FROM (SELECT *, lag(b) OVER (ORDER BY a) AS before FROM parts) WHERE before >= a")
+def release_overlaps(c: Corpus) -> DataFrame:
+    return release.overlaps(release.manifest(_released(c))).select("part", "first_id")
+
+
+@query(sql.RECORDS + "SELECT shard, min(part) AS part, count(DISTINCT part) AS parts FROM (SELECT doc_id // 100 AS shard, " + sql.PART + " AS part FROM recorded) GROUP BY 1")
+def release_shards(c: Corpus) -> DataFrame:
+    return _released(c).groupBy("shard").agg(F.min("part").alias("part"), F.countDistinct("part").alias("parts"))
 
 
 @query("SELECT doc_id // 1000 AS shard, count(*) AS n_rows FROM documents GROUP BY 1")
@@ -445,18 +467,14 @@ def rows_per_shard(c: Corpus) -> DataFrame:
     return release.rows_per_shard(sources.with_rows(c.docs))
 
 
-@query()
+@query(sql.RECORDS + "SELECT count(*) AS n_rows, (sum(('0x' || substr(md5(concat_ws('|', doc_id, n_exact, n_near)), 1, 15))::BIGINT::HUGEINT) % 18446744073709551616)::VARCHAR AS checksum FROM recorded")
 def release_checksum(c: Corpus) -> DataFrame:
-    return release.checksum(c.records())
+    return release.checksum(_released(c).select("doc_id", "n_exact", "n_near"))
 
 
 # -- judgments, with passages of the benchmark as questions
 
 
-def _pool(c: Corpus) -> DataFrame:
-    return c._once("pool", lambda: search.containing(c.docs, c.passages(), c.all_sets(), c.passage_sets()))
-
-
 def _hops(c: Corpus) -> DataFrame:
     """A passage's sentences are its hops; of some passages the second one is skipped."""
     rows = c.passages().select(F.col("item_id").alias("qid"), F.posexplode(F.filter(F.split("text", r"[.!?]\s*"), lambda s: s != "")).alias("index", "clue"))
@@ -464,7 +482,7 @@ def _hops(c: Corpus) -> DataFrame:
 
 
 def _pairs(c: Corpus) -> DataFrame:
-    return _pool(c).join(_hops(c).select(F.col("qid").alias("item_id"), F.col("index").alias("hop")), "item_id").select(F.col("item_id").alias("qid"), "doc_id", "hop")
+    return c.pool().join(_hops(c).select(F.col("qid").alias("item_id"), F.col("index").alias("hop")), "item_id").select(F.col("item_id").alias("qid"), "doc_id", "hop")
 
 
 def _candidates(c: Corpus) -> DataFrame:
@@ -476,7 +494,7 @@ def _candidates(c: Corpus) -> DataFrame:
 
 @query(sql.POOL + "SELECT item_id, doc_id FROM pool")
 def qrels_pool(c: Corpus) -> DataFrame:
-    return _pool(c)
+    return c.pool()
 
 
 @query(sql.HOPS + "SELECT qid, count(DISTINCT doc_id) AS n_docs, count(*) AS n_pairs FROM pairs GROUP BY 1")
@@ -521,20 +539,20 @@ def needs_review(c: Corpus) -> DataFrame:
 
 @query(sql.NEAR + ", " + sql.POOL_BODY + " SELECT DISTINCT item_id AS qid, neighbour AS doc_id FROM pool JOIN near USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.item_id = pool.item_id AND p.doc_id = neighbour)")
 def near_frontier(c: Corpus) -> DataFrame:
-    included = _pool(c).select(F.col("item_id").alias("qid"), "doc_id")
+    included = c.pool().select(F.col("item_id").alias("qid"), "doc_id")
     nothing = c.spark.createDataFrame([], "qid long, doc_id long")
     return qrels.near_frontier(included, nothing, nothing, records.near_rows(c.edges(), c.members())).select("qid", "doc_id")
 
 
 @query(sql.REPS + ", " + sql.POOL_BODY + " SELECT DISTINCT item_id AS qid, m.doc_id FROM pool p JOIN reps r ON r.doc_id = p.doc_id JOIN reps m ON m.rep_id = r.rep_id")
 def inherited_copies(c: Corpus) -> DataFrame:
-    included = _pool(c).select(F.col("item_id").alias("qid"), "doc_id", F.array(F.lit(0)).alias("hops"))
+    included = c.pool().select(F.col("item_id").alias("qid"), "doc_id", F.array(F.lit(0)).alias("hops"))
     return qrels.inherit_exact(included, c.members().select("doc_id", "rep_id")).select("qid", "doc_id")
 
 
 @query(sql.REDUNDANCY)
 def qrels_redundancy(c: Corpus) -> DataFrame:
-    pool = _pool(c).select(F.col("item_id").alias("qid"), "doc_id")
+    pool = c.pool().select(F.col("item_id").alias("qid"), "doc_id")
     held = pool.join(c.members().select("doc_id", "rep_id"), "doc_id")
     anchors = held.groupBy("qid", "rep_id").agg(F.min("doc_id").alias("anchor"))
     copies = held.join(anchors, ["qid", "rep_id"]).where("doc_id <> anchor").select(F.col("anchor").alias("a"), F.col("doc_id").alias("b"))
@@ -546,13 +564,9 @@ def qrels_redundancy(c: Corpus) -> DataFrame:
 # -- evaluation, with documents near a passage as an agent's findings
 
 
-def _previewed(c: Corpus) -> DataFrame:
-    return search.most_shared(c.all_sets(), c.passage_sets())
-
-
 @query(sql.PREVIEWED + "SELECT item_id, doc_id, shared, rank FROM previewed")
 def previewed_docs(c: Corpus) -> DataFrame:
-    return _previewed(c).withColumn("rank", F.col("rank").cast("long"))
+    return c.previewed().withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(sql.PREVIEWED + ", " + sql.POOL_BODY + " SELECT p.item_id AS query_id, count(v.doc_id) / count(*)::DOUBLE AS recall FROM pool p LEFT JOIN previewed v ON v.item_id = p.item_id AND v.doc_id = p.doc_id GROUP BY 1")
@@ -561,8 +575,8 @@ def recall_per_question(c: Corpus) -> DataFrame:
 
 
 def _recalls(c: Corpus) -> DataFrame:
-    runs = _previewed(c).groupBy(F.col("item_id").alias("query_id")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("previewed"))
-    relevant = evaluate.gold(_pool(c).select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("relevance")))
+    runs = c.previewed().groupBy(F.col("item_id").alias("query_id")).agg(F.collect_set(F.col("doc_id").cast("string")).alias("previewed"))
+    relevant = evaluate.gold(c.pool().select(F.col("item_id").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("relevance")))
     return evaluate.recalls(runs, relevant)
 
 
@@ -577,6 +591,13 @@ def tool_call_counts(c: Corpus) -> DataFrame:
     return evaluate.tool_call_counts(rows)
 
 
-@query()
+@query(
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents), sizes AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS n FROM documents),
+total AS (SELECT count(*) AS docs, avg(n) AS mean FROM sizes), q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+tf AS (SELECT term, doc_id, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+scored AS (SELECT query_id, doc_id, sum(ln(1 + (docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 1.9::DOUBLE / (tf + 0.9::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * n / mean)))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN sizes USING (doc_id), total GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM scored)
+SELECT query_id, doc_id, rank, round(score, 6) AS score, substr(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 1, 500) AS preview FROM ranked JOIN documents USING (doc_id) WHERE rank <= 10"""
+)
 def bm25_top(c: Corpus) -> DataFrame:
     return search.bm25(c.docs, c.passages().select(F.col("item_id").alias("query_id"), "text")).withColumn("score", F.round("score", 6))

@@ -82,3 +82,20 @@ reach(qid, v, c) AS (SELECT DISTINCT qid, a, a FROM ties UNION SELECT r.qid, t.b
 comp AS (SELECT qid, v, min(c) AS c FROM reach GROUP BY 1, 2), grp AS (SELECT qid, c, count(*) AS size FROM comp GROUP BY 1, 2),
 per AS (SELECT qid, sum(size)::BIGINT AS dup, count(*) AS n_groups, max(size) AS largest FROM grp GROUP BY 1), n AS (SELECT item_id AS qid, count(*) AS n_docs FROM pool GROUP BY 1)
 SELECT qid, n_docs, coalesce(dup, 0) AS n_near_dup, round(coalesce(dup, 0) * 100 / n_docs::DOUBLE, 6) AS pct_near_dup, coalesce(n_groups, 0) AS n_groups, coalesce(dup, 0) - coalesce(n_groups, 0) AS n_redundant, coalesce(largest, 0) AS largest_group FROM n LEFT JOIN per USING (qid)"""
+
+#: The greedy partition of components into clusters in which all are near each other, one step a cluster.
+CLIQUES_BODY = f"""{PAIRS_BODY}, {closure('pairs')}, thresholds(threshold) AS (VALUES (0.7::DOUBLE), (0.8), (0.9)), comp AS (SELECT v AS doc_id, min(c) AS component FROM reach GROUP BY 1),
+tied AS (SELECT threshold, component, a, b FROM pairs JOIN thresholds ON jaccard >= threshold JOIN comp ON comp.doc_id = a), ends AS (SELECT threshold, component, a AS v, b AS u FROM tied UNION ALL SELECT threshold, component, b, a FROM tied),
+beside AS (SELECT threshold, component, v, list(u) AS us, count(*) AS degree FROM ends GROUP BY ALL), begun AS (SELECT threshold, component, list(v ORDER BY degree DESC, v) AS rest, map_from_entries(list((v, us))) AS near_to FROM beside GROUP BY ALL),
+greedy(threshold, component, rest, near_to, grp) AS (SELECT threshold, component, rest, near_to, []::BIGINT[] FROM begun
+UNION ALL SELECT threshold, component, list_filter(rest, lambda x: NOT list_contains(taken, x)), near_to, taken FROM (SELECT *, list_reduce(list_transform(rest, lambda x: [x]), lambda g, v: CASE WHEN list_has_all(near_to[v[1]], g) THEN list_concat(g, v) ELSE g END) AS taken FROM greedy WHERE len(rest) > 0)),
+found AS (SELECT threshold, component, list_min(grp) AS cluster, list_sort(grp) AS ids, len(grp) AS size FROM greedy WHERE len(grp) > 1), members AS (SELECT threshold, component, cluster, unnest(ids) AS doc_id FROM found),
+scored AS (SELECT f.*, min(jaccard) AS min_jaccard, avg(jaccard) AS mean_jaccard, count(*) AS n_pairs FROM found f JOIN members x ON x.threshold = f.threshold AND x.cluster = f.cluster JOIN pairs ON a = x.doc_id JOIN members y ON y.threshold = f.threshold AND y.cluster = f.cluster AND y.doc_id = b GROUP BY ALL)"""
+CLIQUES = f"WITH RECURSIVE {CLIQUES_BODY} "
+RETENTION = f"""WITH RECURSIVE {CLIQUES_BODY}, lengths AS ({LENGTHS_BODY}), copies AS (SELECT doc_id FROM reps WHERE doc_id <> rep_id),
+gone AS (SELECT 'exact' AS step, doc_id FROM copies UNION SELECT 'near_' || (threshold * 100)::INTEGER, doc_id FROM members WHERE doc_id <> cluster UNION SELECT 'near_' || (threshold * 100)::INTEGER, doc_id FROM copies, thresholds),
+steps AS (SELECT 'exact' AS step UNION ALL SELECT 'near_' || (threshold * 100)::INTEGER FROM thresholds), marked AS (SELECT s.step, n_tokens, g.doc_id IS NOT NULL AS gone FROM steps s CROSS JOIN lengths l LEFT JOIN gone g ON g.step = s.step AND g.doc_id = l.doc_id),
+kept AS (SELECT step, count(*) AS documents, sum(n_tokens)::BIGINT AS tokens, count(*) FILTER (WHERE gone) AS removed_docs, coalesce(sum(n_tokens) FILTER (WHERE gone), 0)::BIGINT AS removed_tokens,
+count(*) FILTER (WHERE NOT gone AND n_tokens < 5) AS short_docs, coalesce(sum(n_tokens) FILTER (WHERE NOT gone AND n_tokens < 5), 0)::BIGINT AS short_tokens FROM marked GROUP BY 1) """
+#: The part of a release in which a record's shard of 100 ids lies: the records of earlier shards decide.
+PART = "least(7, floor(((count(*) OVER (ORDER BY doc_id // 100 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - count(*) OVER (PARTITION BY doc_id // 100)) * 8 / count(*) OVER ()))::INTEGER"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.shingles import gram_sets
-from palimpsest.operators import cliques, exact, lengths, minhash, records, similarity
+from palimpsest.operators import cliques, exact, lengths, minhash, records, search, similarity
 from palimpsest.sources.tables import materialize, table
 
 _made: dict[tuple[str, str, str], DataFrame] = {}
@@ -25,17 +25,17 @@ class Corpus:
         self.spark, self.dir = spark, sf_dir
         self.docs = table(spark, sf_dir, "documents")
 
-    def _once(self, name: str, make) -> DataFrame:
+    def once(self, name: str, make) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         if key not in _made:
             _made[key] = materialize(make(), name)
         return _made[key]
 
     def scanned(self) -> DataFrame:
-        return self._once("scanned", lambda: exact.scan(self.docs))
+        return self.once("scanned", lambda: exact.scan(self.docs))
 
     def members(self) -> DataFrame:
-        return self._once("members", lambda: exact.members(self.scanned()).select("doc_id", "rep_id", "group_size", "char_len"))
+        return self.once("members", lambda: exact.members(self.scanned()).select("doc_id", "rep_id", "group_size", "char_len"))
 
     def sets(self) -> DataFrame:
         """N-gram sets of representatives."""
@@ -44,10 +44,10 @@ class Corpus:
             reps = self.members().where("doc_id = rep_id").select("doc_id")
             return gram_sets(self.docs.join(reps, "doc_id", "left_semi"))
 
-        return self._once("sets", make)
+        return self.once("sets", make)
 
     def all_sets(self) -> DataFrame:
-        return self._once("all_sets", lambda: gram_sets(self.docs))
+        return self.once("all_sets", lambda: gram_sets(self.docs))
 
     def passages(self) -> DataFrame:
         return table(self.spark, self.dir, "benchmark")
@@ -55,24 +55,34 @@ class Corpus:
     def passage_sets(self) -> DataFrame:
         return gram_sets(self.passages().select(F.col("item_id").alias("doc_id"), "text")).withColumnRenamed("doc_id", "item_id")
 
+    def pool(self) -> DataFrame:
+        """(item_id, doc_id) of documents that have a passage verbatim."""
+        return self.once("pool", lambda: search.containing(self.docs, self.passages(), self.all_sets(), self.passage_sets()))
+
+    def previewed(self) -> DataFrame:
+        """(item_id, doc_id, shared, rank) of the documents that share most with a passage."""
+        return self.once("previewed", lambda: search.most_shared(self.all_sets(), self.passage_sets()))
+
     def edges(self) -> DataFrame:
-        return self._once("edges", lambda: similarity.near_pairs(self.sets(), 0.7))
+        return self.once("edges", lambda: similarity.near_pairs(self.sets(), 0.7))
 
     def records(self) -> DataFrame:
-        return self._once("records", lambda: records.records(self.edges(), self.members()))
+        return self.once("records", lambda: records.records(self.edges(), self.members()))
 
     def lengths(self) -> DataFrame:
-        return self._once("lengths", lambda: lengths.token_counts(self.docs))
+        return self.once("lengths", lambda: lengths.token_counts(self.docs))
 
     def components(self) -> DataFrame:
-        return self._once("components", lambda: cliques.components(self.edges()))
+        return self.once("components", lambda: cliques.components(self.edges()))
 
     def partition(self, threshold: float) -> DataFrame:
-        return self._once(f"cliques_{threshold}", lambda: cliques.partition(self.edges(), threshold, self.components()))
+        """The clusters at one of the published thresholds, which are found in one pass."""
+        found = self.once("cliques", lambda: cliques.partitions(self.edges(), (0.7, 0.8, 0.9), self.components()))
+        return found.where(F.col("threshold") == threshold).drop("threshold")
 
     def bands(self) -> DataFrame:
         """Bands of the small hash family, over all documents."""
-        return self._once("bands", lambda: minhash.small_bands(minhash.small_signatures(self.docs)))
+        return self.once("bands", lambda: minhash.small_bands(minhash.small_signatures(self.docs)))
 
     def signed(self, bands: int = 73, rows: int = 7) -> DataFrame:
-        return self._once(f"signed_{bands}_{rows}", lambda: minhash.signed_bands(self.sets(), bands, rows))
+        return self.once(f"signed_{bands}_{rows}", lambda: minhash.signed_bands(self.sets(), bands, rows))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,9 +65,39 @@ def needle_counts(lines: DataFrame, column: str, needles: list[str]) -> DataFram
     return rows.select(F.explode(F.array(*[F.struct(F.lit(n).alias("needle"), F.coalesce(f"n{i}", F.lit(0)).alias("count")) for i, n in enumerate(needles)])).alias("x")).select("x.*")
 
 
-def fetch(wanted: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Texts of wanted ids, with ``fetched`` or ``not-found``; nothing is dropped."""
-    return wanted.select("doc_id").distinct().join(corpus.select("doc_id", "text"), "doc_id", "left").withColumn("status", F.when(F.col("text").isNull(), "not-found").otherwise("fetched"))
+def fetch(wanted: DataFrame, corpus: DataFrame, cache: DataFrame | None = None) -> DataFrame:
+    """Texts of wanted ids, with ``cached``, ``fetched``, ``not-found`` or ``error`` (known, but without a text); nothing is dropped."""
+    rows = wanted.select("doc_id").distinct()
+    held = rows.sparkSession.createDataFrame([], corpus.select("doc_id", "text").schema) if cache is None else cache.select("doc_id", "text")
+    held = held.dropDuplicates(["doc_id"]).withColumnsRenamed({"doc_id": "held", "text": "old"})
+    fresh = corpus.select(F.col("doc_id").alias("found"), "text")
+    both = rows.join(held, rows["doc_id"] == held["held"], "left").join(fresh, rows["doc_id"] == fresh["found"], "left")
+    status = F.when(F.col("held").isNotNull(), "cached").when(F.col("found").isNull(), "not-found").when(F.col("text").isNull(), "error").otherwise("fetched")
+    return both.select("doc_id", F.when(F.col("held").isNotNull(), F.col("old")).otherwise(F.col("text")).alias("text"), status.alias("status"))
+
+
+def fetch_by(wanted: DataFrame, one: Callable[[object], str | None], cache: DataFrame | None = None) -> DataFrame:
+    """``fetch`` by a function (such as one that runs a command) for ids that the cache lacks; what it raises is an ``error`` row."""
+    rows = wanted.select("doc_id").distinct()
+    todo = rows if cache is None else rows.join(cache.select("doc_id"), "doc_id", "left_anti")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, status = [], []
+            for key in batch.column("doc_id").to_pylist():
+                try:
+                    texts.append(one(key))
+                    status.append("not-found" if texts[-1] is None else "fetched")
+                except Exception:  # noqa: BLE001  one document never stops the others
+                    texts.append(None)
+                    status.append("error")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), pa.array(status, pa.string())], names=["doc_id", "text", "status"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    got = todo.mapInArrow(run, f"doc_id {kind}, text string, status string")
+    if cache is None:
+        return got
+    return got.unionByName(rows.join(cache.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").withColumn("status", F.lit("cached")))
 
 
 def select_ids(docs: DataFrame, ids: list | DataFrame) -> DataFrame:
@@ -75,10 +108,16 @@ def select_ids(docs: DataFrame, ids: list | DataFrame) -> DataFrame:
 
 
 def sample(docs: DataFrame, fraction: float, seed: int) -> DataFrame:
-    """A seeded sample that depends on ids alone."""
-    return docs.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    """A seeded sample that depends on ids alone: the first 32 bits of an MD5 draw."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
+    return docs.where(draw < int(fraction * 2**32))
 
 
 def slice_rows(rows: DataFrame, order: list[Column | str], low: int, high: int) -> DataFrame:
     """The rows at places ``low`` to ``high`` (exclusive) of an order."""
     return rows.orderBy(*order).offset(low).limit(high - low)
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows with their ``place`` (from 1) in an order; for short lists."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))

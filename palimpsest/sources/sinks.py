@@ -12,6 +12,27 @@ def write_json(df: DataFrame, path: str, partition_by: str | None = None) -> Non
     (writer.partitionBy(partition_by) if partition_by else writer).json(path)
 
 
+def write_shards(df: DataFrame, path: str) -> None:
+    """Files ``shard_NNNNN.parquet`` with a shard's documents by id. ``df`` has shard and doc_id; other columns go along.
+
+    Spark writes one file a shard; the driver renames them, one call a file.
+    """
+    raw = f"{path}/raw"
+    ordered = df.repartitionByRange("shard").sortWithinPartitions("shard", "doc_id")
+    ordered.write.mode("errorifexists").partitionBy("shard").parquet(raw)
+    jvm = df.sparkSession.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(raw)
+    files = root.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    for folder in files.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("shard="):
+            parts = [f.getPath() for f in files.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
+            if len(parts) != 1:
+                raise ValueError(f"{len(parts)} files for {name}")
+            files.rename(parts[0], jvm.org.apache.hadoop.fs.Path(f"{path}/shard_{int(name.removeprefix('shard=')):05d}.parquet"))
+    files.delete(root, True)
+
+
 def write_lines(df: DataFrame, column: str, path: str) -> None:
     """A column as text, one value a line, such as a drop list."""
     df.select(F.col(column).cast("string")).write.mode("overwrite").text(path)

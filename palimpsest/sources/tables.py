@@ -52,6 +52,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder's name in the shared folder."""
+    return f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -60,7 +65,7 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/palimpsest/{uuid.uuid4().hex}/{name}"
+    path = f"{folder(spark)}/{name}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -139,11 +139,14 @@ def test_band_layout():
 
 
 def test_release(spark, tmp_path):
-    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.array("id").alias("x")).repartition(7)
+    rows = spark.range(1000).select(F.col("id").alias("doc_id"), F.floor(F.col("id") / 70).alias("shard"), F.array("id").alias("x")).repartition(7)
     release.write(rows, str(tmp_path / "r"), 4, 100)
-    back = spark.read.parquet(str(tmp_path / "r"))
+    released = spark.read.parquet(str(tmp_path / "r"))
+    assert released.groupBy("shard").agg(F.countDistinct("part").alias("n")).where("n > 1").count() == 0
+    assert len(released.inputFiles()) == 4 and all(abs(r["n_rows"] - 250) < 70 for r in release.manifest(released).collect())
+    back = released.select(*rows.columns)
     assert release.checksum(back).first() == release.checksum(rows).first()
-    assert release.overlaps(release.manifest(back)).count() == 0 and release.manifest(back).count() == 4
+    assert release.overlaps(release.manifest(released)).count() == 0 and release.manifest(released).count() == 4
     assert release.difference(rows, back).count() == 0
     sinks.write_lines(rows.limit(3), "doc_id", str(tmp_path / "drops"))
     assert spark.read.text(str(tmp_path / "drops")).count() == 3
