@@ -518,7 +518,9 @@ def undecided_rows(c: Corpus) -> DataFrame:
 
 
 def _rejections(c: Corpus) -> DataFrame:
-    return _candidates(c).where(F.col("doc_id") % 5 == 0).select("qid", "doc_id", "hop_index")
+    """Documents labelled as toxic stand for rejected ones."""
+    toxic = table(c.spark, c.dir, "labels").where("toxic = 1").select("doc_id")
+    return _candidates(c).join(toxic, "doc_id", "left_semi").select("qid", "doc_id", "hop_index")
 
 
 def _built(c: Corpus) -> DataFrame:
@@ -527,12 +529,12 @@ def _built(c: Corpus) -> DataFrame:
     return qrels.assemble(pool, qrels.recorded(pool, rejections), rejections)
 
 
-@query(sql.CANDIDATES + "SELECT qid, doc_id, string_agg(hop::VARCHAR, ',' ORDER BY hop) AS hops FROM cand WHERE NOT skipped AND doc_id % 5 <> 0 AND coalesce(vote, 'Supports') = 'Supports' GROUP BY 1, 2")
+@query(sql.CANDIDATES + "SELECT qid, doc_id, string_agg(hop::VARCHAR, ',' ORDER BY hop) AS hops FROM cand WHERE NOT skipped AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND coalesce(vote, 'Supports') = 'Supports' GROUP BY 1, 2")
 def assembled_qrels(c: Corpus) -> DataFrame:
     return _built(c).select("qid", "doc_id", joined("hops").alias("hops"))
 
 
-@query(sql.CANDIDATES + "SELECT h.qid, h.index::BIGINT AS index FROM hops h WHERE NOT h.skipped AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.qid = h.qid AND c.hop = h.index AND c.doc_id % 5 <> 0 AND coalesce(c.vote, 'Supports') = 'Supports')")
+@query(sql.CANDIDATES + "SELECT h.qid, h.index::BIGINT AS index FROM hops h WHERE NOT h.skipped AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.qid = h.qid AND c.hop = h.index AND c.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND coalesce(c.vote, 'Supports') = 'Supports')")
 def needs_review(c: Corpus) -> DataFrame:
     return qrels.needs_review(_hops(c), _built(c)).select("qid", F.col("index").cast("long").alias("index"))
 
@@ -585,9 +587,10 @@ def macro_recall(c: Corpus) -> DataFrame:
     return _recalls(c).agg(F.round(F.avg("recall"), 9).alias("macro_recall"))
 
 
-@query("SELECT conv_id AS query_id, role AS tool, count(*) AS calls FROM conversations WHERE turn % 5 <> 4 GROUP BY 1, 2")
+@query("SELECT conv_id AS query_id, role AS tool, count(*) AS calls FROM conversations WHERE text IS NOT NULL GROUP BY 1, 2")
 def tool_call_counts(c: Corpus) -> DataFrame:
-    rows = table(c.spark, c.dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("role").alias("tool"), F.lit("tool_call").alias("type"), (F.col("turn") % 5 == 4).alias("is_retry"))
+    """A conversation's turns stand for calls, those without a text for retries."""
+    rows = table(c.spark, c.dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("role").alias("tool"), F.lit("tool_call").alias("type"), F.col("text").isNull().alias("is_retry"))
     return evaluate.tool_call_counts(rows)
 
 

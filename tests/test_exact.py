@@ -1,8 +1,11 @@
+import os
+
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import exact
 from palimpsest.sources import corpus as sources
+from palimpsest.sources import sinks, tables
 from tests.corpora import exact_rows
 
 GROUPS = {(3, 117, 360, 499): 29, (50, 250): 13, (105, 106, 107): 22}
@@ -79,3 +82,35 @@ def test_shards(spark, tmp_path):
     assert sources.read_shards(spark, str(tmp_path / "corpus"), limit_shards=1).count() == 3
     fetched = {r["doc_id"]: r["status"] for r in sources.fetch(spark.createDataFrame([("shard_00000_00001",), ("gone",)], "doc_id string"), docs).collect()}
     assert fetched == {"shard_00000_00001": "fetched", "gone": "not-found"}
+
+
+def test_shards_keep_their_names(spark, tmp_path):
+    rows = spark.range(250).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    sinks.write_shards(sources.with_rows(rows, 100).select("shard", "doc_id", "text"), str(tmp_path / "s"))
+    assert sorted(p.name for p in (tmp_path / "s").glob("*.parquet")) == [f"shard_0000{i}.parquet" for i in range(3)]
+    got = {r["doc_id"]: r["text"] for r in sources.read_shards(spark, str(tmp_path / "s")).collect()}
+    assert got == {f"shard_{i // 100:05d}_{i % 100:05d}": f"t{i}" for i in range(250)}
+    assert sources.read_shards(spark, str(tmp_path / "s"), limit_shards=1).count() == 100
+
+
+def test_fetching_never_stops(spark):
+    corpus = spark.createDataFrame([(1, "a"), (2, None), (3, "c")], "doc_id long, text string")
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (9,), (1,)], "doc_id long")
+    cache = spark.createDataFrame([(3, "old")], "doc_id long, text string")
+    want = {1: ("a", "fetched"), 2: (None, "error"), 3: ("old", "cached"), 9: (None, "not-found")}
+    assert {r["doc_id"]: (r["text"], r["status"]) for r in sources.fetch(wanted, corpus, cache).collect()} == want
+
+    def one(key):
+        return {1: "a"}[key] if key < 5 else None
+
+    assert {r["doc_id"]: (r["text"], r["status"]) for r in sources.fetch_by(wanted, one, cache).collect()} == want
+
+
+def test_intermediate_tables_are_deleted(spark):
+    with tables.workspace(spark) as kept:
+        a, b = (tables.materialize(spark.range(n).toDF("x"), "t") for n in (3, 4))
+        kept.append(b)
+    assert b.count() == 4 and not [f for f in a.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+    tables.discard(b)
+    assert not [f for f in b.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+    assert tables.unused(spark.range(1).toDF("_A"), "_a") == "__a"

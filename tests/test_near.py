@@ -157,3 +157,30 @@ def test_release(spark, tmp_path):
 def test_sets_of_short_and_null_texts(spark):
     got = {r["doc_id"]: len(r["grams"]) for r in gram_sets(spark.createDataFrame([(1, None), (2, ""), (3, "a b c d"), (4, "a b c d e"), (5, "Ä-B c d e f!")], "doc_id long, text string")).collect()}
     assert got == {1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+
+
+def test_partitions_at_several_thresholds(spark):
+    edges = similarity.near_pairs(gram_sets(spark.createDataFrame(list(near_rows().items()), "doc_id long, text string")), 0.7)
+    edges = edges.persist()
+    for most in (1, 1000):  # all through the path for large components, or none
+        got = {tuple(r) for r in cliques.partitions(edges, (0.7, 0.8, 0.9), most=most).select("threshold", "cluster", "doc_id").collect()}
+        want = set()
+        for t in (0.7, 0.8, 0.9):
+            want |= {(t, r["cluster"], r["doc_id"]) for r in cliques.partition(edges, t).collect()}
+        assert got == want and len(got) > 6
+    assert [tuple(r) for r in cliques.top_components(cliques.components(edges), 1).collect()] == [(5, 4)]
+
+
+def test_records_are_held_against_their_texts(spark):
+    rows = spark.createDataFrame(list(record_rows().items()), "doc_id long, text string")
+    scanned = exact.scan(rows)
+    sets = similarity.representative_sets(rows)
+    recorded = records.records(similarity.near_pairs(sets, 0.7), exact.members(scanned))
+    good = records.verify(recorded, rows)
+    assert good.where("wrong_exact + wrong_near > 0").count() == 0 and good.agg(F.sum("near_refs"), F.sum("exact_refs")).first()[0] > 0
+    changed = rows.withColumn("text", F.when(F.col("doc_id") == 1020, "something else that has other words").otherwise(F.col("text")))
+    bad = {r["doc_id"]: (r["wrong_exact"], r["wrong_near"]) for r in records.verify(recorded, changed).collect()}
+    assert all(n > 0 for _, n in bad.values())
+    groups = exact.members(exact.scan(rows))
+    assert [tuple(r) for r in records.missing_groups(groups, rows.where("doc_id = 10").select("doc_id")).collect()] == [(30, 2)]
+    assert records.missing_groups(groups, rows.where("doc_id = 2040").select("doc_id")).count() == 0
