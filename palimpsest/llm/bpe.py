@@ -11,9 +11,13 @@ from, for each arc the arc it stands beside, and the lost arcs with their rank.
 A transition is looked up by going back through the gadgets, and lands in a
 table that further lookups read.
 
-A word is encoded by walking the automaton from its start: the longest label
-that spells on and that the state has an arc for is tried first, and a place
-found to lead nowhere is not entered again. Decoding emits arc labels.
+The labels of the arcs are compiled into a second table, by character: a state
+is the longest beginning of a label that a word's read part ends with, and
+lists the labels that end there. A word is read once, one transition a
+character. At each place at most one token ends on a path from the start, namely
+the listed label for which the state at its own beginning has an arc; so there
+is nothing to search and nothing to go back to. The tokens are then read off
+from the last one back. Decoding emits arc labels.
 
 Texts are split at white space first, since no token crosses it; each piece is
 normalised and split into words as the tokenizer file says, and the tokens of
@@ -40,6 +44,7 @@ from pyspark.sql import DataFrame
 
 PIECES = 300_000
 ARCS = 500_000
+TRANSITIONS = 1_000_000
 #: White space as the file's patterns mean it; the controls that Python's split takes for it; the split pattern.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ONLY_PYTHON_SPACE = re.compile("[\x1c-\x1f]")
@@ -67,18 +72,52 @@ class Automaton:
         self.lost_labels: set[int] = set()
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, vocabulary[u], vocabulary[v], vocabulary[u + v])
-        self.trie: dict = {}  # by character; "" has a label's id, "end" that of the label that ends a word
-        for label, i in vocabulary.items():
+        self._arcs: dict[int, bool] = {}
+        self._compile(end)
+
+    def _compile(self, end: str) -> None:
+        """The table by character: for each state its transitions, the state it falls back to, and the labels that end there, long ones first."""
+        self.rows, self.back, inner, last = [{}], [0], [()], [()]
+        for label, i in self.ids.items():
             symbol = len(label.removesuffix(end)) == 1
             if i in self.lost_labels or not symbol and self.born[i] < 0:
                 continue
-            node = self.trie
-            for character in label.removesuffix(end):
-                node = node.setdefault(character, {})
-            node["end" if label.endswith(end) else ""] = i
-        self._arcs: dict[int, bool] = {}
+            state, text = 0, label.removesuffix(end)
+            for character in text:
+                state = self.rows[state].setdefault(character, len(self.rows))
+                if state == len(self.rows):
+                    self.rows.append({})
+                    self.back.append(0)
+                    inner.append(())
+                    last.append(())
+            (last if label.endswith(end) else inner)[state] = ((len(text), i),)
+        queue = list(self.rows[0].values())
+        for state in queue:  # states by length, so that those fallen back to are whole
+            back = self.back[state]
+            inner[state] += inner[back]
+            last[state] += last[back]
+            for character, then in self.rows[state].items():
+                self.back[then] = self._reached(back, character)
+                queue.append(then)
+        self.inner, self.last, self._known = inner, last, len(self.rows)
+        self.sizes = {i: len(label.removesuffix(end)) for label, i in self.ids.items()}
+
+    def _reached(self, state: int, character: str) -> int:
+        while state and character not in self.rows[state]:
+            state = self.back[state]
+        return self.rows[state].get(character, 0)
+
+    def _transition(self, state: int, character: str) -> int:
+        """A transition that isn't in the table yet."""
+        then = self._reached(state, character)
+        if self._known < TRANSITIONS:
+            self._known += 1
+            self.rows[state][character] = then
+        return then
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
+        if self.born[w] >= 0 or w in self.lost_labels:
+            raise ValueError("two merges make one label")
         if {u, v} & self.lost_labels or not self._look_up(u, v):  # no state has the arcs to be joined
             self.lost_labels.add(w)
             return
@@ -109,48 +148,30 @@ class Automaton:
             else:  # the state took its arcs before the gadget's own loss
                 before, p = a, self.row[p]
 
-    def _labels_at(self, word: str, at: int) -> list[tuple[int, int]]:
-        """The labels that spell on from a place, as (place after, id), short ones first."""
-        out, node, n = [], self.trie, len(word)
-        for stop in range(at + 1, n):
-            node = node.get(word[stop - 1])
-            if node is None:
-                return out
-            label = node.get("")
-            if label is not None:
-                out.append((stop, label))
-        label = node.get(word[-1], {}).get("end")
-        if label is not None:
-            out.append((n, label))
-        return out
-
     def encode_word(self, word: str) -> list[int]:
-        """The labels' ids on the path that spells a word of byte symbols, its last one marked as the end.
-
-        A place is reached by one path only, so one that led nowhere stays dead.
-        """
-        n, has_arc = len(word), self.has_arc
-        path: list[int] = []
-        held: list[tuple[int, list[tuple[int, int]]]] = []
-        dead: set[int] = set()
-        at, labels = 0, self._labels_at(word, 0)
-        while True:
-            while labels:
-                stop, label = labels.pop()
-                if stop not in dead and (not path or has_arc(path[-1], label)):
+        """The labels' ids on the path that spells a word of byte symbols, its last one marked as the end."""
+        rows, inner, has_arc = self.rows, self.inner, self.has_arc
+        ends, state, final = [], 0, len(word) - 1  # by place, the token that ends after it, or -1
+        for at in range(final):
+            then = rows[state].get(word[at])
+            state = self._transition(state, word[at]) if then is None else then
+            ended = -1
+            for size, label in inner[state]:
+                if size > at or (ends[at - size] >= 0 and has_arc(ends[at - size], label)):
+                    ended = label
                     break
-            else:
-                if not path:
-                    raise ValueError(f"no path spells {word!r}")
-                dead.add(at)
-                path.pop()
-                at, labels = held.pop()
-                continue
-            path.append(label)
-            if stop == n:
+            ends.append(ended)
+        then = rows[state].get(word[final])
+        state = self._transition(state, word[final]) if then is None else then
+        for size, label in self.last[state]:
+            if size > final or (ends[final - size] >= 0 and has_arc(ends[final - size], label)):
+                path, at = [label], final - size
+                while at >= 0:
+                    path.append(ends[at])
+                    at -= self.sizes[ends[at]]
+                path.reverse()
                 return path
-            held.append((at, labels))
-            at, labels = stop, self._labels_at(word, stop)
+        raise ValueError(f"no path spells {word!r}")
 
 
 class _Kept(dict):
@@ -180,7 +201,11 @@ class Tokenizer:
         pattern = splits["pretokenizers"][0].get("pattern", {}).get("Regex") if kinds[1] else None
         if kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or pattern != WORDS or model["type"] != "BPE":
             raise ValueError("a tokenizer file of another kind")
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("lstrip", "rstrip", "single_word", "normalized")) or any(re.search(r"\s", t["content"]) for t in spec["added_tokens"]):
+            raise ValueError("added tokens of another kind")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # a character that all added tokens have; without one every piece is searched
+        self._mark = next((c for c in next(iter(self.special), "") if all(c in t for t in self.special)), "")
         self.automaton = Automaton(model["vocab"], (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]), model["end_of_word_suffix"])
         self.labels = self.automaton.labels | {i: s for s, i in self.special.items()}
         self._content, self._library = content, None
@@ -211,7 +236,7 @@ class Tokenizer:
 
     def _tokens(self, piece: str) -> list[int]:
         out: list[int] = []
-        for i, part in enumerate(self._special.split(piece) if "<" in piece else (piece,)):
+        for i, part in enumerate(self._special.split(piece) if self._mark in piece else (piece,)):
             if i % 2:
                 out.append(self.special[part])
             elif part:
