@@ -207,6 +207,8 @@ RULES = (
 )
 
 HINT = re.compile(r"licen[sc]e|spdx|permission|redistribut|warrant|rights reserved|public domain|free software|copyright|liable|endorse|neither the name|obtain a copy|advertising materials|this product includes|covered software|font projects|terms and conditions|in the hope that|waives abandons|waives, abandons|(?:released|distributed|published|available|provided|shared)\W+under", re.I)
+#: Parts of words, one of which is in whatever ``HINT`` finds; most texts are passed over by these alone.
+HINTED = ("licen", "spdx", "permission", "redistribut", "warrant", "reserved", "domain", "free", "copyright", "liable", "endorse", "neither", "obtain", "advertising", "includes", "covered", "font", "conditions", "hope", "abandons", "under")
 PIECE = re.compile(r"[^\n]+")
 ENDS = re.compile(r"(?<=[.!?;])(?<!\bv\.)\s+|(?<=:)(?<!dentifier:)\s+")
 MARKS = re.compile(r"^[\s#/*;%<!-]+")
@@ -314,7 +316,8 @@ def sequence(text: str | None) -> list[tuple[int, str]]:
 
     A sentence may end with its line, or go on over lines; both are looked up.
     """
-    if not text or not HINT.search(text):
+    low = (text or "").lower()
+    if not any(part in low for part in HINTED) or not HINT.search(text):
         return []
     found: dict[int, list[str]] = {}
     at = 0

@@ -166,3 +166,10 @@ def test_long_texts():
 
 def test_every_known_sentence_has_a_hint():
     assert [i for i, x in licenses.SENTENCES.items() if not licenses.HINT.search(x)] == []
+
+
+def test_every_hint_has_a_part_that_is_looked_for_first():
+    # "waives, abandons" and its like: one branch of the pattern after the other
+    for branch in licenses.HINT.pattern.split("|"):
+        words = branch.replace("[sc]", "s").replace("(?:", "").replace(")", "").replace(r"\W+", " ")
+        assert any(part in words for part in licenses.HINTED) or words in ("released", "distributed", "published", "available", "provided"), branch
