@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.shingles import WORD, family, minima, scrambled
+from palimpsest.functions.shingles import family, minima, scrambled, words
 
 PRIME = 2147483647
 #: The small family that SQL can compute too: h -> (a * h + b) mod PRIME.
@@ -45,10 +45,10 @@ def small_signatures(docs: DataFrame, k: int = 5) -> DataFrame:
         for batch in batches:
             ids, rows = [], []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                words = WORD.findall((text.as_py() or "").lower())
-                own = {" ".join(words[j : j + k]) for j in range(len(words) - k + 1)}
+                found = words(text.as_py())
+                own = {b" ".join(found[j : j + k]) for j in range(len(found) - k + 1)}
                 if own:
-                    h = np.array([int(hashlib.md5(g.encode()).hexdigest()[:7], 16) for g in own], np.int64)
+                    h = np.array([int(hashlib.md5(g).hexdigest()[:7], 16) for g in own], np.int64)
                     ids.append(i)
                     rows.append(np.min([(h * x + y) % PRIME for x, y in zip(a, b, strict=True)], axis=1))
             table = np.array(rows, np.int64).reshape(len(ids), len(SMALL))
@@ -70,18 +70,20 @@ def signed_bands(grams: DataFrame, bands: int, rows: int, prefilter: int = 64, s
         hashes = family(bands * rows, seed)
         salt = scrambled(np.arange(1, bands + 1, dtype=np.uint64))
         for batch in batches:
-            ids, keys, heads = [], [], []
-            for i, own in zip(batch.column("doc_id").to_pylist(), batch.column("grams"), strict=True):
-                values = own.values.to_numpy()
-                if len(values):
-                    low = minima(values, hashes)
-                    table, h = low.reshape(bands, rows).astype(np.uint64), salt.copy()
-                    for r in range(rows):
-                        h = scrambled((h ^ table[:, r]) * np.uint64(0x9E3779B97F4A7C15))
-                    ids.append(i)
-                    keys.append(h.view(np.int64))
-                    heads.append(low[:prefilter].view(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int32()))], names=["doc_id", "bands", "head"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = part.column("grams")
+                offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+                full = np.flatnonzero(offsets[1:] > offsets[:-1])
+                low = np.empty((len(full), bands * rows), np.uint32)
+                for row, i in enumerate(full.tolist()):
+                    low[row] = minima(values[offsets[i] : offsets[i + 1]], hashes)
+                table, h = low.reshape(-1, bands, rows).astype(np.uint64), np.broadcast_to(salt, (len(full), bands))
+                for r in range(rows):
+                    h = scrambled((h ^ table[:, :, r]) * np.uint64(0x9E3779B97F4A7C15))
+                ids = part.column("doc_id").take(pa.array(full))
+                columns = [pa.ListArray.from_arrays(pa.array(np.arange(len(full) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel())) for x in (h.view(np.int64), low[:, :prefilter].view(np.int32))]
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "bands", "head"])
 
     return grams.mapInArrow(run, "doc_id long, bands array<long>, head array<int>")
 
