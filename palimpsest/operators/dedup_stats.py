@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import bucket_label
+from palimpsest.operators.records import TIERS as TIERS_AT
+from palimpsest.operators.records import facts
 
 TIERS = ("exact", "near_90", "near_80", "near_70")
 #: Inclusive bands of duplicates a document has, of neighbours, and of group sizes.
@@ -21,9 +23,9 @@ def reaches(jaccard: Column, threshold: float) -> Column:
 
 def strongest(recorded: DataFrame) -> DataFrame:
     """(doc_id, tier, n): a document's strongest kind of duplicate, and how many it has of it and of weaker ones."""
-    best = F.get("near_duplicates", F.lit(0))["jaccard"]
+    best = F.col("best")
     tier = F.when(F.col("n_exact") > 0, "exact").when(reaches(best, 0.9), "near_90").when(reaches(best, 0.8), "near_80").otherwise("near_70")
-    return recorded.select("doc_id", tier.alias("tier"), (F.col("n_exact") + F.col("n_near")).cast("long").alias("n"))
+    return facts(recorded).select("doc_id", tier.alias("tier"), (F.col("n_exact") + F.col("n_near")).cast("long").alias("n"))
 
 
 def composition(recorded: DataFrame, total_docs: int) -> DataFrame:
@@ -46,23 +48,28 @@ def tier_bands(recorded: DataFrame) -> DataFrame:
     return strongest(recorded).groupBy("tier", bucket_label(F.col("n"), DUP_BANDS).alias("band")).agg(F.count(F.lit(1)).alias("documents"))
 
 
-def neighbour_stats(recorded: DataFrame, thresholds: tuple[float, ...] = (0.7, 0.8, 0.9)) -> DataFrame:
+def neighbour_stats(recorded: DataFrame, thresholds: tuple[float, ...] = TIERS_AT) -> DataFrame:
     """By threshold: documents with a neighbour, directed and undirected edges, mean neighbours."""
-    flat = recorded.select("doc_id", F.explode("near_duplicates").alias("x"))
-    tiers = F.array(*[F.when(reaches(F.col("x.jaccard"), t), F.lit(t)) for t in thresholds])
-    at = flat.select("doc_id", F.explode(F.array_compact(tiers)).alias("threshold")).groupBy("threshold", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"near_{int(t * 100)}").alias("n")) for t in thresholds])
+    at = facts(recorded).select(F.explode(each).alias("x")).select("x.*").where("n > 0")
     return at.groupBy("threshold").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("directed"), F.floor(F.sum("n") / 2).cast("long").alias("undirected"), F.avg("n").alias("mean_neighbours"))
 
 
 def neighbour_bands(recorded: DataFrame, threshold: float = 0.7) -> DataFrame:
-    n = F.size(F.filter("near_duplicates", lambda x: reaches(x["jaccard"], threshold)))
-    return recorded.select(bucket_label(n, COUNT_BANDS).alias("band")).where("band is not null").groupBy("band").agg(F.count(F.lit(1)).alias("documents"))
+    n = F.col(f"near_{int(threshold * 100)}")
+    return facts(recorded).select(bucket_label(n, COUNT_BANDS).alias("band")).where("band is not null").groupBy("band").agg(F.count(F.lit(1)).alias("documents"))
 
 
-def jaccard_histogram(recorded: DataFrame) -> DataFrame:
-    """Directed edges by floor(100 * Jaccard), in 32-bit arithmetic."""
-    flat = recorded.select(F.explode("near_duplicates").alias("x")).select(F.floor(F.col("x.jaccard") * F.lit(100).cast("float")).cast("long").alias("percent"))
-    return flat.groupBy("percent").agg(F.count(F.lit(1)).alias("edges"))
+def jaccard_histogram(edges: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Directed edges between documents by floor(100 * Jaccard), in 32-bit arithmetic.
+
+    ``edges`` join representatives; ``sizes`` has (rep_id, group_size), and
+    each edge counts once for each pair of copies, both ways.
+    """
+    a, b = (sizes.select(F.col("rep_id").alias(k), F.col("group_size").alias(f"n{k}")) for k in "ab")
+    rows = edges.join(a, "a").join(b, "b")
+    percent = F.floor(F.col("jaccard").cast("float") * F.lit(100).cast("float")).cast("long")
+    return rows.groupBy(percent.alias("percent")).agg(F.sum(2 * F.col("na") * F.col("nb")).alias("edges"))
 
 
 def group_size_histogram(sizes: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ text moves only if its digest has copies.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import char_len, digest, strip
@@ -17,13 +17,27 @@ def scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", char_len(F.col("text")).alias("char_len"), digest(F.col("text")).alias("sha256"), F.col("text").isNull().alias("was_null"))
 
 
+#: Ids that a list of ids spans at most: a hot length or digest has several lists, one a chunk.
+SPAN = 4_000_000
+
+
+def _chunk() -> Column:
+    return F.floor(F.col("doc_id") / SPAN).cast("long").alias("chunk")
+
+
 def length_map(scanned: DataFrame) -> DataFrame:
-    return scanned.groupBy("char_len").agg(F.count(F.lit(1)).alias("n_docs"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    """One row a length and chunk of ids: its count and its ids ascending."""
+    return scanned.groupBy("char_len", _chunk()).agg(F.count(F.lit(1)).alias("n_docs"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def _lists(scanned: DataFrame, sizes: DataFrame) -> DataFrame:
+    lists = scanned.groupBy("sha256", _chunk()).agg(F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    return lists.join(sizes.select("sha256", "length", "count"), "sha256").select("sha256", "length", "count", "chunk", "doc_ids")
 
 
 def hash_groups(scanned: DataFrame) -> DataFrame:
-    """One row a digest: length, count, and its ids ascending."""
-    return scanned.groupBy("sha256").agg(F.first("char_len").alias("length"), F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"))
+    """One row a digest and chunk of ids: length, the digest's count, and the chunk's ids ascending."""
+    return _lists(scanned, group_sizes(scanned))
 
 
 def group_sizes(scanned: DataFrame) -> DataFrame:
@@ -32,7 +46,9 @@ def group_sizes(scanned: DataFrame) -> DataFrame:
 
 
 def exact_groups(scanned: DataFrame) -> DataFrame:
-    return hash_groups(scanned).where(F.col("count") >= 2)
+    """The rows of ``hash_groups`` with copies; single documents are left out before lists are made."""
+    sizes = group_sizes(scanned).where(F.col("count") >= 2)
+    return _lists(scanned.join(sizes.select("sha256"), "sha256", "left_semi"), sizes)
 
 
 def duplicate_totals(sizes: DataFrame) -> DataFrame:

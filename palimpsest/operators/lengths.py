@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.operators.records import facts
+
 #: Fixed value: lower edges of the half-open length buckets.
 EDGES = (0, 32, 64, 128, 256, 512, 768, 1024, 1536, 2048, 4096, 8192, 16384)
 PERCENTILES = (1, 5, 10, 25, 50, 75, 90, 95, 99, 99.9)
@@ -100,8 +102,7 @@ def histogram(lengths: DataFrame, width: int = 10, most: int = 0) -> DataFrame:
 
 def by_duplication(lengths: DataFrame, recorded: DataFrame) -> DataFrame:
     """For each length bucket that has documents: how many have an exact copy, and a near one at each threshold."""
-    best = F.get("near_duplicates", F.lit(0))["jaccard"]  # the list is sorted
-    status = recorded.select("doc_id", (F.col("n_exact") > 0).alias("exact"), best.alias("best"))
+    status = facts(recorded).select("doc_id", (F.col("n_exact") > 0).alias("exact"), "best")
     rows = lengths.join(status, "doc_id", "left").groupBy(bucket(F.col("n_tokens")).alias("bucket"))
     tiers = [F.count_if(F.col("best") >= F.lit(t).cast("float")).alias(f"near_{int(t * 100)}") for t in (0.7, 0.8, 0.9)]
     return rows.agg(F.count(F.lit(1)).alias("documents"), F.count_if("exact").alias("exact"), *tiers)

@@ -63,6 +63,12 @@ def small_bands(signatures: DataFrame) -> DataFrame:
     return signatures.select("doc_id", F.explode(F.array(*keys)).alias("x")).select("doc_id", "x.band", "x.key")
 
 
+def small_signed(signatures: DataFrame) -> DataFrame:
+    """Signatures of the small family as ``signed_bands`` has them: (doc_id, bands, head)."""
+    keys = [F.xxhash64(*[F.col(f"s{b * SMALL_ROWS + r + 1}") for r in range(SMALL_ROWS)]) for b in range(SMALL_BANDS)]
+    return signatures.select("doc_id", F.array(*keys).alias("bands"), F.array(*[F.col(f"s{i + 1}").cast("int") for i in range(len(SMALL))]).alias("head"))
+
+
 def signed_bands(grams: DataFrame, bands: int, rows: int, prefilter: int = 64, seed: int = 20260728) -> DataFrame:
     """(doc_id, bands, head): band keys and the first minima of each set, in one pass over (doc_id, grams)."""
 

@@ -38,6 +38,35 @@ def records(edges: DataFrame, members: DataFrame) -> DataFrame:
     return both.select("doc_id", exact.alias("exact_duplicates"), near_list.alias("near_duplicates"), F.size(exact).alias("n_exact"), F.size(near_list).alias("n_near"))
 
 
+#: The similarities at which neighbours are counted.
+TIERS = (0.7, 0.8, 0.9)
+
+
+def counted(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """The records without their lists: doc_id, n_exact, n_near, best, near_70, near_80, near_90.
+
+    Lists of a group of k copies have k * k ids; these figures come from the
+    groups' sizes, so a group of any size costs a row a document.
+    """
+    stored = F.col("jaccard").cast("float")
+    both = edges.select("a", "b", stored.alias("jaccard")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), stored.alias("jaccard")))
+    sizes = members.where("doc_id = rep_id").select(F.col("rep_id").alias("b"), F.col("group_size").alias("n"))
+    tiers = [F.sum(F.when(F.col("jaccard") >= F.lit(t).cast("float"), F.col("n")).otherwise(0)).alias(f"near_{int(t * 100)}") for t in TIERS]
+    per = both.join(sizes, "b").groupBy(F.col("a").alias("rep_id")).agg(F.sum("n").alias("n_near"), F.max("jaccard").alias("best"), *tiers)
+    zero = F.lit(0).cast("long")
+    rows = members.join(per, "rep_id", "left").where("group_size >= 2 or n_near is not null")
+    return rows.select("doc_id", (F.col("group_size") - 1).alias("n_exact"), F.coalesce("n_near", zero).alias("n_near"), "best", *[F.coalesce(f"near_{int(t * 100)}", zero).alias(f"near_{int(t * 100)}") for t in TIERS])
+
+
+def facts(recorded: DataFrame) -> DataFrame:
+    """The columns of ``counted`` from records with lists, or as they are."""
+    if "near_duplicates" not in recorded.columns:
+        return recorded
+    at = lambda t: F.size(F.filter("near_duplicates", lambda x: x["jaccard"] >= F.lit(t).cast("float"))).cast("long")
+    best = F.get("near_duplicates", F.lit(0))["jaccard"]  # the list is sorted
+    return recorded.select("doc_id", F.col("n_exact").cast("long").alias("n_exact"), F.col("n_near").cast("long").alias("n_near"), best.alias("best"), *[at(t).alias(f"near_{int(t * 100)}") for t in TIERS])
+
+
 def neighbours(recorded: DataFrame, doc_id: int, threshold: float = 0.7) -> DataFrame:
     """All duplicates of a document; a filter on the id, which sorted files push down."""
     return recorded.where(F.col("doc_id") == doc_id).select("doc_id", "exact_duplicates", F.filter("near_duplicates", lambda x: x["jaccard"] >= threshold).alias("near_duplicates"))

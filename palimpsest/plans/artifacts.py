@@ -104,14 +104,14 @@ def manifest_json(c: Corpus) -> DataFrame:
     return sources.read_jsonl(c.spark, _written(c, "manifest", sources.manifest(sources.with_rows(c.docs))), "shard long, n_rows long, offset long")
 
 
-@query(sql.SCAN + "SELECT char_len, count(*) AS n_docs, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM scan GROUP BY 1")
+@query(sql.LENGTH_LISTS)
 def length_map_json(c: Corpus) -> DataFrame:
-    return sources.read_jsonl(c.spark, _written(c, "lengths", exact.length_map(c.scanned())), "char_len long, n_docs long, doc_ids array<long>").withColumn("doc_ids", joined("doc_ids"))
+    return sources.read_jsonl(c.spark, _written(c, "lengths", exact.length_map(c.scanned())), "char_len long, chunk long, n_docs long, doc_ids array<long>").withColumn("doc_ids", joined("doc_ids"))
 
 
-@query(sql.GROUPS + "SELECT * FROM groups")
+@query(sql.HASH_LISTS)
 def hash_groups_jsonl(c: Corpus) -> DataFrame:
-    return sources.read_jsonl(c.spark, _written(c, "hashes", exact.hash_groups(c.scanned())), "sha256 string, length long, count long, doc_ids array<long>").withColumn("doc_ids", joined("doc_ids"))
+    return sources.read_jsonl(c.spark, _written(c, "hashes", exact.hash_groups(c.scanned())), "sha256 string, length long, count long, chunk long, doc_ids array<long>").withColumn("doc_ids", joined("doc_ids"))
 
 
 @query(
@@ -258,7 +258,7 @@ u AS (SELECT * FROM t UNION ALL SELECT 'none', (SELECT count(*) FROM documents)
 SELECT tier, round(share, 3) AS share_3, round(share, 4) AS share_4, round(share, 5) AS share_5, round(share, 6) AS share_6 FROM s"""
 )
 def rounded_shares(c: Corpus) -> DataFrame:
-    parts = dedup_stats.composition(c.records(), c.docs.count())
+    parts = dedup_stats.composition(c.counted(), c.docs.count())
     return parts.select("tier", *[F.round("share", n).alias(f"share_{n}") for n in (3, 4, 5, 6)])
 
 

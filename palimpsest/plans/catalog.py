@@ -52,19 +52,19 @@ def scan(c: Corpus) -> DataFrame:
     return c.scanned().select("doc_id", "char_len", "sha256")
 
 
-@query(sql.SCAN + "SELECT char_len, count(*) AS n_docs, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM scan GROUP BY 1")
+@query(sql.LENGTH_LISTS)
 def length_map(c: Corpus) -> DataFrame:
-    return exact.length_map(c.scanned()).select("char_len", "n_docs", joined("doc_ids").alias("doc_ids"))
+    return exact.length_map(c.scanned()).withColumn("doc_ids", joined("doc_ids"))
 
 
-@query(sql.GROUPS + "SELECT * FROM groups")
+@query(sql.HASH_LISTS)
 def hash_groups(c: Corpus) -> DataFrame:
-    return exact.hash_groups(c.scanned()).select("sha256", "length", "count", joined("doc_ids").alias("doc_ids"))
+    return exact.hash_groups(c.scanned()).withColumn("doc_ids", joined("doc_ids"))
 
 
-@query(sql.GROUPS + "SELECT * FROM groups WHERE count >= 2")
+@query(f"SELECT * FROM ({sql.HASH_LISTS}) WHERE count >= 2")
 def exact_groups(c: Corpus) -> DataFrame:
-    return exact.exact_groups(c.scanned()).select("sha256", "length", "count", joined("doc_ids").alias("doc_ids"))
+    return exact.exact_groups(c.scanned()).withColumn("doc_ids", joined("doc_ids"))
 
 
 @query(
@@ -192,6 +192,13 @@ def gated_components(c: Corpus) -> DataFrame:
     return found.select(F.col("vertex").alias("doc_id"), "component")
 
 
+@query(sql.GATED + "SELECT v AS doc_id, min(c) AS component FROM reach GROUP BY 1")
+def gated_components_md5(c: Corpus) -> DataFrame:
+    """The same path with the small family, which SQL can follow: 7 bands of 2, a gate at 0.4 on 14 minima."""
+    found = components.connected_components(minhash.gated_links(minhash.small_signed(minhash.small_signatures(c.docs)), 0.4, len(minhash.SMALL)))
+    return found.select(F.col("vertex").alias("doc_id"), "component")
+
+
 @query(sql.PAIRS + "SELECT a, b, jaccard FROM pairs")
 def lsh_near_pairs(c: Corpus) -> DataFrame:
     """Near pairs by banding and verification of all pairs in a component, without the exact prefix join."""
@@ -243,7 +250,7 @@ def duplicate_records(c: Corpus) -> DataFrame:
 
 @query(sql.RECORDS + "SELECT count(*) AS records, count(*) FILTER (WHERE n_exact > 0) AS with_exact, count(*) FILTER (WHERE n_near > 0) AS with_near, sum(n_exact)::BIGINT AS exact_links, sum(n_near)::BIGINT AS near_links FROM recorded")
 def record_counts(c: Corpus) -> DataFrame:
-    return records.counts(c.records())
+    return records.counts(c.counted())
 
 
 @query(sql.NEAR + "SELECT count(DISTINCT n.doc_id) AS overlapping FROM near n JOIN reps x ON x.doc_id = n.doc_id JOIN reps y ON y.doc_id = n.neighbour WHERE x.rep_id = y.rep_id")
@@ -257,7 +264,7 @@ def record_overlap(c: Corpus) -> DataFrame:
 u AS (SELECT * FROM t UNION ALL SELECT 'none', (SELECT count(*) FROM documents) - (SELECT sum(documents)::BIGINT FROM t)) SELECT tier, documents, documents::DOUBLE / (SELECT count(*) FROM documents) AS share FROM u"""
 )
 def composition_tiers(c: Corpus) -> DataFrame:
-    return dedup_stats.composition(c.records(), c.docs.count())
+    return dedup_stats.composition(c.counted(), c.docs.count())
 
 
 @query(
@@ -266,12 +273,12 @@ def composition_tiers(c: Corpus) -> DataFrame:
 quantile_disc(least(n, 20001), 0.5) AS p50, quantile_disc(least(n, 20001), 0.75) AS p75, quantile_disc(least(n, 20001), 0.99) AS p99 FROM tiers GROUP BY 1"""
 )
 def tier_moments(c: Corpus) -> DataFrame:
-    return dedup_stats.moments(c.records()).withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6)).withColumn("most", F.col("most").cast("long"))
+    return dedup_stats.moments(c.counted()).withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6)).withColumn("most", F.col("most").cast("long"))
 
 
 @query(sql.TIERS + f"SELECT tier, {sql.band('n', dedup_stats.DUP_BANDS)} AS band, count(*) AS documents FROM tiers GROUP BY 1, 2")
 def tier_bands(c: Corpus) -> DataFrame:
-    return dedup_stats.tier_bands(c.records())
+    return dedup_stats.tier_bands(c.counted())
 
 
 @query(
@@ -280,17 +287,17 @@ def tier_bands(c: Corpus) -> DataFrame:
 SELECT threshold, count(*) AS documents, sum(n)::BIGINT AS directed, (sum(n) // 2)::BIGINT AS undirected, round(avg(n), 6) AS mean_neighbours FROM per GROUP BY 1"""
 )
 def neighbour_stats(c: Corpus) -> DataFrame:
-    return dedup_stats.neighbour_stats(c.records()).withColumn("mean_neighbours", F.round("mean_neighbours", 6))
+    return dedup_stats.neighbour_stats(c.counted()).withColumn("mean_neighbours", F.round("mean_neighbours", 6))
 
 
 @query(sql.NEAR + f", per AS (SELECT doc_id, count(*) AS n FROM near GROUP BY 1) SELECT {sql.band('n', dedup_stats.COUNT_BANDS)} AS band, count(*) AS documents FROM per GROUP BY 1")
 def neighbour_bands(c: Corpus) -> DataFrame:
-    return dedup_stats.neighbour_bands(c.records())
+    return dedup_stats.neighbour_bands(c.counted())
 
 
 @query(sql.NEAR + "SELECT floor(jaccard::FLOAT * 100::FLOAT)::BIGINT AS percent, count(*) AS edges FROM near GROUP BY 1")
 def jaccard_histogram(c: Corpus) -> DataFrame:
-    return dedup_stats.jaccard_histogram(c.records())
+    return dedup_stats.jaccard_histogram(c.edges(), c.members().where("doc_id = rep_id").select("rep_id", "group_size"))
 
 
 @query(sql.GROUPS + f"SELECT {sql.band('count', dedup_stats.SIZE_BANDS)} AS band, count(*) AS groups, sum(count)::BIGINT AS documents FROM groups WHERE count >= 2 GROUP BY 1")
@@ -336,7 +343,7 @@ def length_histogram(c: Corpus) -> DataFrame:
 count(*) FILTER (WHERE best::FLOAT >= 0.8::FLOAT) AS near_80, count(*) FILTER (WHERE best::FLOAT >= 0.9::FLOAT) AS near_90 FROM lengths LEFT JOIN recorded USING (doc_id) GROUP BY 1"""
 )
 def length_x_dup(c: Corpus) -> DataFrame:
-    return lengths.by_duplication(c.lengths(), c.records())
+    return lengths.by_duplication(c.lengths(), c.counted())
 
 
 @query(
@@ -345,7 +352,7 @@ def length_x_dup(c: Corpus) -> DataFrame:
 quantile_disc(least(n_tokens, 4001), 0.75) AS p75 FROM recorded JOIN lengths USING (doc_id) GROUP BY 1"""
 )
 def dup_vs_length(c: Corpus) -> DataFrame:
-    return lengths.by_duplicate_count(c.lengths(), c.records())
+    return lengths.by_duplicate_count(c.lengths(), c.counted())
 
 
 # -- clusters and what they would remove

@@ -22,6 +22,8 @@ def edge(value: str, edges: tuple[int, ...]) -> str:
 MANIFEST = "WITH shards AS (SELECT doc_id // 1000 AS shard, count(*) AS n_rows FROM documents GROUP BY 1) "
 SCAN_BODY = f"scan AS (SELECT doc_id, length({strip('text')}) AS char_len, sha256({strip('text')}) AS sha256 FROM documents)"
 SCAN = f"WITH {SCAN_BODY} "
+LENGTH_LISTS = f"WITH {SCAN_BODY} SELECT char_len, doc_id // 4000000 AS chunk, count(*) AS n_docs, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM scan GROUP BY 1, 2"
+HASH_LISTS = f"WITH {SCAN_BODY} SELECT sha256, any_value(char_len) AS length, any_value(total) AS count, doc_id // 4000000 AS chunk, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM (SELECT *, count(*) OVER (PARTITION BY sha256) AS total FROM scan) GROUP BY sha256, doc_id // 4000000"
 GROUPS = f"WITH {SCAN_BODY}, groups AS (SELECT sha256, any_value(char_len) AS length, count(*) AS count, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS doc_ids FROM scan GROUP BY 1) "
 REPS_BODY = f"{SCAN_BODY}, reps AS (SELECT doc_id, sha256, min(doc_id) OVER (PARTITION BY sha256) AS rep_id, count(*) OVER (PARTITION BY sha256) AS group_size FROM scan)"
 REPS = f"WITH {REPS_BODY} "
@@ -99,3 +101,8 @@ kept AS (SELECT step, count(*) AS documents, sum(n_tokens)::BIGINT AS tokens, co
 count(*) FILTER (WHERE NOT gone AND n_tokens < 5) AS short_docs, coalesce(sum(n_tokens) FILTER (WHERE NOT gone AND n_tokens < 5), 0)::BIGINT AS short_tokens FROM marked GROUP BY 1) """
 #: The part of a release in which a record's shard of 100 ids lies: the records of earlier shards decide.
 PART = "least(7, floor(((count(*) OVER (ORDER BY doc_id // 100 RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - count(*) OVER (PARTITION BY doc_id // 100)) * 8 / count(*) OVER ()))::INTEGER"
+
+_agree = " + ".join(f"(p.s{i + 1} = q.s{i + 1})::INTEGER" for i in range(len(SMALL)))
+GATED = f"""WITH RECURSIVE {BANDS_BODY}, bucket AS (SELECT band, key, count(*) AS n, min(doc_id) AS anchor FROM bands GROUP BY 1, 2 HAVING count(*) >= 2), held AS (SELECT b.doc_id, k.* FROM bands b JOIN bucket k ON k.band = b.band AND k.key = b.key),
+loose AS (SELECT x.doc_id AS a, y.doc_id AS b FROM held x JOIN held y ON x.band = y.band AND x.key = y.key AND x.doc_id < y.doc_id WHERE x.n <= 16 UNION SELECT anchor, doc_id FROM held WHERE n > 16 AND doc_id <> anchor),
+tight AS (SELECT a, b FROM loose JOIN sig p ON p.doc_id = a JOIN sig q ON q.doc_id = b WHERE {_agree} >= 6), {closure('tight')} """

@@ -69,6 +69,10 @@ class Corpus:
     def records(self) -> DataFrame:
         return self.once("records", lambda: records.records(self.edges(), self.members()))
 
+    def counted(self) -> DataFrame:
+        """The records without their lists, for statistics."""
+        return self.once("counted", lambda: records.counted(self.edges(), self.members()))
+
     def lengths(self) -> DataFrame:
         return self.once("lengths", lambda: lengths.token_counts(self.docs))
 

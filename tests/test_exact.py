@@ -114,3 +114,11 @@ def test_intermediate_tables_are_deleted(spark):
     tables.discard(b)
     assert not [f for f in b.inputFiles() if os.path.exists(f.removeprefix("file://"))]
     assert tables.unused(spark.range(1).toDF("_A"), "_a") == "__a"
+
+
+def test_lists_of_hot_keys_are_cut(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (exact.SPAN + 5, " a "), (3, "bb")], "doc_id long, text string")
+    scanned = exact.scan(rows)
+    assert sorted((r["count"], r["chunk"], tuple(r["doc_ids"])) for r in exact.exact_groups(scanned).collect()) == [(3, 0, (1, 2)), (3, 1, (exact.SPAN + 5,))]
+    assert sorted((r["char_len"], r["chunk"], r["n_docs"]) for r in exact.length_map(scanned).collect()) == [(1, 0, 2), (1, 1, 1), (2, 0, 1)]
+    assert exact.hash_groups(scanned).count() == 3
