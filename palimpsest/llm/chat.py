@@ -190,3 +190,14 @@ def threads(messages: DataFrame) -> DataFrame:
         F.concat(F.lit("<|"), role, F.lit("|>\n"), F.col("text"), F.lit("\n")).alias("message"), F.col("levels").cast("int").alias("levels"),
         F.col("to.conv").alias("reply_conv"), F.col("to.turn").alias("reply_turn"), F.coalesce("n_quoted", F.lit(0)).cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
     )
+
+
+def quoting(messages: DataFrame) -> DataFrame:
+    """Messages that quote the turn before them, and turns 0 that of the conversation with the next number; for tables without quotes."""
+    rows = messages.select("conv_id", "turn", "role", "text")
+    texts = rows.groupBy("conv_id", "turn").agg(F.min("text").alias("said"))
+    before = texts.select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"), "said")
+    across = texts.where("turn = 0").select((F.col("conv_id") - 1).alias("c"), F.col("turn").alias("t"), "said")
+    both = rows.join(before.unionByName(across), (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
+    marked = F.concat(F.lit("On Monday they wrote:\n> "), F.replace("said", F.lit("\n"), F.lit("\n> ")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return both.select("conv_id", "turn", "role", F.when(F.col("said").isNull(), F.col("text")).otherwise(marked).alias("text"))

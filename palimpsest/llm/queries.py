@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, chat, jaccard, licenses, mixing, quality, secrets, sharding, topk, toxicity
+from palimpsest.llm.chat_sql import threads_sql
 from palimpsest.sources.tables import table
 
 
@@ -43,6 +44,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.threads(table(spark, sf_dir, "conversations"))
 
 
+def op6_chat_quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over messages that quote: the tables have no quotes, so each turn quotes the turn before, and a turn 0 that of the next conversation."""
+    return chat.threads(chat.quoting(table(spark, sf_dir, "conversations")))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_topk, op3_quality, op4_sharding, op5_jaccard, op6_chat, op7_toxicity, op8_licenses, op9_mixing, op10_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op2_topk, op3_quality, op4_sharding, op5_jaccard, op6_chat, op6_chat_quoted, op7_toxicity, op8_licenses, op9_mixing, op10_bpe)}
 
 
 def _secrets_sql() -> str:
@@ -97,6 +103,10 @@ counts AS (SELECT a, count(*) AS texts, sum(copies)::BIGINT AS documents FROM li
 SELECT d.doc_id, CASE WHEN d.doc_id IS NOT NULL THEN class_id END AS class_id, rep AS rep_id, copies - 1 AS n_copies, coalesce(texts, 0) AS n_text_links, copies - 1 + coalesce(documents, 0) AS n_links
 FROM documents d JOIN contents ON t = coalesce(d.text, '') LEFT JOIN class ON v = rep LEFT JOIN counts ON a = rep"""
 
+#: Messages that quote the turn before; a turn 0 quotes that of the next conversation.
+QUOTING_SQL = """(WITH said AS (SELECT conv_id, turn, min(text) AS said FROM conversations GROUP BY 1, 2), of AS (SELECT conv_id AS c, turn + 1 AS t, said FROM said UNION ALL SELECT conv_id - 1, turn, said FROM said WHERE turn = 0)
+SELECT conv_id, turn, role, CASE WHEN said IS NULL THEN text ELSE 'On Monday they wrote:' || chr(10) || '> ' || replace(said, chr(10), chr(10) || '> ') || chr(10) || coalesce(text, '') END AS text FROM conversations LEFT JOIN of ON c = conv_id AND t = turn)"""
+
 MIXING_SQL = f"""WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
 weighed AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1]::DOUBLE AS weight, 2::DOUBLE * source_size AS cap FROM per),
@@ -117,4 +127,4 @@ SELECT doc_id, size, source_size, target, size * copies AS taken, source, copies
 
 def oracle_sql() -> dict[str, str]:
     """The other operators have no SQL that is fast enough; their tests hold them against brute force."""
-    return {"op1_secrets": _secrets_sql(), "op2_topk": TOPK_SQL, "op5_jaccard": JACCARD_SQL, "op9_mixing": MIXING_SQL}
+    return {"op1_secrets": _secrets_sql(), "op2_topk": TOPK_SQL, "op5_jaccard": JACCARD_SQL, "op6_chat": threads_sql(), "op6_chat_quoted": threads_sql(QUOTING_SQL), "op9_mixing": MIXING_SQL}
