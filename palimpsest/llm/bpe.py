@@ -19,9 +19,10 @@ the listed label for which the state at its own beginning has an arc; so there
 is nothing to search and nothing to go back to. The tokens are then read off
 from the last one back. Decoding emits arc labels.
 
-Texts are split at white space first, since no token crosses it; each piece is
-normalised and split into words as the tokenizer file says, and the tokens of
-frequent pieces are kept in a bounded table.
+Texts are normalised and split into words as the tokenizer file says, whole
+where they have no special tokens and no characters beyond ``PLAIN``, else piece
+by piece between white space, which no token crosses. The tokens of words are
+kept in bounded tables.
 
 Cases: a null text counts as empty; an empty text has no tokens, and its
 digests are those of the empty string; very long texts and words go the same
@@ -37,18 +38,21 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-PIECES = 300_000
-ARCS = 500_000
-TRANSITIONS = 1_000_000
+PIECES = 150_000
+ARCS = 150_000
+TRANSITIONS = 150_000
 #: White space as the file's patterns mean it; the controls that Python's split takes for it; the split pattern.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ONLY_PYTHON_SPACE = re.compile("[\x1c-\x1f]")
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same in lower-cased ASCII.
+ASCII_WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 #: Beyond this code point the tokenizer's own normaliser and splitter cut a piece into words, as Unicode versions differ.
 PLAIN = re.compile("[\x00-\u02ff]*")
 
@@ -150,16 +154,22 @@ class Automaton:
 
     def encode_word(self, word: str) -> list[int]:
         """The labels' ids on the path that spells a word of byte symbols, its last one marked as the end."""
-        rows, inner, has_arc = self.rows, self.inner, self.has_arc
+        rows, inner, arcs, has_arc = self.rows, self.inner, self._arcs, self.has_arc
         ends, state, final = [], 0, len(word) - 1  # by place, the token that ends after it, or -1
         for at in range(final):
             then = rows[state].get(word[at])
             state = self._transition(state, word[at]) if then is None else then
             ended = -1
             for size, label in inner[state]:
-                if size > at or (ends[at - size] >= 0 and has_arc(ends[at - size], label)):
+                if size > at:
                     ended = label
                     break
+                before = ends[at - size]
+                if before >= 0:
+                    known = arcs.get(before << 32 | label)
+                    if known or known is None and has_arc(before, label):
+                        ended = label
+                        break
             ends.append(ended)
         then = rows[state].get(word[final])
         state = self._transition(state, word[final]) if then is None else then
@@ -175,16 +185,19 @@ class Automaton:
 
 
 class _Kept(dict):
-    """A bounded table that works out what it lacks."""
+    """A bounded table that works out what it lacks. When it is full, what is asked for again is taken over from the full one."""
 
-    def __init__(self, make, longest: int = 40):
+    def __init__(self, make, most: int, longest: int = 40):
         super().__init__()
-        self.make, self.longest = make, longest
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
-            if len(self) >= PIECES:
+            if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -208,61 +221,74 @@ class Tokenizer:
         self._mark = next((c for c in next(iter(self.special), "") if all(c in t for t in self.special)), "")
         self.automaton = Automaton(model["vocab"], (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]), model["end_of_word_suffix"])
         self.labels = self.automaton.labels | {i: s for s, i in self.special.items()}
-        self._content, self._library = content, None
+        # the library's normaliser and splitter alone, without its own copy of the merges
+        self._content, self._library = json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": {"type": "BPE", "vocab": {}, "merges": []}}), None
         self._words = regex.compile(WORDS.replace(r"\s", SPACE))
         self._space = re.compile(f"[{SPACE}]+")
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else re.compile("(?!)")
         self._symbols = byte_symbols()
-        self._of_word = _Kept(lambda word: tuple(self.automaton.encode_word(word)))
-        self._of_piece = _Kept(self._written_piece)
+        self._names = {i: str(i) for i in self.labels}
+        self._of_word = _Kept(self._written_word, PIECES)
+        self._of_piece = _Kept(self._written_piece, PIECES // 10)
 
     def _split(self, piece: str) -> list[str]:
-        """The words of a piece without white space or special tokens, in byte symbols."""
-        if not PLAIN.fullmatch(piece):
-            if self._library is None:
-                from tokenizers import Tokenizer as Library
-
-                self._library = Library.from_str(self._content)
-            return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece))]
-        if piece.isascii():
-            plain = piece.lower()
-            if plain.isalpha():
-                return [plain]
-            return [w if w.isprintable() else self._in_symbols(w) for w in self._words.findall(plain)]
-        return [w if w.isascii() and w.isprintable() else self._in_symbols(w) for w in self._words.findall(unicodedata.normalize("NFC", piece).lower())]
+        """The words of a piece without white space or special tokens, in byte symbols, where Unicode versions may differ."""
+        if self._library is None:
+            from tokenizers import Tokenizer as Library
+
+            self._library = Library.from_str(self._content)
+        return [w for w, _ in self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(piece))]
 
     def _in_symbols(self, word: str) -> str:
         return "".join(map(self._symbols.__getitem__, word.encode()))
 
-    def _tokens(self, piece: str) -> list[int]:
-        out: list[int] = []
-        for i, part in enumerate(self._special.split(piece) if self._mark in piece else (piece,)):
-            if i % 2:
-                out.append(self.special[part])
-            elif part:
-                for word in self._split(part):
-                    out.extend(self._of_word[word])
-        return out
-
     def _pieces(self, text: str) -> list[str]:
         return self._space.sub("\n", text).strip("\n").split("\n") if ONLY_PYTHON_SPACE.search(text) else text.split()
 
     def encode(self, text: str | None) -> list[int]:
         """The ids of a text."""
-        return [i for p in self._pieces(text or "") if p for i in self._tokens(p)]
+        written = self.written(text)[0]
+        return list(map(int, written.split(" "))) if written else []
 
     def decode(self, ids: Iterable[int]) -> str:
         """The labels of the arcs with these ids; the file names no decoder, so a space joins them."""
         return " ".join(map(self.labels.__getitem__, ids))
 
+    def _joined(self, ids: list[int]) -> tuple[str, str]:
+        """Ids in decimal and their labels, joined by spaces."""
+        return " ".join(map(self._names.__getitem__, ids)), self.decode(ids)
+
+    def _written_word(self, word: str) -> tuple[str, str]:
+        return self._joined(self.automaton.encode_word(word if word.isascii() and word.isprintable() else self._in_symbols(word)))
+
+    def _plain_words(self, text: str) -> list[str]:
+        """The words of a text without special tokens or characters beyond ``PLAIN``."""
+        return ASCII_WORDS.findall(text.lower()) if text.isascii() else self._words.findall(unicodedata.normalize("NFC", text).lower())
+
     def _written_piece(self, piece: str) -> tuple[str, str]:
-        own = self._tokens(piece)
-        return " ".join(map(str, own)), self.decode(own)
+        """Of a piece as it stands in a text."""
+        found = []
+        for i, part in enumerate(self._special.split(piece) if self._mark in piece else (piece,)):
+            if i % 2:
+                found.append(self._joined([self.special[part]]))
+            elif PLAIN.fullmatch(part):
+                found += map(self._of_word.__getitem__, self._plain_words(part))
+            else:
+                found += [self._joined(self.automaton.encode_word(w)) for w in self._split(part)]
+        return self._together(found)
+
+    @staticmethod
+    def _together(found: Iterable[tuple[str, str]]) -> tuple[str, str]:
+        found = list(found)
+        return " ".join([f[0] for f in found if f[0]]), " ".join([f[1] for f in found if f[0]])
 
     def written(self, text: str | None) -> tuple[str, str]:
         """The ids of a text in decimal and the decoded text, both joined by a space."""
-        found = list(map(self._of_piece.__getitem__, filter(None, self._pieces(text or ""))))
-        return " ".join([f[0] for f in found if f[0]]), " ".join([f[1] for f in found if f[0]])
+        text = text or ""
+        if self._mark not in text and (text.isascii() or PLAIN.fullmatch(text)):
+            # all at once, as nothing here depends on what stands around a character
+            return self._together(map(self._of_word.__getitem__, self._plain_words(text)))
+        return self._together(map(self._of_piece.__getitem__, filter(None, self._pieces(text))))
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -309,11 +335,11 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # some texts are very long
                 part = batch.slice(at, 256)
-                ids = []
-                for text in part.column("text"):
-                    written = tokenizer.written(text.as_py())[0]
-                    ids.append([int(i) for i in written.split(" ")] if written else [])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "source", "n_tokens", "ids"])
+                ids = [np.fromstring(tokenizer.written(text.as_py())[0], np.int32, sep=" ") for text in part.column("text")]
+                sizes = np.array([len(x) for x in ids], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(sizes), lists], names=["doc_id", "source", "n_tokens", "ids"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long, ids array<int>")
 
