@@ -17,11 +17,18 @@ _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 _written: dict[str, list[str]] = {}
 
 
+#: Rows of a batch that goes to Python; texts are long, so Spark's own number would take tens of MB a task on both sides.
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application."""
+    """Send this package to the Python workers, once an application, and lower the default size of batches."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    key, default, rows = BATCH
+    if spark.conf.get(key) == default:
+        spark.conf.set(key, rows)
     package = Path(__file__).resolve().parents[1]
     archive = Path(tempfile.mkdtemp()).resolve() / f"{package.name}.zip"
     with zipfile.ZipFile(archive, "w") as z:
