@@ -69,7 +69,7 @@ def small_signed(signatures: DataFrame) -> DataFrame:
     return signatures.select("doc_id", F.array(*keys).alias("bands"), F.array(*[F.col(f"s{i + 1}").cast("int") for i in range(len(SMALL))]).alias("head"))
 
 
-def signed_bands(grams: DataFrame, bands: int, rows: int, prefilter: int = 64, seed: int = 20260728) -> DataFrame:
+def signed_bands(grams: DataFrame, bands: int, rows: int, prefilter: int = 64, seed: int = 41_017) -> DataFrame:
     """(doc_id, bands, head): band keys and the first minima of each set, in one pass over (doc_id, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,9 @@ HOPS = f"array<struct<clue:string,corpus_evidence:{EVIDENCE}>>"
 LOOSE = "array<struct<clue:string,status:string>>"
 PROJECTION = f"record_id string, question string, answer string, verdict string, discriminating_hops {HOPS}, hops {HOPS}, Traces {HOPS}, redundant_or_unsupported_hops {LOOSE}"
 RUN = "qid string, n_hops int, all_supported boolean, coverage_ok boolean, keep boolean, hops array<struct<clue:string,supported:boolean,redundant:boolean,doc_ids:array<string>,note:string>>, uncovered_phrases array<string>, reason string"
-PROJECTABLE = "PROJECTABLE"
+#: Verdicts, and the methods that they came by.
+PROJECTABLE, SKIPPED, UNKNOWN = "PROJECTABLE", "AUP_SKIP", "?"
+INFERRED, BLOCKED = "inference_allowed_1agent", "content_policy_block"
 
 
 def tasks(questions: DataFrame, dataset: str) -> DataFrame:
@@ -26,13 +28,13 @@ def tasks(questions: DataFrame, dataset: str) -> DataFrame:
     return held.select(F.lit(dataset).alias("dataset_name"), "record_id", "question", "answer", kept.alias("provided_docs"))
 
 
-def verdicts(projected: DataFrame, skip_record: str | None = None, skip_verdict: str = "AUP_SKIP") -> DataFrame:
+def verdicts(projected: DataFrame, skip_record: str | None = None, skip_verdict: str = SKIPPED) -> DataFrame:
     """(record_id, verdict, method), with a default row for a record that has none."""
-    rows = projected.select("record_id", F.coalesce("verdict", F.lit("?")).alias("verdict"))
+    rows = projected.select("record_id", F.coalesce("verdict", F.lit(UNKNOWN)).alias("verdict"))
     if skip_record is not None:
         extra = projected.sparkSession.createDataFrame([(skip_record, skip_verdict)], "record_id string, verdict string")
         rows = rows.unionByName(extra.join(rows, "record_id", "left_anti"))
-    method = F.when(F.col("verdict") == skip_verdict, "content_policy_block").otherwise("inference_allowed_1agent")
+    method = F.when(F.col("verdict") == skip_verdict, BLOCKED).otherwise(INFERRED)
     return rows.withColumn("method", method).orderBy(F.col("record_id").cast("long"))
 
 
