@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import cliques, components, dedup_stats, evaluate, exact, lengths, minhash, qrels, qrels_stats, records, release, search, similarity
-from palimpsest.plans import sql
+from palimpsest.plans import artifacts, questions, sql  # noqa: F401  the first two register their queries
 from palimpsest.plans.registry import QUERIES, SQL, Query, joined, query
 from palimpsest.plans.stages import Corpus
 from palimpsest.sources import corpus as sources
@@ -18,13 +18,10 @@ from palimpsest.sources.tables import folder, materialize, table
 
 
 def queries() -> dict[str, Query]:
-    from palimpsest.plans import artifacts, questions  # noqa: F401  they register theirs
-
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    queries()
     return dict(SQL)
 
 
@@ -482,23 +479,6 @@ def release_checksum(c: Corpus) -> DataFrame:
 # -- judgments, with passages of the benchmark as questions
 
 
-def _hops(c: Corpus) -> DataFrame:
-    """A passage's sentences are its hops; of some passages the second one is skipped."""
-    rows = c.passages().select(F.col("item_id").alias("qid"), F.posexplode(F.filter(F.split("text", r"[.!?]\s*"), lambda s: s != "")).alias("index", "clue"))
-    return rows.withColumn("skipped", (F.col("index") == 1) & (F.col("qid") % 3 == 0)).withColumn("hop_type", F.lit("Required"))
-
-
-def _pairs(c: Corpus) -> DataFrame:
-    return c.pool().join(_hops(c).select(F.col("qid").alias("item_id"), F.col("index").alias("hop")), "item_id").select(F.col("item_id").alias("qid"), "doc_id", "hop")
-
-
-def _candidates(c: Corpus) -> DataFrame:
-    """Labels stand in for votes: of good quality supports, poor doesn't, none is open."""
-    labels = table(c.spark, c.dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "Supports").when(F.col("quality") == 0, "Does not support").alias("human_judgment"))
-    votes = _pairs(c).join(labels, "doc_id", "left").select("qid", F.col("hop").alias("hop_index"), "doc_id", "human_judgment")
-    return qrels.candidates(votes, _hops(c))
-
-
 @query(sql.POOL + "SELECT item_id, doc_id FROM pool")
 def qrels_pool(c: Corpus) -> DataFrame:
     return c.pool()
@@ -506,32 +486,32 @@ def qrels_pool(c: Corpus) -> DataFrame:
 
 @query(sql.HOPS + "SELECT qid, count(DISTINCT doc_id) AS n_docs, count(*) AS n_pairs FROM pairs GROUP BY 1")
 def qrels_per_question(c: Corpus) -> DataFrame:
-    return qrels_stats.per_question(_pairs(c))
+    return qrels_stats.per_question(c.pairs())
 
 
 @query(sql.HOPS + "SELECT h.qid, h.index::BIGINT AS index, count(DISTINCT doc_id) AS n_docs FROM hops h LEFT JOIN pairs p ON h.qid = p.qid AND h.index = p.hop GROUP BY 1, 2")
 def qrels_per_hop(c: Corpus) -> DataFrame:
-    return qrels_stats.per_hop(_pairs(c), _hops(c)).select("qid", F.col("index").cast("long").alias("index"), "n_docs")
+    return qrels_stats.per_hop(c.pairs(), c.hops()).select("qid", F.col("index").cast("long").alias("index"), "n_docs")
 
 
 @query(sql.CANDIDATES + "SELECT count(*) AS rows, count(*) FILTER (WHERE NOT skipped) AS live_rows, count(DISTINCT doc_id) AS documents, count(*) FILTER (WHERE vote = 'Supports' AND NOT skipped) AS force_included, count(*) FILTER (WHERE vote = 'Does not support') AS force_excluded FROM cand")
 def candidate_totals(c: Corpus) -> DataFrame:
-    return qrels.totals(_candidates(c))
+    return qrels.totals(c.candidates())
 
 
 @query(sql.CANDIDATES + "SELECT qid, doc_id, hop::BIGINT AS hop_index FROM cand WHERE NOT skipped AND vote IS NULL")
 def undecided_rows(c: Corpus) -> DataFrame:
-    return qrels.undecided(_candidates(c)).select("qid", "doc_id", F.col("hop_index").cast("long").alias("hop_index"))
+    return qrels.undecided(c.candidates()).select("qid", "doc_id", F.col("hop_index").cast("long").alias("hop_index"))
 
 
 def _rejections(c: Corpus) -> DataFrame:
     """Documents labelled as toxic stand for rejected ones."""
     toxic = table(c.spark, c.dir, "labels").where("toxic = 1").select("doc_id")
-    return _candidates(c).join(toxic, "doc_id", "left_semi").select("qid", "doc_id", "hop_index")
+    return c.candidates().join(toxic, "doc_id", "left_semi").select("qid", "doc_id", "hop_index")
 
 
 def _built(c: Corpus) -> DataFrame:
-    pool = materialize(_candidates(c), "candidates")
+    pool = materialize(c.candidates(), "candidates")
     rejections = _rejections(c)
     return qrels.assemble(pool, qrels.recorded(pool, rejections), rejections)
 
@@ -543,7 +523,7 @@ def assembled_qrels(c: Corpus) -> DataFrame:
 
 @query(sql.CANDIDATES + "SELECT h.qid, h.index::BIGINT AS index FROM hops h WHERE NOT h.skipped AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.qid = h.qid AND c.hop = h.index AND c.doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND coalesce(c.vote, 'Supports') = 'Supports')")
 def needs_review(c: Corpus) -> DataFrame:
-    return qrels.needs_review(_hops(c), _built(c)).select("qid", F.col("index").cast("long").alias("index"))
+    return qrels.needs_review(c.hops(), _built(c)).select("qid", F.col("index").cast("long").alias("index"))
 
 
 @query(sql.NEAR + ", " + sql.POOL_BODY + " SELECT DISTINCT item_id AS qid, neighbour AS doc_id FROM pool JOIN near USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.item_id = pool.item_id AND p.doc_id = neighbour)")

@@ -43,8 +43,7 @@ def _lists(c: Corpus) -> DataFrame:
 
 def _lists_with_texts(c: Corpus) -> DataFrame:
     def make() -> DataFrame:
-        named = F.transform(F.array_union("gold", "seen"), lambda d: d)
-        wanted = _lists(c).select("item_id", F.explode(named).alias("doc_id"))
+        wanted = _lists(c).select("item_id", F.explode(F.array_union("gold", "seen")).alias("doc_id"))
         texts = wanted.join(c.docs.select("doc_id", "text", "source"), "doc_id")
         maps = texts.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("doc_id", F.struct(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("source").alias("title"))))).alias("held"))
         rows = _lists(c).join(maps, "item_id", "left")
@@ -168,9 +167,7 @@ def cleaned_clues(c: Corpus) -> DataFrame:
 @query(sql.CANDIDATES + "SELECT qid, doc_id, hop::BIGINT AS hop_index FROM cand JOIN documents USING (doc_id) WHERE vote = 'Supports' AND NOT skipped AND lang = 'en'")
 def vote_conflicts(c: Corpus) -> DataFrame:
     """Rows that a vote includes and a rejection, here of all English documents, takes out."""
-    from palimpsest.plans.catalog import _candidates
-
-    pool = _candidates(c)
+    pool = c.candidates()
     rejected = pool.join(c.docs.where("lang = 'en'").select("doc_id"), "doc_id", "left_semi").select("qid", "doc_id", "hop_index")
     return qrels.conflicts(pool, rejected).select("qid", "doc_id", F.col("hop_index").cast("long").alias("hop_index"))
 
@@ -178,10 +175,8 @@ def vote_conflicts(c: Corpus) -> DataFrame:
 @query(sql.HOPS + ", m AS (SELECT qid, doc_id, string_agg(hop::VARCHAR, '+' ORDER BY hop) AS hs FROM pairs GROUP BY 1, 2), maps AS (SELECT qid, string_agg(doc_id || ':' || hs, ',' ORDER BY doc_id) AS qrels FROM m GROUP BY 1) SELECT item_id AS qid, b.text AS question, (SELECT count(*) FROM hops h WHERE h.qid = item_id) AS n_hops, qrels FROM benchmark b LEFT JOIN maps ON maps.qid = item_id WHERE item_id IN (SELECT qid FROM hops)")
 def released_qrels(c: Corpus) -> DataFrame:
     """The released judgments, one JSON file a question, written and read again."""
-    from palimpsest.plans.catalog import _hops, _pairs
-
-    built = _pairs(c).groupBy("qid", "doc_id").agg(F.sort_array(F.collect_set("hop")).alias("hops"))
-    hops = _hops(c).join(c.passages().select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit("").alias("answer")), "qid")
+    built = c.pairs().groupBy("qid", "doc_id").agg(F.sort_array(F.collect_set("hop")).alias("hops"))
+    hops = c.hops().join(c.passages().select(F.col("item_id").alias("qid"), F.col("text").alias("question"), F.lit("").alias("answer")), "qid")
     path = f"{folder(c.spark)}/qrels"
     sinks.write_json(qrels.released(built, hops).withColumn("of", F.col("qid")), path, partition_by="of")
     back = sources.read_json_files(c.spark, f"{path}/*", "qid long, question string, hops array<struct<index:int>>, qrels map<string,array<int>>")
@@ -259,9 +254,7 @@ def _band(bands: list[tuple[int, int | None]]) -> str:
 
 @query(sql.HOPS + f", q AS (SELECT qid, count(DISTINCT doc_id) AS n_docs FROM pairs GROUP BY 1), h AS (SELECT qid, hop, count(DISTINCT doc_id) AS n_docs FROM pairs GROUP BY 1, 2) SELECT 'question' AS kind, {_band(qrels_stats.QUESTION_BANDS)} AS band, count(*) AS n FROM q GROUP BY 2 UNION ALL SELECT 'hop', {_band(qrels_stats.HOP_BANDS)}, count(*) FROM h GROUP BY 2")
 def pool_bands(c: Corpus) -> DataFrame:
-    from palimpsest.plans.catalog import _pairs
-
-    pairs = _pairs(c)
+    pairs = c.pairs()
     per_hop = pairs.groupBy("qid", "hop").agg(F.countDistinct("doc_id").alias("n_docs"))
     both = [qrels_stats.banded(rows, "n_docs", bands).withColumn("kind", F.lit(kind)) for kind, rows, bands in (("question", qrels_stats.per_question(pairs), qrels_stats.QUESTION_BANDS), ("hop", per_hop, qrels_stats.HOP_BANDS))]
     return both[0].unionByName(both[1])
@@ -290,9 +283,7 @@ def exclusive_quartiles(c: Corpus) -> DataFrame:
 
 @query(sql.HOPS + "SELECT count(*) FILTER (WHERE (n = 0) <> skipped) = 0 AS skipped_are_empty, count(*) FILTER (WHERE n = 0) AS empty_hops FROM (SELECT h.qid, h.index, any_value(skipped) AS skipped, count(p.doc_id) AS n FROM hops h LEFT JOIN pairs p ON p.qid = h.qid AND p.hop = h.index GROUP BY 1, 2)")
 def skipped_hops_check(c: Corpus) -> DataFrame:
-    from palimpsest.plans.catalog import _hops, _pairs
-
-    counted = materialize(qrels_stats.per_hop(_pairs(c), _hops(c)), "counted")
+    counted = materialize(qrels_stats.per_hop(c.pairs(), c.hops()), "counted")
     return counted.agg(F.lit(qrels_stats.skipped_are_empty(counted)).alias("skipped_are_empty"), F.count_if(F.col("n_docs") == 0).alias("empty_hops"))
 
 

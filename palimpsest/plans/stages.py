@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions.shingles import gram_sets
-from palimpsest.operators import cliques, exact, lengths, minhash, records, search, similarity
+from palimpsest.operators import cliques, exact, lengths, minhash, qrels, records, search, similarity
 from palimpsest.sources.tables import materialize, table
 
 _made: dict[tuple[str, str, str], DataFrame] = {}
@@ -63,6 +63,22 @@ class Corpus:
         """(item_id, doc_id, shared, rank) of the documents that share most with a passage."""
         return self.once("previewed", lambda: search.most_shared(self.all_sets(), self.passage_sets()))
 
+    def hops(self) -> DataFrame:
+        """A passage's sentences are its hops; of some passages the second one is skipped."""
+        rows = self.passages().select(F.col("item_id").alias("qid"), F.posexplode(F.filter(F.split("text", r"[.!?]\s*"), lambda s: s != "")).alias("index", "clue"))
+        return rows.withColumn("skipped", (F.col("index") == 1) & (F.col("qid") % 3 == 0)).withColumn("hop_type", F.lit("Required"))
+
+    def pairs(self) -> DataFrame:
+        """(qid, doc_id, hop): every hop of a passage with each document that has the passage."""
+        hops = self.hops().select(F.col("qid").alias("item_id"), F.col("index").alias("hop"))
+        return self.pool().join(hops, "item_id").select(F.col("item_id").alias("qid"), "doc_id", "hop")
+
+    def candidates(self) -> DataFrame:
+        """Labels stand in for votes: of good quality supports, poor doesn't, none is open."""
+        labels = table(self.spark, self.dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "Supports").when(F.col("quality") == 0, "Does not support").alias("human_judgment"))
+        votes = self.pairs().join(labels, "doc_id", "left").select("qid", F.col("hop").alias("hop_index"), "doc_id", "human_judgment")
+        return qrels.candidates(votes, self.hops())
+
     def edges(self) -> DataFrame:
         return self.once("edges", lambda: similarity.near_pairs(self.sets(), 0.7))
 
