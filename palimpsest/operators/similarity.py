@@ -22,6 +22,8 @@ from palimpsest.sources.tables import materialize
 
 #: N-grams of a part of a component; each pair of parts is a task.
 WEIGHT = 500_000
+#: The share of a set's n-grams by which the prefixes of ``met_elsewhere`` are longer than one common n-gram asks for.
+MORE = 0.125
 
 
 def jaccard(shared: Column, left: Column, right: Column) -> Column:
@@ -113,6 +115,75 @@ def pairs_within(labelled: DataFrame, sets: DataFrame, threshold: float, weight:
     return rows.mapInArrow(lambda b: _within(b, threshold), "a long, b long, jaccard double")
 
 
+def _least_shared(n: Column, threshold: float) -> Column:
+    """N-grams that a set of n shares with any near one at least; rounding down a little keeps a pair that lies on the threshold."""
+    return F.ceil(n * threshold - 1e-9)
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of each document have an n-gram that other components have too, in a partition sorted by n-gram."""
+
+    def counted(docs: np.ndarray) -> pa.RecordBatch:
+        ids, counts = np.unique(docs, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts.astype(np.int64))], names=["doc_id", "met"])
+
+    held: list[np.ndarray] = []  # the last n-gram's rows, as it may go on in the next batch
+    for batch in batches:
+        rows = np.stack([batch.column(c).to_numpy() for c in ("g", "component", "doc_id")])
+        rows = np.concatenate([*held, rows], axis=1)
+        if not rows.shape[1]:
+            continue
+        begins = np.flatnonzero(np.concatenate([[True], rows[0, 1:] != rows[0, :-1]]))
+        held = [rows[:, begins[-1] :]]
+        rows, begins = rows[:, : begins[-1]], begins[:-1]
+        if len(begins):
+            several = np.minimum.reduceat(rows[1], begins) != np.maximum.reduceat(rows[1], begins)
+            yield counted(rows[2, np.repeat(several, np.diff([*begins, rows.shape[1]]))])
+    if held and held[0][1].min() != held[0][1].max():
+        yield counted(held[0][2])
+
+
+def met_elsewhere(sets: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, component) of all sets that can have a near one in another component, for (doc_id, component, grams).
+
+    Two near sets share o n-grams or more, and the first k of these are among
+    the first n - o + k of each, in order of the hashes. So a set stays if
+    enough of its first n-grams are among the first of other components.
+    """
+    n = F.size("grams")
+    more = lambda size: F.greatest(F.lit(1), F.floor(size * MORE))
+    first = sets.select("doc_id", "component", F.explode(F.slice("grams", F.lit(1), (n - _least_shared(n, threshold) + more(n)).cast("int"))).alias("g"))
+    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = first.select("g", "component", "doc_id").repartition(parts, "g").sortWithinPartitions("g")
+    met = rows.mapInArrow(_met, "doc_id long, met long").groupBy("doc_id").agg(F.sum("met").alias("met"))
+    # the other set may be smaller, and its prefix then holds fewer of the common ones
+    sizes = sets.select("doc_id", "component", more(_least_shared(n, threshold)).alias("least"))
+    return sizes.join(met, "doc_id").where("met >= least").select("doc_id", "component")
+
+
+def pairs_across(labelled: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of all near pairs that are not in the same component, for (doc_id, component); documents without one stand alone.
+
+    The exact counterpart of ``pairs_within``. The n-grams of one component
+    alone can't link, however many members have them, and most sets have too
+    few others for a near one; what is left is joined by rare n-grams.
+    """
+    known = sets.where(F.size("grams") > 0).join(labelled.select("doc_id", "component"), "doc_id", "left")
+    known = known.select("doc_id", F.coalesce("component", "doc_id").alias("component"), "grams")
+    left = materialize(met_elsewhere(known, threshold), "left")
+    rest = materialize(sets.join(left, "doc_id").select("doc_id", "component", "grams"), "rest")
+    n = F.size("grams")
+    rows = rest.select("doc_id", "component", n.alias("n"), F.explode("grams").alias("g"))
+    frequency = rows.select("g", "component").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ranked = rows.join(frequency, "g").withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "g")))
+    prefix = ranked.where((F.col("place") <= F.col("n") - _least_shared(F.col("n"), threshold) + 1) & (F.col("df") > 1)).select("g", "doc_id", "component", "n")
+    prefix = materialize(prefix, "prefix")
+    x, y = (prefix.select("g", F.col("doc_id").alias(d), F.col("component").alias(f"c{d}"), F.col("n").alias(f"n{d}")) for d in "ab")
+    alike = F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9
+    links = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike).select("a", "b").distinct()
+    return verified(links, rest.select("doc_id", "grams"), threshold)
+
+
 def prefix_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     known = sets.where(F.size("grams") > 0)
     rows = known.select("doc_id", F.size("grams").alias("n"), F.explode("grams").alias("g"))

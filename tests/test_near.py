@@ -1,8 +1,10 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from palimpsest.functions.shingles import gram_sets
 from palimpsest.operators import cliques, components, dedup_stats, exact, minhash, records, release, similarity
 from palimpsest.sources import sinks
@@ -59,6 +61,35 @@ def test_pairs_of_a_large_group(spark):
         assert len(got) == len(want) and {(r["a"], r["b"]): r["jaccard"] for r in got} == want
 
 
+def test_pairs_that_meet_in_no_band(spark, tmp_path):
+    # 1,500 pairs that share 70 of 100 n-grams: banding alone loses some two in 1,000
+    rows = {2 * i + j: words(f"p{i}q", {range(30, 41): "x"} if j else {}, 89) for i in range(1500) for j in (0, 1)} | {5000 + i: None if i else "a b" for i in range(2)}
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    sets = similarity.materialize(gram_sets(frame(spark, rows)), "sets")
+    labelled = cliques.components(minhash.gated_links(minhash.signed_bands(sets, 73, 7)))
+    assert similarity.pairs_within(labelled, sets, 0.7).count() < 1500
+    got = sorted(map(tuple, __spark_entry__.queries()["lsh_near_pairs"](spark, str(tmp_path)).collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(__spark_entry__.oracle_sql()["lsh_near_pairs"]).fetchall()) and len(got) == 1500
+
+
+def test_pairs_across_components(spark):
+    # pairs in any split of the documents are either within components or across them
+    rng = random.Random(17)
+    rows = {i: words("g", {range(6 * i, 6 * i + 3): f"x{i}q"}) for i in range(40)} | {100 + i: words("h", {range(30 * i, 30 * i + 25): "x"}) for i in range(20)}
+    rows |= {200 + 2 * i + j: words(f"p{i}q", {range(30, 30 + k): "x"} if j else {}, 89 - (k if j else 0)) for i, k in enumerate(range(24)) for j in (0, 1)} | {300: None, 301: "a b c d e", 302: "A b c d e!", 303: "a b c d e f"}
+    sets = similarity.materialize(gram_sets(frame(spark, rows)), "sets")
+    want = {(r["a"], r["b"]): r["jaccard"] for r in similarity.near_pairs(sets).collect()}
+    for most in (1, 3, 30):
+        group = {i: rng.randrange(most) for i in rows if rng.random() < 0.8}
+        least = {g: min(i for i in group if group[i] == g) for g in set(group.values())}
+        labelled = spark.createDataFrame([(i, least[g]) for i, g in group.items()], "doc_id long, component long")
+        got = [tuple(r) for r in similarity.pairs_across(labelled, sets, 0.7).collect()]
+        across = {p: j for p, j in want.items() if group.get(p[0], -1) != group.get(p[1], -2)}
+        assert across and len(got) == len(across) and {(a, b): j for a, b, j in got} == across
+
+
 def test_copies_have_no_cluster(near):
     members = {r["doc_id"] for r in cliques.partition(near[2], 0.7).collect()}
     assert not members & {130, 3120}
